@@ -18,51 +18,27 @@ def average_ranks(xs: Column) -> Column:
     )
 
 
-def pearson(a: Column, b: Column) -> Column:
-    """Pearson correlation of two equally long arrays, NULL when either is constant."""
-    n = F.size(a).cast("double")
+def rank_correlation(xs: Column, ys: Column, n: int) -> Column:
+    """Spearman correlation of two ``n``-element array columns; NULL for other sizes or a constant side.
 
-    def total(x: Column) -> Column:
-        return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)
-
-    ma, mb = total(a) / n, total(b) / n
-    da, db = F.transform(a, lambda v: v - ma), F.transform(b, lambda v: v - mb)
-
-    def dot(x: Column, y: Column) -> Column:
-        return total(F.zip_with(x, y, lambda p, q: p * q))
-
-    va, vb = dot(da, da), dot(db, db)
-    return F.when((va > 0) & (vb > 0), dot(da, db) / F.sqrt(va * vb))
-
-
-def rank_correlation(pairs: Column) -> Column:
-    """Spearman correlation of an array of (x, y) structs."""
-    return pearson(
-        average_ranks(F.transform(pairs, lambda p: p["x"])),
-        average_ranks(F.transform(pairs, lambda p: p["y"])),
-    )
-
-
-def rank_correlation_n(pairs: Column, n: int) -> Column:
-    """Spearman over exactly ``n`` pairs.
-
-    Rank sums are fixed by ``n`` (mean (n+1)/2), so the centred ranks need no
-    second pass: the doubled ranks are integers and the sums below are exact.
+    Average-tie ranks always sum to n(n+1)/2, so the ranks are centred on a
+    known mean and every sum is exact in doubled integers.
     """
-    rx = average_ranks(F.transform(pairs, lambda p: p["x"]))
-    ry = average_ranks(F.transform(pairs, lambda p: p["y"]))
     mid = (n + 1) / 2.0
-    acc = F.aggregate(
-        F.arrays_zip(rx.alias("x"), ry.alias("y")),
+    pairs = F.zip_with(
+        average_ranks(xs), average_ranks(ys), lambda a, b: F.struct((a - mid).alias("x"), (b - mid).alias("y"))
+    )
+    rho = F.aggregate(
+        pairs,
         F.struct(F.lit(0.0).alias("xy"), F.lit(0.0).alias("xx"), F.lit(0.0).alias("yy")),
         lambda s, p: F.struct(
-            (s["xy"] + (p["x"] - mid) * (p["y"] - mid)).alias("xy"),
-            (s["xx"] + (p["x"] - mid) * (p["x"] - mid)).alias("xx"),
-            (s["yy"] + (p["y"] - mid) * (p["y"] - mid)).alias("yy"),
+            (s["xy"] + p["x"] * p["y"]).alias("xy"),
+            (s["xx"] + p["x"] * p["x"]).alias("xx"),
+            (s["yy"] + p["y"] * p["y"]).alias("yy"),
         ),
         lambda s: F.when((s["xx"] > 0) & (s["yy"] > 0), s["xy"] / F.sqrt(s["xx"] * s["yy"])),
     )
-    return F.when(F.size(pairs) == n, acc)
+    return F.when(F.size(xs) == n, rho)
 
 
 def worst_drawdown(prices: Column) -> Column:

@@ -90,7 +90,7 @@ def short_history(bars: DataFrame) -> DataFrame:
 def null_counts(df: DataFrame, cols: list[str], keys: list[str] | None = None) -> DataFrame:
     aggs = [F.count_if(F.col(c).isNull()).alias(c) for c in cols]
     wide = df.groupBy(*(keys or [])).agg(*aggs)
-    return wide.unpivot([F.col(k) for k in keys or []], cols, "column", "n_null")
+    return wide.unpivot([F.col(k) for k in keys or []], cols, "feature", "n_null")
 
 
 def missing_dates(calendar: DataFrame, table: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def first_valid(df: DataFrame, cols: list[str]) -> DataFrame:
     firsts = numbered.groupBy("symbol").agg(
         *[F.min(F.when(F.col(c).isNotNull(), F.col("_pos"))).alias(c) for c in cols]
     )
-    return firsts.unpivot(["symbol"], cols, "column", "first_pos")
+    return firsts.unpivot(["symbol"], cols, "feature", "first_pos")
 
 
 def future_rows(df: DataFrame, split_date: str) -> DataFrame:
@@ -136,7 +136,7 @@ def split_report(df: DataFrame) -> DataFrame:
     spans = per.withColumn("rank", rank)
     following = spans.select((F.col("rank") - 1).alias("rank"), F.col("first_date").alias("_next"))
     return spans.join(following, "rank", "left").select(
-        "split", "n", "first_date", "last_date", F.coalesce(F.col("last_date") >= F.col("_next"), F.lit(False)).alias("overlaps")
+        "split", "n", "first_date", "last_date", F.coalesce(F.col("last_date") >= F.col("_next"), F.lit(False)).alias("overlap")
     )
 
 

@@ -41,10 +41,11 @@ def vol_targets(w: WindowSpec) -> dict[str, Column]:
     return {f"tgt_vol_{h}d": forward(F.stddev_samp, F.col("_r"), h, w) for h in VOL_HORIZONS}
 
 
-def mdd_target(w: WindowSpec, h: int = MDD_HORIZON) -> Column:
-    frame = w.rowsBetween(1, h)
-    ahead = F.collect_list("close").over(frame)
-    return F.when(F.size(ahead) == h, worst_drawdown(ahead))
+def with_mdd(df: DataFrame, w: WindowSpec, h: int = MDD_HORIZON) -> DataFrame:
+    """Deepest fall after a peak within the next h closes; NULL when fewer remain."""
+    df = df.withColumn("_ahead_close", F.collect_list("close").over(w.rowsBetween(1, h)))
+    mdd = F.when(F.size("_ahead_close") == h, worst_drawdown(F.col("_ahead_close")))
+    return df.withColumn(f"tgt_mdd_{h}d", mdd).drop("_ahead_close")
 
 
 def forward_targets(panel: DataFrame, trim: bool = True, guard_prices: bool = False) -> DataFrame:
@@ -59,7 +60,7 @@ def forward_targets(panel: DataFrame, trim: bool = True, guard_prices: bool = Fa
         )
         panel = panel.withColumn("close", checked)
     df = panel.select("symbol", "date", "close").withColumn("_r", F.log("close") - F.log(F.lag("close").over(w)))
-    df = df.withColumns({**ret_targets(w), **vol_targets(w), f"tgt_mdd_{MDD_HORIZON}d": mdd_target(w)})
+    df = with_mdd(df.withColumns({**ret_targets(w), **vol_targets(w)}), w)
     if trim:
         df = df.withColumn("_ahead", F.count(F.lit(1)).over(w.rowsBetween(1, MAX_HORIZON)))
         df = df.where(F.col("_ahead") == MAX_HORIZON)

@@ -2,5 +2,7 @@
 
 from tidemark.plans import (  # noqa: F401
     queries_features,
+    queries_meta,
+    queries_quality,
 )
 from tidemark.plans.registry import REGISTRY  # noqa: F401

@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.functions.windows import ANNUAL_DAYS, ordered, rolling
 from tidemark.operators import calendar as cal
+from tidemark.operators import ensemble, splits, targets
+from tidemark.operators.meta import WeightModel, meta_features
+from tidemark.operators.price_features import log_return
 from tidemark.sources import tables
 
 # Split boundaries and crisis windows of the fixtures.
@@ -42,3 +47,67 @@ def macro_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def macro_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cal.asof_fill(panel_dates(spark, sf_dir), macro_obs(spark, sf_dir))
+
+
+# A weight model with given coefficients: the plans that apply weights take it as
+# a parameter, so their results do not hang on a fit.
+WEIGHT_MODEL = WeightModel(
+    mean=(0.02, 0.05, 0.0, 0.0, 0.9),
+    scale=(0.22, 0.25, 0.9, 1.5, 0.2),
+    coef={
+        "return": (0.4, -0.1, 0.3, 0.05, -0.2),
+        "vol": (-0.2, 0.3, 0.1, -0.15, 0.1),
+        "regime": (0.1, 0.05, -0.25, 0.4, 0.0),
+        "drawdown": (0.0, 0.0, 0.0, 0.0, 0.0),
+    },
+    intercept={"return": 0.1, "vol": -0.05, "regime": 0.02, "drawdown": 0.0},
+    saturated=frozenset({"drawdown"}),
+)
+
+
+def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panel with the realised (backward) log return of each date."""
+    return panel(spark, sf_dir).withColumn("ret_bwd", log_return(ordered("symbol")))
+
+
+def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed-form predictions standing in for the fitted base models."""
+    w = ordered("symbol")
+    vix = macro_long(spark, sf_dir).where("series_id = 'VIXCLS'").select("date", F.col("value").alias("vix"))
+    df = cal.merge_features(returns(spark, sf_dir).select("symbol", "date", "close", "ret_bwd"), vix)
+    df = df.withColumns({"_rs": F.lag("ret_bwd").over(w), "vlag": F.lag("vix").over(w)})
+    v = F.col("vlag")
+    return df.select(
+        "symbol",
+        "date",
+        "close",
+        "ret_bwd",
+        "vlag",
+        rolling(F.avg, F.col("_rs"), 5, w).alias("return_pred"),
+        (rolling(F.stddev_samp, F.col("_rs"), 21, w) * F.sqrt(F.lit(float(ANNUAL_DAYS)))).alias("vol_pred"),
+        F.when(v <= 19, 0).when(v > 30, 1).when(v.isNotNull(), 2).alias("regime_label"),
+        (1 / (1 + F.exp(rolling(F.sum, F.col("_rs"), 21, w)))).alias("drawdown_risk_prob"),
+    )
+
+
+def preds_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = preds(spark, sf_dir)
+    return ensemble.normalize(raw, ensemble.fit_normalizer(raw, TRAIN_END))
+
+
+def preds_d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ensemble.with_disagreement(preds_z(spark, sf_dir), VAL_START, VAL_END)
+
+
+def trimmed_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return targets.forward_targets(panel(spark, sf_dir))
+
+
+def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = preds_d(spark, sf_dir)
+    return meta_features(p.drop("ret_bwd"), trimmed_targets(spark, sf_dir), p.select("symbol", "date", "ret_bwd"))
+
+
+def run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the backtest window."""
+    return splits.split_rows(preds_d(spark, sf_dir), "val", TRAIN_END, VAL_END)
