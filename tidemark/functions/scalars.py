@@ -75,14 +75,19 @@ def equal_signal(signals: dict[str, Column]) -> Column:
 
 
 def softmax_floor(scores: list[Column], floor: float = WEIGHT_FLOOR) -> list[Column]:
-    """Row softmax mixed with a floor so that weights sum to 1 and none is below it."""
-    top = F.greatest(*scores)
-    exps = [F.exp(s - top) for s in scores]
-    total = exps[0]
-    for e in exps[1:]:
-        total = total + e
+    """Row softmax mixed with a floor so that weights sum to 1 and none is below it.
+
+    Each share is 1 / sum(exp(s_j - s_i)): no score can overflow it and the
+    expression stays small when a filter on a weight is pushed into the plan.
+    """
     scale = 1.0 - len(scores) * floor
-    return [F.lit(scale) * e / total + F.lit(floor) for e in exps]
+    out = []
+    for s in scores:
+        total = None
+        for t in scores:
+            total = F.exp(t - s) if total is None else total + F.exp(t - s)
+        out.append(F.lit(scale) / total + F.lit(floor))
+    return out
 
 
 def row_mean(cols: list[Column]) -> Column:

@@ -144,7 +144,8 @@ def crisis_signal(preds: DataFrame, crises: list[tuple[str, str, str]]) -> DataF
 
 
 def distribution_profile(df: DataFrame, col: str) -> DataFrame:
-    x = F.col(col)
+    """Moments, quantiles and extremes of a column (values taken at 9 decimals)."""
+    x = F.round(F.col(col), 9)
     return df.where(x.isNotNull()).groupBy("symbol").agg(
         F.count(x).alias("n"),
         F.avg(x).alias("mean"),

@@ -449,15 +449,16 @@ def ic_winner(spark, sf):
 
 @register("regime_distribution", "symbol regime_label:i n:b pct:9 verdict", """
 SELECT *, CASE WHEN min(pct) OVER (PARTITION BY symbol) < 5 THEN 'FAIL' WHEN min(pct) OVER (PARTITION BY symbol) < 10 THEN 'WARN' ELSE 'PASS' END AS verdict
-FROM (SELECT symbol, regime_label, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY symbol) * 100 AS pct FROM preds WHERE regime_label IS NOT NULL GROUP BY ALL)""")
+FROM (SELECT *, n / sum(n) OVER (PARTITION BY symbol) * 100 AS pct FROM (
+  SELECT symbol, regime_label, count(*) AS n FROM preds WHERE regime_label IS NOT NULL GROUP BY symbol, regime_label))""")
 def regime_distribution(spark, sf):
     return dg.label_distribution(src.preds(spark, sf))
 
 
 @register("crisis_regime", "symbol crisis regime_label:i n:b pct:9 verdict", f"""
 SELECT *, CASE WHEN arg_max(regime_label, n * 10 - regime_label) OVER w <> 1 THEN 'FAIL' WHEN max(pct) FILTER (regime_label = 1) OVER w >= 50 THEN 'PASS' ELSE 'WARN' END AS verdict
-FROM (SELECT symbol, {CRISIS} AS crisis, regime_label, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY symbol, {CRISIS}) * 100 AS pct
-  FROM preds WHERE regime_label IS NOT NULL AND {CRISIS} IS NOT NULL GROUP BY ALL) WINDOW w AS (PARTITION BY symbol, crisis)""")
+FROM (SELECT *, n / sum(n) OVER (PARTITION BY symbol, crisis) * 100 AS pct FROM (
+  SELECT symbol, {CRISIS} AS crisis, regime_label, count(*) AS n FROM preds WHERE regime_label IS NOT NULL AND {CRISIS} IS NOT NULL GROUP BY ALL)) WINDOW w AS (PARTITION BY symbol, crisis)""")
 def crisis_regime(spark, sf):
     return dg.crisis_labels(src.preds(spark, sf), src.CRISES)
 
@@ -484,7 +485,7 @@ def crisis_signal(spark, sf):
 @register("distribution_profile", "symbol n:b mean:9 sd:9 min:9 p10:9 p50:9 p90:9 max:9 n_unique:b share_extreme:9", """
 SELECT symbol, count(*) AS n, avg(x) AS mean, stddev_samp(x) AS sd, min(x) AS min, quantile_cont(x, 0.1) AS p10, median(x) AS p50,
   quantile_cont(x, 0.9) AS p90, max(x) AS max, count(DISTINCT round(x, 6)) AS n_unique, avg(CAST(abs(x) > 0.5 AS INTEGER)) AS share_extreme
-FROM (SELECT symbol, rolling_ic_return AS x FROM meta WHERE rolling_ic_return IS NOT NULL) GROUP BY symbol""")
+FROM (SELECT symbol, round(rolling_ic_return, 9) AS x FROM meta WHERE rolling_ic_return IS NOT NULL) GROUP BY symbol""")
 def distribution_profile(spark, sf):
     return dg.distribution_profile(src.meta(spark, sf), "rolling_ic_return")
 
