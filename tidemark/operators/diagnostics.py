@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import MODELS, PRED_COLS, row_std, softmax_floor
 from tidemark.functions.windows import ordered, safe_div
 from tidemark.operators.calendar import crisis_rows, in_any_crisis
-from tidemark.operators.meta import WINDOW, WeightModel, model_scores, with_rank_ic
+from tidemark.operators.meta import WINDOW, WeightModel, model_scores, with_rank_ics
 
 
 def long_columns(df: DataFrame, cols: list[str], keys: list[str], name: str = "feature") -> DataFrame:
@@ -73,9 +73,7 @@ def softmax_dispersion(meta: DataFrame, model: WeightModel) -> DataFrame:
 def forward_ic(preds: DataFrame, ret: str = "tgt_ret_1d", n: int = WINDOW) -> DataFrame:
     """Rank correlation of each prediction with returns over the next ``n`` rows, and the best model."""
     frame = ordered("symbol").rowsBetween(1, n)
-    df = preds
-    for c in PRED_COLS:
-        df = with_rank_ic(df, f"ic_{c}", c, ret, frame, n)
+    df = with_rank_ics(preds, [(f"ic_{c}", c, ret, frame) for c in PRED_COLS], n)
     ics = [F.col(f"ic_{c}") for c in PRED_COLS]
     best = F.greatest(*ics)
     winner = F.lit(None).cast("string")

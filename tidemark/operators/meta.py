@@ -19,25 +19,34 @@ META_ALL = (*META_FEATURES, "rolling_regime_accuracy")
 IC_JOBS = (("rolling_ic_return", "return_pred", "tgt_ret_1d"), ("rolling_ic_vol", "vol_pred", "tgt_vol_5d"))
 
 
-def with_rank_ic(df: DataFrame, out: str, x: str, y: str, frame: WindowSpec, n: int) -> DataFrame:
-    """Spearman correlation of the frame's rows; NULL unless all ``n`` pairs are known."""
-    known = F.col(x).isNotNull() & F.col(y).isNotNull()
-    df = df.withColumns({f"_{c}s": F.collect_list(F.when(known, F.col(v).cast("double"))).over(frame) for c, v in (("x", x), ("y", y))})
-    return df.withColumn(out, rank_correlation(F.col("_xs"), F.col("_ys"), n)).drop("_xs", "_ys")
+Job = tuple[str, str, str]
 
 
-def with_rolling_ic(df: DataFrame, jobs: tuple[tuple[str, str, str], ...], has: Column, n: int = WINDOW) -> DataFrame:
+def with_rank_ics(df: DataFrame, jobs: list[tuple[str, str, str, WindowSpec]], n: int) -> DataFrame:
+    """Spearman correlation over a row frame for each (output, x, y, frame).
+
+    A result is NULL unless all ``n`` pairs of the frame are known.
+    """
+    pairs = {}
+    for out, x, y, frame in jobs:
+        known = F.col(x).isNotNull() & F.col(y).isNotNull()
+        pairs[f"_x_{out}"] = F.collect_list(F.when(known, F.col(x).cast("double"))).over(frame)
+        pairs[f"_y_{out}"] = F.collect_list(F.when(known, F.col(y).cast("double"))).over(frame)
+    corr = rank_correlation(n)
+    return df.withColumns(pairs).withColumns({out: corr(f"_x_{out}", f"_y_{out}") for out, *_ in jobs}).drop(*pairs)
+
+
+def with_rolling_ic(df: DataFrame, jobs: tuple[Job, ...], has: Column, n: int = WINDOW) -> DataFrame:
     """Information coefficient of each (output, prediction, past target) over rows [t-n, t-1].
 
     A row takes part for a model when its prediction is known and ``has`` holds,
     so each model counts its own rows. The flag only subdivides the symbol's
     partition: one shuffle serves all models.
     """
-    for out, pred, past in jobs:
-        df = df.withColumn("_in", has & F.col(pred).isNotNull())
-        df = with_rank_ic(df, out, pred, past, ordered("symbol", "_in").rowsBetween(-n, -1), n)
-        df = df.withColumn(out, F.when(F.col("_in"), F.col(out))).drop("_in")
-    return df
+    flags = {f"_in_{out}": has & F.col(pred).isNotNull() for out, pred, _ in jobs}
+    framed = [(out, pred, past, ordered("symbol", f"_in_{out}").rowsBetween(-n, -1)) for out, pred, past in jobs]
+    df = with_rank_ics(df.withColumns(flags), framed, n)
+    return df.withColumns({out: F.when(F.col(f"_in_{out}"), F.col(out)) for out, *_ in jobs}).drop(*flags)
 
 
 def rolling_ic(preds: DataFrame, targets: DataFrame, n: int = WINDOW) -> DataFrame:

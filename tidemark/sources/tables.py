@@ -93,7 +93,9 @@ def resample_bars(ticks: DataFrame, order: list[str]) -> DataFrame:
 
     First and last price are ``min_by``/``max_by`` on the tick order: everything
     is combined map-side, so a symbol holding a third of all ticks still sends
-    one row per date and task into the shuffle.
+    one row per date and task into the shuffle. With a single numeric or time
+    order column the aggregation hashes; several columns are compared as a struct,
+    which makes Spark sort each task's rows first.
     """
     at: Column = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     return ticks.groupBy("symbol", "date").agg(
@@ -105,7 +107,15 @@ def resample_bars(ticks: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
-LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+def line_ordinal() -> Column:
+    """Total order of line items as one number: order key, line number, part, supplier."""
+
+    def digits(c: Column, n: int) -> Column:
+        return c.cast(f"decimal({n},0)")
+
+    head = digits(F.col("l_orderkey") * 10 + F.col("l_linenumber"), 17) * F.expr("cast(1e21 as decimal(22,0))")
+    tail = digits(F.col("l_partkey"), 11) * F.expr("cast(1e10 as decimal(11,0))") + digits(F.col("l_suppkey"), 10)
+    return (head + tail).cast("decimal(38,0)")
 
 
 def lineitem_ticks(spark: SparkSession, sf_dir: str, symbol: str = "l_returnflag") -> DataFrame:
@@ -114,12 +124,12 @@ def lineitem_ticks(spark: SparkSession, sf_dir: str, symbol: str = "l_returnflag
         F.col("l_shipdate").cast("date").alias("date"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("qty"),
-        *LINE_ORDER,
+        line_ordinal().alias("seq"),
     )
 
 
 def lineitem_bars(spark: SparkSession, sf_dir: str, symbol: str = "l_returnflag") -> DataFrame:
-    return resample_bars(lineitem_ticks(spark, sf_dir, symbol), LINE_ORDER)
+    return resample_bars(lineitem_ticks(spark, sf_dir, symbol), ["seq"])
 
 
 def order_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
