@@ -12,6 +12,14 @@ def _average_ranks(m: np.ndarray) -> np.ndarray:
     return (a > b).sum(axis=2) + ((a == b).sum(axis=2) + 1) / 2.0
 
 
+def spearman_rows(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Spearman correlation of matching rows, NaN when one side is constant."""
+    mid = (x.shape[1] + 1) / 2.0
+    rx, ry = _average_ranks(x) - mid, _average_ranks(y) - mid
+    spread = (rx * rx).sum(axis=1) * (ry * ry).sum(axis=1)
+    return np.where(spread > 0, (rx * ry).sum(axis=1) / np.sqrt(np.where(spread > 0, spread, 1.0)), np.nan)
+
+
 def rank_correlation(n: int):
     """Arrow-batched Spearman correlation of two ``n``-element array columns.
 
@@ -26,11 +34,7 @@ def rank_correlation(n: int):
         out = np.full(len(xs), np.nan)
         full = np.flatnonzero((xs.map(len) == n) & (ys.map(len) == n))
         if len(full):
-            rx = _average_ranks(np.stack(xs.to_numpy()[full])) - (n + 1) / 2.0
-            ry = _average_ranks(np.stack(ys.to_numpy()[full])) - (n + 1) / 2.0
-            spread = (rx * rx).sum(axis=1) * (ry * ry).sum(axis=1)
-            good = spread > 0
-            out[full[good]] = (rx * ry).sum(axis=1)[good] / np.sqrt(spread[good])
+            out[full] = spearman_rows(np.stack(xs.to_numpy()[full]), np.stack(ys.to_numpy()[full]))
         return pd.Series(out).astype(object).where(~np.isnan(out), None)
 
     return corr

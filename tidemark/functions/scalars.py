@@ -47,9 +47,9 @@ def regime_direction(label: Column) -> Column:
     return F.when(label == 0, 1.0).when(label == 1, -1.0).otherwise(0.0)
 
 
-def drawdown_event(mdd: Column) -> Column:
+def drawdown_event(mdd: Column, threshold: float = DRAWDOWN_EVENT) -> Column:
     """1 below the threshold, 0 above, NULL for an unknown target."""
-    return F.when(mdd.isNotNull(), (mdd < DRAWDOWN_EVENT).cast("int"))
+    return F.when(mdd.isNotNull(), (mdd < threshold).cast("int"))
 
 
 def direction_signals(ret="return_pred", vol="vol_pred", regime="regime_pred", dd="drawdown_risk_prob") -> dict[str, Column]:

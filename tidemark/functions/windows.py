@@ -42,6 +42,3 @@ def last_known(x: Column, w: WindowSpec) -> Column:
 def null_if_nan(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
-
-def safe_div(a: Column, b: Column) -> Column:
-    return F.when(b != 0, a / b)

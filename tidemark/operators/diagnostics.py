@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import MODELS, PRED_COLS, row_std, softmax_floor
-from tidemark.functions.windows import ordered, safe_div
+from tidemark.functions.windows import ordered
 from tidemark.operators.calendar import crisis_rows, in_any_crisis
 from tidemark.operators.meta import WINDOW, WeightModel, model_scores, with_rank_ics
 
@@ -26,7 +26,7 @@ def scale_share(preds: DataFrame) -> DataFrame:
         F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.avg(F.abs(x)).alias("abs_mean"), F.max(F.abs(x)).alias("abs_max")
     )
     w = Window.partitionBy("symbol")
-    stats = stats.withColumn("share", F.col("abs_mean") / F.sum("abs_mean").over(w))
+    stats = stats.withColumn("share", F.try_divide("abs_mean", F.sum("abs_mean").over(w)))
     top = F.max("share").over(w)
     return stats.withColumn("verdict", graded(F.col("share"), top > 0.50, top > 0.35))
 
@@ -42,7 +42,7 @@ def feature_variation(df: DataFrame, cols: list[str]) -> DataFrame:
         (F.percentile(x, F.lit(0.75)) - F.percentile(x, F.lit(0.25))).alias("iqr"),
         F.avg(F.abs(x)).alias("_abs"),
     )
-    cv = safe_div(F.col("sd"), F.col("_abs"))
+    cv = F.try_divide(F.col("sd"), F.col("_abs"))
     return stats.withColumns({"cv": cv, "zero_variance": F.col("sd") < 1e-6, "low_signal": (cv > 0) & (cv < 0.10)}).drop("_abs")
 
 
@@ -88,7 +88,7 @@ def ic_winner(preds: DataFrame, ret: str = "tgt_ret_1d", n: int = WINDOW) -> Dat
     means = long_columns(df, [f"ic_{c}" for c in PRED_COLS], ["symbol"], "model").groupBy("symbol", "model").agg(F.avg("x").alias("mean_ic"))
     wins = df.where("winner is not null").groupBy("symbol", F.concat(F.lit("ic_"), "winner").alias("model")).agg(F.count("*").alias("wins"))
     out = means.join(wins, ["symbol", "model"], "left").withColumn("wins", F.coalesce("wins", F.lit(0)))
-    return out.withColumn("share", safe_div(F.col("wins"), F.sum("wins").over(Window.partitionBy("symbol"))))
+    return out.withColumn("share", F.try_divide(F.col("wins"), F.sum("wins").over(Window.partitionBy("symbol"))))
 
 
 def label_distribution(df: DataFrame, label: str = "regime_label") -> DataFrame:

@@ -36,7 +36,7 @@ def macro_features(long: DataFrame) -> DataFrame:
     steps = {
         "_v1": v1,
         **{f"_d{k}": v1 - F.lag("value", 1 + k).over(w) for k in sorted({*RATE_STEPS, *VIX_STEPS})},
-        "_pct": F.col("value") / F.lag("value", 21).over(w) - 1,
+        "_pct": F.try_divide("value", F.lag("value", 21).over(w)) - 1,
     }
     df = with_spread_series(long).withColumns(steps)
     df = df.withColumn("_ma", rolling(F.avg, F.col("_v1"), 21, w))

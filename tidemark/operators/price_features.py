@@ -67,7 +67,7 @@ def mom_cols(w: WindowSpec) -> dict[str, Column]:
 def bb_cols(w: WindowSpec) -> dict[str, Column]:
     sd = rolling(F.stddev_samp, F.col("_c1"), BB_WINDOW, w)
     mean = rolling(F.avg, F.col("_c1"), BB_WINDOW, w)
-    return {"bb_width": F.lit(4.0) * sd / mean}
+    return {"bb_width": F.try_divide(F.lit(4.0) * sd, mean)}
 
 
 def with_atr(df: DataFrame, w: WindowSpec) -> DataFrame:

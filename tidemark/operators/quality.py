@@ -199,8 +199,8 @@ def returns_convention(prices: DataFrame, returns: DataFrame, col: str, tol: flo
     p = prices.select(
         "symbol",
         "date",
-        F.log(F.col("close") / F.lag("close").over(w)).alias("_b"),
-        F.log(F.lead("close").over(w) / F.col("close")).alias("_f"),
+        F.log(F.try_divide(F.col("close"), F.lag("close").over(w))).alias("_b"),
+        F.log(F.try_divide(F.lead("close").over(w), F.col("close"))).alias("_f"),
     )
     gaps = (
         returns.select("symbol", "date", F.col(col).alias("_x"))

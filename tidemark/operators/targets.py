@@ -33,7 +33,7 @@ def horizon_col(name: Column) -> Column:
 
 
 def ret_targets(w: WindowSpec) -> dict[str, Column]:
-    return {f"tgt_ret_{h}d": F.log(F.lead("close", h).over(w) / F.col("close")) for h in RET_HORIZONS}
+    return {f"tgt_ret_{h}d": F.log(F.try_divide(F.lead("close", h).over(w), F.col("close"))) for h in RET_HORIZONS}
 
 
 def vol_targets(w: WindowSpec) -> dict[str, Column]:

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import drawdown_event
+from tidemark.functions.scalars import DRAWDOWN_EVENT, drawdown_event
 from tidemark.functions.windows import ordered
 from tidemark.operators.ensemble import align_predictions
 from tidemark.operators.quality import require_columns
@@ -22,8 +22,8 @@ SEED = 42
 
 
 def training_rows(features: DataFrame, targets: DataFrame, target: str, cols: list[str]) -> DataFrame:
-    """Features with a known target and no unknown feature."""
-    joined = features.join(targets.select("symbol", "date", target), ["symbol", "date"])
+    """Features and targets of the rows with a known target and no unknown feature."""
+    joined = features.join(targets, ["symbol", "date"])
     return joined.na.drop(subset=[target, *cols])
 
 
@@ -48,13 +48,13 @@ def drawdown_fit(rows: DataFrame, cols: list[str], label: str = "event") -> Pipe
         raise ValueError("no positive (drawdown) examples in the train split")
     gbt = GBTClassifier(
         featuresCol="features", labelCol=label, maxIter=DRAWDOWN_TREES, maxDepth=DRAWDOWN_DEPTH, stepSize=DRAWDOWN_RATE,
-        subsamplingRate=0.8, seed=SEED, probabilityCol="probability",
+        subsamplingRate=0.8, seed=SEED,
     )
     return Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"), gbt]).fit(train)
 
 
-def with_event(rows: DataFrame, target: str = "tgt_mdd_21d") -> DataFrame:
-    return rows.withColumn("event", drawdown_event(F.col(target)))
+def with_event(rows: DataFrame, target: str = "tgt_mdd_21d", threshold: float = DRAWDOWN_EVENT) -> DataFrame:
+    return rows.withColumn("event", drawdown_event(F.col(target), threshold))
 
 
 def model_inputs(model: PipelineModel) -> list[str]:
@@ -116,31 +116,34 @@ def ranking_metrics(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _finish_ranking(run: DataFrame, keys: list[str]) -> DataFrame:
-    precision = F.col("_tp") / (F.col("_tp") + F.col("_fp"))
+    precision = F.try_divide("_tp", F.col("_tp") + F.col("_fp"))
     area = F.col("neg") * (F.col("_tp") - F.col("pos") / 2)
     return run.groupBy(*keys).agg(
-        (F.sum(area) / (F.sum("pos") * F.sum("neg"))).alias("auc_roc"), (F.sum(F.col("pos") * precision) / F.sum("pos")).alias("aucpr")
+        F.try_divide(F.sum(area), F.sum("pos") * F.sum("neg")).alias("auc_roc"),
+        F.try_divide(F.sum(F.col("pos") * precision), F.sum("pos")).alias("aucpr"),
     )
 
 
-POOL_BUCKETS = 1024
-
-
-def pooled_ranking_metrics(counts: DataFrame, buckets: int = POOL_BUCKETS) -> DataFrame:
+def pooled_ranking_metrics(counts: DataFrame, slices: int = 1024) -> DataFrame:
     """The same two metrics over all symbols together, without one global sort.
 
-    Scores (probabilities) fall into fixed slices; slice totals, at most
-    ``buckets`` rows, give each slice its starting counts, and the running sum is
-    taken inside slices. Ties were collapsed before, so a score shared by a third
-    of all rows is a single row here.
+    Ties collapse first, so a score shared by a third of all rows is one row. The
+    distinct scores are then cut at their own approximate quantiles into equal
+    slices (only the cut points reach the driver); slice totals give each slice
+    its starting counts and the running sum is taken inside slices.
     """
     pooled = counts.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    pooled = pooled.withColumn("slice", F.least(F.floor(F.col("score") * buckets), F.lit(buckets - 1)))
+    cuts = sorted(set(pooled.approxQuantile("score", [i / slices for i in range(1, slices)], 1 / (4 * slices))))
+    if not cuts:
+        return _finish_ranking(pooled.withColumns({"_tp": F.lit(0.0), "_fp": F.lit(0.0), "pool": F.lit("all")}), ["pool"])
+    edges = [float("-inf"), *cuts, float("inf")]
+    pooled = Bucketizer(splits=edges, inputCol="score", outputCol="slice").transform(pooled)
     totals = pooled.groupBy("slice").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    above = Window.partitionBy(F.lit(0)).orderBy(F.col("slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    above = ordered("pool", order="slice").orderBy(F.col("slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("pool", F.lit("all"))
     starts = totals.select("slice", *[F.coalesce(F.sum(c).over(above), F.lit(0.0)).alias(f"{c}0") for c in ("_p", "_n")])
-    inside = Window.partitionBy("slice").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    run = pooled.join(F.broadcast(starts), "slice")
+    inside = ordered("slice", order="score").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    run = pooled.join(F.broadcast(starts), "slice")  # at most ``slices`` rows
     run = run.withColumns({"_tp": F.col("_p0") + F.sum("pos").over(inside), "_fp": F.col("_n0") + F.sum("neg").over(inside)})
     return _finish_ranking(run.withColumn("pool", F.lit("all")), ["pool"])
 
@@ -153,8 +156,8 @@ def drawdown_eval(rows: DataFrame, keys: list[str], label: str = "event", score:
     safe = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
     hit = F.sum(call * y).cast("double")
     flat = known.groupBy(*keys).agg(
-        F.when(F.sum(call) > 0, hit / F.sum(call)).otherwise(0.0).alias("precision"),
-        F.when(F.sum(y) > 0, hit / F.sum(y)).otherwise(0.0).alias("recall"),
+        F.coalesce(F.try_divide(hit, F.sum(call)), F.lit(0.0)).alias("precision"),
+        F.coalesce(F.try_divide(hit, F.sum(y)), F.lit(0.0)).alias("recall"),
         (-F.avg(y * F.log(safe) + (1 - y) * F.log(1 - safe))).alias("log_loss"),
         F.avg(y).alias("base_rate"),
         F.count(F.lit(1)).alias("n"),

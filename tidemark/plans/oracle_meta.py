@@ -130,9 +130,9 @@ def weights_sql(source: str) -> str:
 
 cte("weights_train", f"SELECT * FROM ({weights_sql('meta')}) WHERE w_return IS NOT NULL")
 cte("weights_live", weights_sql("meta_live"))
-_BEFORE = f"({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+BEFORE = f"({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 cte("bt_weights", "SELECT symbol, date, " + ", ".join(
-    f"coalesce(last_value(w_{m} IGNORE NULLS) OVER {_BEFORE}, 0.25) AS w_{m}" for m in MODELS) + " FROM weights_live")
+    f"coalesce(last_value(w_{m} IGNORE NULLS) OVER {BEFORE}, 0.25) AS w_{m}" for m in MODELS) + " FROM weights_live")
 SIGNAL = "w_return * return_pred - w_vol * coalesce(vol_pred, 0) - w_regime * coalesce(regime_pred, 0) - w_drawdown * coalesce(drawdown_risk_prob, 0)"
 cte("bt", f"""
 SELECT *, lag(signal) OVER ({W}) * ret_bwd AS pnl_mag, sign(lag(signal) OVER ({W})) * ret_bwd AS pnl_dir
