@@ -108,14 +108,15 @@ def resample_bars(ticks: DataFrame, order: list[str]) -> DataFrame:
 
 
 def line_ordinal() -> Column:
-    """Total order of line items as one number: order key, line number, part, supplier."""
+    """Total order of line items as one number: order key, line number, part, supplier.
 
-    def digits(c: Column, n: int) -> Column:
-        return c.cast(f"decimal({n},0)")
-
-    head = digits(F.col("l_orderkey") * 10 + F.col("l_linenumber"), 17) * F.expr("cast(1e21 as decimal(22,0))")
-    tail = digits(F.col("l_partkey"), 11) * F.expr("cast(1e10 as decimal(11,0))") + digits(F.col("l_suppkey"), 10)
-    return (head + tail).cast("decimal(38,0)")
+    Two packed longs (order key up to 2^40, line number 2^3, part 2^35, supplier
+    2^30) make one decimal, which a hash aggregation can keep as its order value.
+    """
+    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    high = F.shiftleft(line, 20) + F.shiftright("l_partkey", 15)
+    low = F.shiftleft(F.col("l_partkey").bitwiseAND(F.lit(32767)), 30) + F.col("l_suppkey")
+    return high.cast("decimal(19,0)") * F.lit(1 << 45).cast("decimal(14,0)") + low.cast("decimal(14,0)")
 
 
 def lineitem_ticks(spark: SparkSession, sf_dir: str, symbol: str = "l_returnflag") -> DataFrame:
