@@ -96,3 +96,23 @@ def test_targets_refuse_bad_prices(spark, bars):
 def test_causal_target_needs_a_registered_horizon():
     with pytest.raises(KeyError):
         tg.causal_target("tgt_ret_9d", ordered("symbol"))
+
+
+@pytest.mark.parametrize("rows", [130, 4096])
+def test_blocks_equal_whole_history_windows(spark, bars, rows):
+    from tidemark.operators import blocks as bl
+
+    monthly = bars.withColumn("month", F.trunc("date", "month"))
+
+    def windows(df, **kw):
+        return pf.price_features(df, rsi=False, **kw)
+
+    got = by_symbol(bl.over_blocks(monthly, windows, "date", "month", back=128, rows=rows), "BBB")
+    want = by_symbol(pf.price_features(bars, rsi=False), "BBB")
+    pd.testing.assert_frame_equal(got[want.columns], want, rtol=1e-9, atol=1e-12)
+    got = by_symbol(bl.over_blocks(monthly, tg.forward_targets, "date", "month", back=1, ahead=21, rows=rows), "BBB")
+    want = by_symbol(tg.forward_targets(bars), "BBB")
+    pd.testing.assert_frame_equal(got[want.columns], want, rtol=1e-9, atol=1e-12)
+    got = by_symbol(bl.rsi_over_blocks(monthly, "date", "month", rows=min(rows, 50)), "BBB")
+    want = by_symbol(pf.add_rsi(bars.select("symbol", "date", "close")), "BBB")
+    np.testing.assert_allclose(got.rsi_14, want.rsi_14, rtol=1e-9)

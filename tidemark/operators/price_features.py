@@ -21,7 +21,7 @@ PRICE_FEATURES = (
     "bb_width",
     "atr_14",
 )
-MAX_LOOKBACK_ROWS = 127
+MAX_LOOKBACK_ROWS = 128
 
 
 def log_return(w: WindowSpec, close: str = "close") -> Column:
@@ -102,7 +102,13 @@ def add_rsi(df: DataFrame, active: str | None = None, keys: tuple[str, ...] = ("
     return out.withColumn(f"rsi_{n}", F.when(~F.isnan(f"rsi_{n}"), F.col(f"rsi_{n}")))
 
 
-def price_features(bars: DataFrame, rsi: bool = True) -> DataFrame:
+def price_features(
+    bars: DataFrame,
+    rsi: bool = True,
+    keys: tuple[str, ...] = ("symbol",),
+    order: str = "date",
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
     """The nine features of every symbol.
 
     ``bars`` may carry a ``shared`` flag: then all features but the ATR follow the
@@ -110,18 +116,17 @@ def price_features(bars: DataFrame, rsi: bool = True) -> DataFrame:
     calendars, and the RSI after them, all sit on one hash partitioning by symbol.
     """
     flagged = "shared" in bars.columns
-    own = ordered("symbol")
-    w = ordered("symbol", "shared") if flagged else own
+    own = ordered(*keys, order=order)
+    w = ordered(*keys, "shared", order=order) if flagged else own
     df = with_lags(with_atr(bars, own), w)
     df = df.withColumns({**vol_cols(w), **mom_cols(w), **bb_cols(w)})
     lagged = [c for c in PRICE_FEATURES if c not in ("atr_14", "rsi_14")]
     if flagged:
         df = df.withColumns({c: F.when(F.col("shared"), F.col(c)) for c in lagged})
-    keep = ["symbol", "date", "close", *(["shared"] if flagged else []), *lagged, "atr_14"]
-    df = df.select(*keep)
+    df = df.select("symbol", order, *carry, "close", *(["shared"] if flagged else []), *lagged, "atr_14")
     if rsi:
         df = add_rsi(df, "shared" if flagged else None)
-    return df.select("symbol", "date", *[c for c in PRICE_FEATURES if rsi or c != "rsi_14"])
+    return df.select("symbol", order, *carry, *[c for c in PRICE_FEATURES if rsi or c != "rsi_14"])
 
 
 def lookback_filter(bars: DataFrame, since: str, rows: int = MAX_LOOKBACK_ROWS) -> DataFrame:

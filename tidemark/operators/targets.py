@@ -48,23 +48,30 @@ def with_mdd(df: DataFrame, w: WindowSpec, h: int = MDD_HORIZON) -> DataFrame:
     return df.withColumn(f"tgt_mdd_{h}d", mdd).drop("_ahead_close")
 
 
-def forward_targets(panel: DataFrame, trim: bool = True, guard_prices: bool = False) -> DataFrame:
+def forward_targets(
+    panel: DataFrame,
+    trim: bool = True,
+    guard_prices: bool = False,
+    keys: tuple[str, ...] = ("symbol",),
+    order: str = "date",
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
     """All targets per symbol; ``trim`` drops each symbol's last 21 rows.
 
     ``guard_prices`` refuses non-positive closes instead of letting them turn into NULL.
     """
-    w = ordered("symbol")
+    w = ordered(*keys, order=order)
     if guard_prices:
         checked = F.when(F.col("close") > 0, F.col("close")).otherwise(
             F.raise_error(F.concat(F.lit("non-positive close for "), F.col("symbol"))).cast("double")
         )
         panel = panel.withColumn("close", checked)
-    df = panel.select("symbol", "date", "close").withColumn("_r", F.log("close") - F.log(F.lag("close").over(w)))
+    df = panel.select(*dict.fromkeys(("symbol", *keys, order, *carry, "close"))).withColumn("_r", F.log("close") - F.log(F.lag("close").over(w)))
     df = with_mdd(df.withColumns({**ret_targets(w), **vol_targets(w)}), w)
     if trim:
         df = df.withColumn("_ahead", F.count(F.lit(1)).over(w.rowsBetween(1, MAX_HORIZON)))
         df = df.where(F.col("_ahead") == MAX_HORIZON)
-    return df.select("symbol", "date", *TARGETS)
+    return df.select("symbol", order, *carry, *TARGETS)
 
 
 def causal_target(name: str, w: WindowSpec) -> Column:

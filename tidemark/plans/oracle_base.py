@@ -105,18 +105,31 @@ cte("tgt", "SELECT * FROM tgt_all WHERE ahead = 21")
 cte("supplier_mdd", _mdd("supplier_bars"))
 cte("supplier_tgt_all", _targets("supplier_bars", "supplier_mdd"))
 cte("supplier_tgt", "SELECT * FROM supplier_tgt_all WHERE ahead = 21")
-# Wilder smoothing unrolled: weight (13/14)^(age) / 14, the seed keeping its full weight.
-cte("rsi_moves", f"""
+
+
+def _rsi(name: str, source: str) -> None:
+    """Wilder smoothing unrolled: weight (13/14)^(age) / 14, the seed keeping its full weight."""
+    cte(f"{name}_moves", f"""
 SELECT symbol, date, row_number() OVER ({W}) AS rn, greatest(d, 0) AS g, -least(d, 0) AS l
-FROM (SELECT symbol, date, lag(close) OVER ({W}) - lag(close, 2) OVER ({W}) AS d FROM panel)""")
-cte("rsi_smooth", """
+FROM (SELECT symbol, date, lag(close) OVER ({W}) - lag(close, 2) OVER ({W}) AS d FROM {source})""")
+    cte(f"{name}_smooth", f"""
 SELECT a.symbol, a.date, a.rn,
   sum(b.g * CASE WHEN b.rn = 3 THEN 1.0 ELSE 1.0 / 14 END * pow(13.0 / 14, a.rn - b.rn)) AS ag,
   sum(b.l * CASE WHEN b.rn = 3 THEN 1.0 ELSE 1.0 / 14 END * pow(13.0 / 14, a.rn - b.rn)) AS al
-FROM rsi_moves a JOIN rsi_moves b ON a.symbol = b.symbol AND b.rn BETWEEN 3 AND a.rn GROUP BY ALL""")
-cte("rsi", """
+FROM {name}_moves a JOIN {name}_moves b ON a.symbol = b.symbol AND b.rn BETWEEN 3 AND a.rn GROUP BY ALL""")
+    cte(name, f"""
 SELECT m.symbol, m.date, CASE WHEN s.rn < 16 THEN NULL WHEN al > 0 THEN 100 - 100 / (1 + ag / al) WHEN ag = 0 AND al = 0 THEN 50 END AS rsi_14
-FROM rsi_moves m LEFT JOIN rsi_smooth s USING (symbol, date)""")
+FROM {name}_moves m LEFT JOIN {name}_smooth s USING (symbol, date)""")
+
+
+_rsi("rsi", "panel")
+cte("hourly_bars", "SELECT symbol, hour AS date, open, high, low, close, volume FROM hourly")
+cte("hourly_feat", _features("hourly_bars"))
+cte("hourly_atr", _atr("hourly_bars"))
+cte("hourly_mdd", _mdd("hourly_bars"))
+cte("hourly_tgt_all", _targets("hourly_bars", "hourly_mdd"))
+cte("hourly_tgt", "SELECT * FROM hourly_tgt_all WHERE ahead = 21")
+_rsi("hourly_rsi", "hourly_bars")
 
 _SERIES_CASE = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in PRIORITY_SERIES.items())
 cte("macro_obs", f"""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import dates, scalars
 from tidemark.functions.windows import ordered, rolling
+from tidemark.operators import blocks as bl
 from tidemark.operators import calendar as cal
 from tidemark.operators import macro_features as mf
 from tidemark.operators import price_features as pf
@@ -421,3 +422,36 @@ def rolling_bands(spark, sf):
         rolling(F.avg, F.col("close"), 20, w).alias("mean_20"),
         rolling(F.stddev_samp, F.col("close"), 20, w).alias("sd_20"),
     )
+
+
+# --- intraday panels -----------------------------------------------------------
+
+# Small blocks, so that the fixture's histories (720 hours) really span several.
+FIXTURE_BLOCK = 200
+
+
+def _hourly(spark, sf):
+    t = tables.event_ticks(spark, sf).where(F.col("price") > 0).withColumn("date", F.date_trunc("hour", "ts"))
+    return tables.resample_bars(t, ["event_id"]).select("*", F.col("date").alias("hour"), F.to_date("date").alias("day")).drop("date")
+
+
+def _hour_text(df):
+    return df.withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH:mm:ss"))
+
+
+@register("features_intraday", FEATURE_COLS.replace("date", "hour"), "SELECT f.*, a.atr_14, f.date AS hour FROM hourly_feat f JOIN hourly_atr a USING (symbol, date)")
+def features_intraday(spark, sf):
+    def windows(df, **kw):
+        return pf.price_features(df, rsi=False, **kw)
+
+    return _hour_text(bl.over_blocks(_hourly(spark, sf), windows, "hour", "day", back=pf.MAX_LOOKBACK_ROWS, rows=FIXTURE_BLOCK))
+
+
+@register("targets_intraday", TARGET_COLS.replace("date", "hour"), "SELECT *, date AS hour FROM hourly_tgt")
+def targets_intraday(spark, sf):
+    return _hour_text(bl.over_blocks(_hourly(spark, sf), tg.forward_targets, "hour", "day", back=1, ahead=21, rows=FIXTURE_BLOCK))
+
+
+@register("rsi_intraday", "symbol hour rsi_14:6", "SELECT symbol, date AS hour, rsi_14 FROM hourly_rsi")
+def rsi_intraday(spark, sf):
+    return _hour_text(bl.rsi_over_blocks(_hourly(spark, sf), "hour", "day", rows=FIXTURE_BLOCK))
