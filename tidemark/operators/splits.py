@@ -92,9 +92,29 @@ def fold_membership(cal: DataFrame, folds: DataFrame) -> DataFrame:
     return cal.select("date").join(f, inside).select("fold", role.alias("role"), "date").where("role is not null")
 
 
-def fold_rows(panel: DataFrame, membership: DataFrame) -> DataFrame:
-    """Panel rows of each fold and role."""
-    return panel.join(broadcast_calendar(membership), "date")
+def fold_spans(cal: DataFrame, folds: DataFrame) -> DataFrame:
+    """One row per date: the first fold that trains on it, the last fold, and the folds that test on it.
+
+    Training windows only grow, so a date once in training stays in all later
+    folds and two numbers describe it: the table stays one row per calendar date.
+    """
+    last = folds.agg(F.max("fold")).scalar()
+    return fold_membership(cal, folds).groupBy("date").agg(
+        F.min(F.when(F.col("role") == "train", F.col("fold"))).alias("train_from"),
+        F.collect_set(F.when(F.col("role") == "test", F.col("fold"))).alias("tests"),
+    ).withColumn("last_fold", last)
+
+
+def fold_rows(panel: DataFrame, spans: DataFrame) -> DataFrame:
+    """Panel rows of each fold and role, by an equi-join on date."""
+
+    def tagged(folds: Column, role: str) -> Column:
+        return F.transform(folds, lambda f: F.struct(f.alias("fold"), F.lit(role).alias("role")))
+
+    train = F.when(F.col("train_from").isNotNull(), F.sequence("train_from", "last_fold")).otherwise(F.array().cast("array<int>"))
+    hits = F.explode(F.concat(tagged(train, "train"), tagged(F.col("tests"), "test"))).alias("_hit")
+    joined = panel.join(broadcast_calendar(spans), "date")
+    return joined.select(*panel.columns, hits).select(*panel.columns, "_hit.fold", "_hit.role")
 
 
 def chrono_split(df: DataFrame, share: float = 0.7) -> DataFrame:

@@ -320,8 +320,8 @@ FROM panel JOIN folds ON date BETWEEN train_start AND train_end OR date BETWEEN
 GROUP BY ALL""")
 def fold_range_join(spark, sf):
     dates_ = src.panel_dates(spark, sf)
-    member = sp.fold_membership(dates_, sp.walk_forward(spark, dates_, src.VAL_END))
-    rows = sp.fold_rows(src.panel(spark, sf), member)
+    spans = sp.fold_spans(dates_, sp.walk_forward(spark, dates_, src.VAL_END))
+    rows = sp.fold_rows(src.panel(spark, sf), spans)
     return rows.groupBy("fold", "role", "symbol").agg(F.count("*").alias("n"), F.avg("close").alias("avg_close"))
 
 
