@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import PRED_COLS, regime_risk, row_std
@@ -25,27 +25,33 @@ def align_predictions(returns: DataFrame, drawdown: DataFrame, vol: DataFrame, r
     return base.select(*keys, "return_pred", "vol_pred", "regime_label", "drawdown_risk_prob")
 
 
-def fit_normalizer(preds: DataFrame, train_end: str) -> DataFrame:
-    """Mean and sample deviation per symbol and column over the train period.
+def _reference_rows(preds: DataFrame, train_end: str) -> tuple[DataFrame, dict[str, Column]]:
+    """Predictions in risk order, and each column limited to the rows its statistics come from.
 
     Volatility forecasts have no train period: their reference is the first 252
-    known rows of any date. A column with under 20 train rows or no spread gets
-    no statistics.
+    known rows of any date.
     """
     train = F.col("date") <= F.lit(train_end).cast("date")
     known_vol = F.count("vol_pred").over(ordered("symbol").rowsBetween(Window.unboundedPreceding, 0))
     df = with_regime_risk(preds).withColumn("_k", known_vol)
+    return df, {c: F.when((F.col("_k") <= VOL_REFERENCE_ROWS) if c == "vol_pred" else train, F.col(c)) for c in PRED_COLS}
+
+
+def _stats(x: Column, col: str, over: WindowSpec | None = None) -> tuple[Column, Column]:
+    """(mean, deviation); NULL under 20 train rows or without spread."""
+    mean, sd, n = (f(x) if over is None else f(x).over(over) for f in (F.avg, F.stddev_samp, F.count))
+    ok = (sd > 0) if col == "vol_pred" else (sd > 0) & (n >= MIN_TRAIN_ROWS)
+    return F.when(ok, mean), F.when(ok, sd)
+
+
+def fit_normalizer(preds: DataFrame, train_end: str) -> DataFrame:
+    """Mean and sample deviation per symbol and column over the train period, to be frozen and stored."""
+    df, rows = _reference_rows(preds, train_end)
     aggs = []
-    for c in PRED_COLS:
-        use = (F.col("_k") <= VOL_REFERENCE_ROWS) if c == "vol_pred" else train
-        x = F.when(use, F.col(c))
-        aggs += [F.avg(x).alias(f"mu_{c}"), F.stddev_samp(x).alias(f"sd_{c}"), F.count(x).alias(f"n_{c}")]
-    wide = df.groupBy("symbol").agg(*aggs)
-    for c in PRED_COLS:
-        enough = F.lit(True) if c == "vol_pred" else F.col(f"n_{c}") >= MIN_TRAIN_ROWS
-        ok = enough & (F.col(f"sd_{c}") > 0)
-        wide = wide.withColumns({f"mu_{c}": F.when(ok, F.col(f"mu_{c}")), f"sd_{c}": F.when(ok, F.col(f"sd_{c}"))})
-    return wide.select("symbol", *[f"{p}_{c}" for c in PRED_COLS for p in ("mu", "sd")])
+    for c, x in rows.items():
+        mean, sd = _stats(x, c)
+        aggs += [mean.alias(f"mu_{c}"), sd.alias(f"sd_{c}")]
+    return df.groupBy("symbol").agg(*aggs)
 
 
 def stats_long(stats: DataFrame) -> DataFrame:
@@ -54,14 +60,28 @@ def stats_long(stats: DataFrame) -> DataFrame:
     return stats.select("symbol", F.inline(cells)).where("sigma is not null")
 
 
-def normalize(preds: DataFrame, stats: DataFrame) -> DataFrame:
-    """Z-score with frozen statistics; a column without them passes through."""
-    joined = with_regime_risk(preds).join(stats, "symbol", "left")
+def _apply(df: DataFrame) -> DataFrame:
     z = {
         c: F.when(F.col(f"sd_{c}").isNotNull(), (F.col(c) - F.col(f"mu_{c}")) / F.col(f"sd_{c}")).otherwise(F.col(c))
         for c in PRED_COLS
     }
-    return joined.withColumns(z).drop(*[f"{p}_{c}" for c in PRED_COLS for p in ("mu", "sd")])
+    return df.withColumns(z).drop(*[f"{p}_{c}" for c in PRED_COLS for p in ("mu", "sd")])
+
+
+def normalize(preds: DataFrame, stats: DataFrame) -> DataFrame:
+    """Z-score with frozen statistics; a column without them passes through."""
+    return _apply(with_regime_risk(preds).join(stats, "symbol", "left"))
+
+
+def fit_and_normalize(preds: DataFrame, train_end: str) -> DataFrame:
+    """``normalize(preds, fit_normalizer(preds, ...))`` in one pass: the statistics are windows
+    over the symbol, so the predictions are neither computed twice nor joined to themselves."""
+    df, rows = _reference_rows(preds, train_end)
+    w = Window.partitionBy("symbol")
+    stats = {}
+    for c, x in rows.items():
+        stats[f"mu_{c}"], stats[f"sd_{c}"] = _stats(x, c, w)
+    return _apply(df.withColumns(stats)).drop("_k")
 
 
 def with_disagreement(preds: DataFrame, fit_start: str | None, fit_end: str | None) -> DataFrame:

@@ -49,13 +49,27 @@ def with_rolling_ic(df: DataFrame, jobs: tuple[Job, ...], has: Column, n: int =
     return df.withColumns({out: F.when(F.col(f"_in_{out}"), F.col(out)) for out, *_ in jobs}).drop(*flags)
 
 
-def rolling_ic(preds: DataFrame, targets: DataFrame, n: int = WINDOW) -> DataFrame:
+def attach_targets(preds: DataFrame, targets: DataFrame) -> DataFrame:
+    """Predictions with the target columns of their date and the ``has_target`` flag.
+
+    Where targets come from the same panel, ``forward_targets(..., carry=..., mark="has_target")``
+    yields this table without a join.
+    """
+    cols = ["tgt_ret_1d", "tgt_vol_5d"]
+    return preds.join(targets.select("symbol", "date", *cols, F.lit(True).alias("has_target")), ["symbol", "date"], "left")
+
+
+def with_ic(df: DataFrame, n: int = WINDOW) -> DataFrame:
     """IC of the return and volatility predictions against targets that are past by then."""
-    w = ordered("symbol")
-    past = targets.select("symbol", "date", F.lit(True).alias("_has"), *[causal_target(t, w).alias(f"_{t}") for _, _, t in IC_JOBS])
-    df = preds.select("symbol", "date", "return_pred", "vol_pred").join(past, ["symbol", "date"], "left")
+    w = ordered("symbol", "_has")
+    has = F.coalesce("has_target", F.lit(False))
+    df = df.withColumn("_has", has).withColumns({f"_{t}": F.when(F.col("_has"), causal_target(t, w)) for _, _, t in IC_JOBS})
     jobs = tuple((out, pred, f"_{t}") for out, pred, t in IC_JOBS)
-    return with_rolling_ic(df, jobs, F.col("_has").isNotNull(), n).select("symbol", "date", *[j[0] for j in jobs])
+    return with_rolling_ic(df, jobs, F.col("_has"), n).drop("_has", *[j[2] for j in jobs])
+
+
+def rolling_ic(preds: DataFrame, targets: DataFrame, n: int = WINDOW) -> DataFrame:
+    return with_ic(attach_targets(preds, targets), n).select("symbol", "date", *[out for out, _, _ in IC_JOBS])
 
 
 def centred_sign(w: WindowSpec, pred: str = "return_pred") -> Column:
@@ -90,16 +104,19 @@ def regime_hit_rate(df: DataFrame, ret: str = "ret_bwd", n: int = WINDOW) -> Dat
     return df.withColumn("rolling_regime_accuracy", rolling(F.avg, F.col("_hit"), n, w, min_count=n // 2)).drop("_call", "_hit")
 
 
-def meta_features(preds: DataFrame, targets: DataFrame, returns: DataFrame, n: int = WINDOW) -> DataFrame:
-    """All track-record features per (symbol, date).
+def with_meta_features(df: DataFrame, n: int = WINDOW) -> DataFrame:
+    """Appends all track-record features; one hash partitioning by symbol serves every window.
 
-    ``preds`` carries the four predictions, the raw ``regime_label`` and the
-    ``disagreement``; ``returns`` the realised return ``ret_bwd`` of each date.
+    ``df`` carries the four predictions, the raw ``regime_label``, ``disagreement``,
+    the realised return ``ret_bwd``, and target columns as ``attach_targets`` gives them.
     """
-    df = preds.join(returns.select("symbol", "date", "ret_bwd"), ["symbol", "date"], "left")
-    df = regime_hit_rate(rolling_disagreement(rolling_pnl(df, n=n), n=n), n=n)
-    ic = rolling_ic(preds, targets, n)
-    return df.join(ic, ["symbol", "date"], "left").select("symbol", "date", *META_ALL)
+    return with_ic(regime_hit_rate(rolling_disagreement(rolling_pnl(df, n=n), n=n), n=n), n)
+
+
+def meta_features(preds: DataFrame, targets: DataFrame, returns: DataFrame, n: int = WINDOW) -> DataFrame:
+    """Track-record features from three separate tables."""
+    df = preds.drop("ret_bwd").join(returns.select("symbol", "date", "ret_bwd"), ["symbol", "date"], "left")
+    return with_meta_features(attach_targets(df, targets), n).select("symbol", "date", *META_ALL)
 
 
 def live_features(df: DataFrame, n: int = WINDOW) -> DataFrame:
@@ -123,24 +140,26 @@ def live_features(df: DataFrame, n: int = WINDOW) -> DataFrame:
     return with_rolling_ic(df, jobs, F.lit(True), n).drop("_past_ret", "_past_vol")
 
 
-def proxy_target(preds: DataFrame, targets: DataFrame, n: int = WINDOW, zscore: bool = True, zscore_on: Column | None = None) -> DataFrame:
+def proxy_target(
+    preds: DataFrame, targets: DataFrame | None = None, n: int = WINDOW, zscore: bool = True, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """Mean realised PnL of each model's signal over the next ``n`` rows, z-scored per symbol.
 
     Needs ``n`` rows ahead and at least a quarter of them with both values; rows
-    with any unknown score are dropped. ``zscore_on`` limits the rows the z-score
-    statistics are taken from.
+    with any unknown score are dropped. Without ``targets``, ``preds`` carries
+    ``tgt_ret_1d`` itself. ``carry`` names further columns to keep.
     """
     w = ordered("symbol")
     need = max(5, n // 4)
-    df = preds.join(targets.select("symbol", "date", F.col("tgt_ret_1d").alias("_r")), ["symbol", "date"], "left")
+    df = preds if targets is None else attach_targets(preds, targets)
     sign = {"return": 1.0, "vol": -1.0, "regime": -1.0, "drawdown": -1.0}
     cols = dict(zip(MODELS, PRED_COLS))
-    df = df.withColumns({f"_p_{m}": F.lit(sign[m]) * F.col(cols[m]) * F.col("_r") for m in MODELS})
+    df = df.withColumns({f"_p_{m}": F.lit(sign[m]) * F.col(cols[m]) * F.col("tgt_ret_1d") for m in MODELS})
     ahead = F.count(F.lit(1)).over(w.rowsBetween(1, n))
     df = df.withColumns({f"y_{m}": F.when(ahead == n, forward(F.avg, F.col(f"_p_{m}"), n, w, need)) for m in MODELS})
     ys = [f"y_{m}" for m in MODELS]
-    df = df.select("symbol", "date", *ys).na.drop(subset=ys)
-    return zscore_columns(df, ys, zscore_on) if zscore else df
+    df = df.select("symbol", "date", *carry, *ys).na.drop(subset=ys)
+    return zscore_columns(df, ys) if zscore else df
 
 
 def zscore_columns(df: DataFrame, cols: list[str], on: Column | None = None) -> DataFrame:
@@ -154,19 +173,17 @@ def zscore_columns(df: DataFrame, cols: list[str], on: Column | None = None) ->
     return df.withColumns(out)
 
 
-def meta_prepare(meta: DataFrame, preds: DataFrame, targets: DataFrame, train_end: str, val_end: str, zscore: str = "all", share: float = 0.7) -> DataFrame:
+def meta_prepare(table: DataFrame, train_end: str, val_end: str, zscore: str = "all", share: float = 0.7) -> DataFrame:
     """Training table of the weight learner on the validation period.
 
-    The three inputs are cut to the period first, so no forward window leaves it;
-    features and target then meet on complete rows only, tagged train / eval.
+    ``table`` holds predictions, meta-features and ``tgt_ret_1d``. It is cut to
+    the period first, so no forward window leaves it; complete rows are then
+    tagged train / eval. ``zscore`` takes the target's statistics from all rows
+    or from the train rows only.
     """
-
-    def cut(df: DataFrame) -> DataFrame:
-        return splits.split_rows(df, "val", train_end, val_end)
-
-    y = proxy_target(cut(preds), cut(targets), zscore=zscore == "all")
-    x = cut(meta).select("symbol", "date", *META_FEATURES)
-    rows = splits.chrono_split(x.join(y, ["symbol", "date"]).na.drop(), share)
+    val = splits.split_rows(table, "val", train_end, val_end)
+    y = proxy_target(val, zscore=zscore == "all", carry=META_FEATURES)
+    rows = splits.chrono_split(y.na.drop(), share)
     if zscore == "train":
         rows = zscore_columns(rows, [f"y_{m}" for m in MODELS], F.col("part") == "train")
     return rows

@@ -55,8 +55,9 @@ def forward_targets(
     keys: tuple[str, ...] = ("symbol",),
     order: str = "date",
     carry: tuple[str, ...] = (),
+    mark: str | None = None,
 ) -> DataFrame:
-    """All targets per symbol; ``trim`` drops each symbol's last 21 rows.
+    """All targets per symbol; ``trim`` drops each symbol's last 21 rows, ``mark`` flags the others instead.
 
     ``guard_prices`` refuses non-positive closes instead of letting them turn into NULL.
     """
@@ -68,9 +69,11 @@ def forward_targets(
         panel = panel.withColumn("close", checked)
     df = panel.select(*dict.fromkeys(("symbol", *keys, order, *carry, "close"))).withColumn("_r", F.log("close") - F.log(F.lag("close").over(w)))
     df = with_mdd(df.withColumns({**ret_targets(w), **vol_targets(w)}), w)
+    full = F.count(F.lit(1)).over(w.rowsBetween(1, MAX_HORIZON)) == MAX_HORIZON
+    if mark:
+        return df.select("symbol", order, *carry, *TARGETS, full.alias(mark))
     if trim:
-        df = df.withColumn("_ahead", F.count(F.lit(1)).over(w.rowsBetween(1, MAX_HORIZON)))
-        df = df.where(F.col("_ahead") == MAX_HORIZON)
+        df = df.withColumn("_full", full).where("_full")
     return df.select("symbol", order, *carry, *TARGETS)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.windows import ANNUAL_DAYS, ordered, rolling
 from tidemark.operators import calendar as cal
 from tidemark.operators import ensemble, splits, targets
-from tidemark.operators.meta import WeightModel, meta_features
+from tidemark.operators.meta import WeightModel, meta_prepare, with_meta_features
 from tidemark.operators.price_features import log_return
 from tidemark.sources import tables
 
@@ -91,8 +91,7 @@ def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def preds_z(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = preds(spark, sf_dir)
-    return ensemble.normalize(raw, ensemble.fit_normalizer(raw, TRAIN_END))
+    return ensemble.fit_and_normalize(preds(spark, sf_dir), TRAIN_END)
 
 
 def preds_d(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,9 +102,22 @@ def trimmed_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return targets.forward_targets(panel(spark, sf_dir))
 
 
-def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+def targeted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions with the targets of the same rows, flagged instead of trimmed."""
     p = preds_d(spark, sf_dir)
-    return meta_features(p.drop("ret_bwd"), trimmed_targets(spark, sf_dir), p.select("symbol", "date", "ret_bwd"))
+    carry = tuple(c for c in p.columns if c not in ("symbol", "date", "close"))
+    return targets.forward_targets(p, carry=carry, mark="has_target")
+
+
+def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions, targets and track-record features: one panel, one shuffle by symbol."""
+    return with_meta_features(targeted(spark, sf_dir))
+
+
+def meta_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = meta(spark, sf_dir)
+    known = F.when(F.col("has_target"), F.col("tgt_ret_1d"))
+    return meta_prepare(table.withColumn("tgt_ret_1d", known), TRAIN_END, VAL_END)
 
 
 def run_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,7 +128,8 @@ def meta_features(spark, sf):
 @register("meta_write", META_COLS, "SELECT * FROM meta")
 def meta_write(spark, sf):
     path = scratch_dir(spark, "meta")
-    store.write_table(src.meta(spark, sf), path)
+    p = src.preds_d(spark, sf)
+    store.write_table(mt.meta_features(p, src.trimmed_targets(spark, sf), src.returns(spark, sf)), path)
     return spark.read.parquet(path)
 
 
@@ -142,13 +143,13 @@ def proxy_target(spark, sf):
 
 @register("meta_prepare", f"symbol date part rolling_ic_return:9 rolling_disagreement:9 {Y_COLS}", "SELECT * FROM meta_xy")
 def meta_prepare(spark, sf):
-    return mt.meta_prepare(src.meta(spark, sf), src.preds_d(spark, sf), src.trimmed_targets(spark, sf), src.TRAIN_END, src.VAL_END)
+    return src.meta_rows(spark, sf)
 
 
 @register("meta_xy", "symbol n_rows:b n_train:b first_date last_date", """
 SELECT symbol, count(*) AS n_rows, count(*) FILTER (part = 'train') AS n_train, min(date) AS first_date, max(date) AS last_date FROM meta_xy GROUP BY symbol""")
 def meta_xy(spark, sf):
-    rows = mt.meta_prepare(src.meta(spark, sf), src.preds_d(spark, sf), src.trimmed_targets(spark, sf), src.TRAIN_END, src.VAL_END)
+    rows = src.meta_rows(spark, sf)
     train, held = rows.where("part = 'train'"), rows.where("part = 'eval'")
     return train.unionByName(held).groupBy("symbol").agg(
         F.count("*").alias("n_rows"), F.count_if(F.col("part") == "train").alias("n_train"),
@@ -199,9 +200,8 @@ def direction_signals(spark, sf):
 
 @register("weighted_signal", "symbol date signal:9", f"SELECT symbol, date, {om.SIGNAL} AS signal FROM preds_d JOIN weights_train USING (symbol, date)")
 def weighted_signal(spark, sf):
-    w = mt.predict_weights(src.meta(spark, sf), src.WEIGHT_MODEL).select("symbol", "date", *bt.WEIGHTS)
     s = scalars.weighted_signal({m: F.col(f"w_{m}") for m in scalars.MODELS}, scalars.direction_signals())
-    return src.preds_d(spark, sf).join(w, ["symbol", "date"]).withColumn("signal", s)
+    return mt.predict_weights(src.meta(spark, sf), src.WEIGHT_MODEL).withColumn("signal", s)
 
 
 EQUAL = "0.25 * (return_pred - coalesce(vol_pred, 0) - coalesce(regime_pred, 0) - coalesce(drawdown_risk_prob, 0))"

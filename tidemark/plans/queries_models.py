@@ -304,8 +304,7 @@ def class_balance(spark, sf):
 
 
 def _meta_rows(spark, sf):
-    rows = mt.meta_prepare(src.meta(spark, sf), src.preds_d(spark, sf), src.trimmed_targets(spark, sf), src.TRAIN_END, src.VAL_END)
-    return _written(spark, rows, "meta-rows")
+    return _written(spark, src.meta_rows(spark, sf), "meta-rows")
 
 
 RIDGE_COLS = "symbol model alpha:6 intercept:6 " + " ".join(f"coef_{i}:6" for i in range(5)) + " saturated"

@@ -15,6 +15,8 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # Tables partitioned by symbol join on (symbol, date) as they are, without another shuffle.
+        .config("spark.sql.requireAllClusterKeysForCoPartition", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
