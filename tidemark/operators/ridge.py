@@ -84,11 +84,14 @@ def _r2(m: np.ndarray, beta: np.ndarray, b0: np.ndarray) -> np.ndarray:
     return 1 - sse / sst
 
 
-def _fit_symbol(rows: list, alphas: tuple[float, ...]) -> dict:
+def _fit_symbol(rows: list, alphas: tuple[float, ...], splits: int) -> dict | None:
+    """Fit of one symbol; None when its history is too short for every fold to have train and test rows."""
     by = {(r["fold"], r["role"]): _square(np.asarray(r["s"], dtype=float)) for r in rows}
     folds = sorted(f for f, role in by if role == "train" and (f, "test") in by)
+    if len(folds) < splits:
+        return None
     scores = np.array([[_r2(by[f, "test"], *_solve(by[f, "train"], a)) for f in folds] for a in alphas])
-    picked = scores.mean(axis=1).argmax(axis=0) if folds else np.full(len(MODELS), len(alphas) - 1)
+    picked = scores.mean(axis=1).argmax(axis=0)
     out = {"mean": list(rows[0]["mean"]), "scale": list(rows[0]["scale"]), "n_rows": int(by[ALL_ROWS, "all"][0, 0])}
     for i, m in enumerate(MODELS):
         alpha = alphas[int(picked[i])]
@@ -126,8 +129,8 @@ def fit_ridge(train: DataFrame, alphas: tuple[float, ...] = ALPHAS_V2, splits: i
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fitted = [{"symbol": s, **_fit_symbol(list(rows), alphas)} for s, rows in zip(pdf["symbol"], pdf["rows"])]
-            yield pd.DataFrame(fitted, columns=[f.name for f in fit_schema()])
+            fitted = [(s, _fit_symbol(list(rows), alphas, splits)) for s, rows in zip(pdf["symbol"], pdf["rows"])]
+            yield pd.DataFrame([{"symbol": s, **m} for s, m in fitted if m], columns=fit_schema().names)
 
     return cells.mapInPandas(solve, fit_schema())
 

@@ -10,6 +10,7 @@ from tidemark.operators import calendar as cal
 from tidemark.operators import ensemble, splits, targets
 from tidemark.operators.meta import WeightModel, meta_prepare, with_meta_features
 from tidemark.operators.price_features import log_return
+from tidemark.session import scratch_dir
 from tidemark.sources import tables
 
 # Split boundaries and crisis windows of the fixtures.
@@ -40,6 +41,13 @@ def panel_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cal.shared_calendar(cal.weekday_bars(bars(spark, sf_dir)))
 
 
+def stored_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shared calendar as a written table, for plans that read it several times."""
+    path = scratch_dir(spark, "calendar")
+    panel_dates(spark, sf_dir).write.parquet(path)
+    return spark.read.schema("date DATE").parquet(path)
+
+
 def macro_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations stamped with the date they became known."""
     return cal.publication_shift(tables.order_macro(spark, sf_dir), {tables.MONTHLY_SERIES: 1})

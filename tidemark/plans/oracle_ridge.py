@@ -61,7 +61,7 @@ def _sse(m: int) -> str:
 
 cte("ridge_scores", " UNION ALL ".join(
     f"SELECT f.symbol, {m} AS model, alpha, avg(1 - ({_sse(m)}) / ({_s(y, y)} - {_s('one', y)} * {_s('one', y)} / {_N})) AS score "
-    f"FROM ridge_fit f JOIN ridge_gram t ON f.symbol = t.symbol AND f.fold = t.fold AND t.role = 'test' GROUP BY f.symbol, alpha"
+    f"FROM ridge_fit f JOIN ridge_gram t ON f.symbol = t.symbol AND f.fold = t.fold AND t.role = 'test' GROUP BY f.symbol, alpha HAVING count(*) = {SPLITS}"
     for m, y in enumerate(YS)
 ))
 cte("ridge_pick", """

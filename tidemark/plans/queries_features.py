@@ -311,7 +311,7 @@ def split_info(spark, sf):
 
 @register("walk_forward", "fold:i train_start train_end test_start test_end", "SELECT * FROM folds")
 def walk_forward(spark, sf):
-    return sp.walk_forward(spark, src.panel_dates(spark, sf), src.VAL_END)
+    return sp.walk_forward(spark, src.stored_dates(spark, sf), src.VAL_END)
 
 
 @register("fold_range_join", "fold:i role symbol n:b avg_close:6", """
@@ -319,9 +319,9 @@ SELECT fold, CASE WHEN date <= train_end THEN 'train' ELSE 'test' END AS role, s
 FROM panel JOIN folds ON date BETWEEN train_start AND train_end OR date BETWEEN test_start AND test_end
 GROUP BY ALL""")
 def fold_range_join(spark, sf):
-    dates_ = src.panel_dates(spark, sf)
+    dates_ = src.stored_dates(spark, sf)
     spans = sp.fold_spans(dates_, sp.walk_forward(spark, dates_, src.VAL_END))
-    rows = sp.fold_rows(src.panel(spark, sf), spans)
+    rows = sp.fold_rows(cal.weekday_bars(src.bars(spark, sf)), spans)
     return rows.groupBy("fold", "role", "symbol").agg(F.count("*").alias("n"), F.avg("close").alias("avg_close"))
 
 
