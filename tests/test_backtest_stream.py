@@ -91,3 +91,24 @@ def test_stream_equals_batch_over_restarts_and_ignores_old_rows(spark, run):
     assert len(got) == len(want) == 240
     for c in ("signal", *bt.WEIGHTS):
         np.testing.assert_allclose(got[c], want[c], atol=1e-10, err_msg=c)
+
+
+def test_late_ticks_are_dropped_and_counted(spark):
+    from tidemark.streaming import bars as sb
+
+    root = scratch_dir(spark, "late")
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+    def deliver(rows):
+        frame = spark.createDataFrame(
+            [(i, pd.Timestamp(t).to_pydatetime(), 1, "click", v, "") for i, t, v in rows], schema
+        )
+        frame.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        ticks = sb.read_ticks(spark, f"{root}/in", "*.parquet")
+        return sink.run_available(sink.write_batches(sb.stream_bars(ticks), f"{root}/out", f"{root}/cp"))
+
+    deliver([(1, "2024-01-01 00:10", 5.0), (2, "2024-01-01 00:50", 7.0), (3, "2024-01-01 09:00", 6.0)])
+    query = deliver([(4, "2024-01-01 00:30", 99.0), (5, "2024-01-01 09:30", 8.0), (6, "2024-01-01 09:40", 0.0)])
+    assert sink.late_rows(query) == 1
+    got = {r.start.hour: (r.open, r.high, r.low, r.close) for r in sink.latest(spark, f"{root}/out", ["symbol", "start"]).collect()}
+    assert got == {0: (5.0, 7.0, 5.0, 7.0), 9: (6.0, 8.0, 6.0, 8.0)}

@@ -104,3 +104,11 @@ def test_price_scan_by_symbol(spark, bars):
 def test_target_guard(bars):
     with pytest.raises(ValueError):
         dq.refuse_targets(bars.withColumn("tgt_ret_1d", F.lit(0.0)))
+
+
+def test_empty_scan_is_an_error(spark, bars):
+    from tidemark.sources.tables import require_rows
+
+    assert require_rows(bars, "all symbols") is bars
+    with pytest.raises(ValueError, match="no rows for ZZZ"):
+        require_rows(bars.where("symbol = 'ZZZ'"), "ZZZ")

@@ -177,10 +177,6 @@ def bad_weights(df: DataFrame, cols: list[str], floor: float, tol: float = 1e-10
     return df.where((F.abs(total - 1.0) > tol) | (F.least(*[F.col(c) for c in cols]) < floor - tol))
 
 
-def bad_prices(bars: DataFrame) -> DataFrame:
-    return bars.where(F.col("close") <= 0)
-
-
 def join_loss(left: DataFrame, right: DataFrame) -> DataFrame:
     """Dates an inner join on date would drop, counted per side, in one pass over both date sets."""
     a = left.select("date").distinct().withColumn("_l", F.lit(1)).withColumn("_r", F.lit(0))
