@@ -41,10 +41,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
     The cluster's shared folder (``spark.checkpoint.dir``) is used whenever the
     session names one, so every executor can read what another wrote. Only a
-    session without that setting (tests) falls back to a local folder.
+    local session without that setting (tests) gets a folder of its own; any
+    other master must name the shared folder.
     """
     root = _setting(spark, "spark.checkpoint.dir")
     if root is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
