@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, html_template, importance, langid, mixing, quality_rules, simhash, toxicity, warc
+from tidemark.llm import ann, bpe, html_template, importance, langid, mixing, quality_rules, simhash, toxicity, warc
 from tidemark.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -40,6 +40,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), every=50)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,6 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe, op2_simhash, op3_importance, op4_mixing, op5_html_template, op6_warc, op7_toxicity, op9_quality_rules, op10_langid)
+    for f in (op1_bpe, op2_simhash, op3_importance, op4_mixing, op5_html_template, op6_warc, op7_toxicity, op8_ann, op9_quality_rules, op10_langid)
 }
 ORACLES = {"op4_mixing": mixing.ASSIGN_SQL, "op6_warc": warc.ROUND_TRIP_SQL}
