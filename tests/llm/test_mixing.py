@@ -47,7 +47,7 @@ def test_query_against_oracle_and_levels(spark):
     assert compare(got.toPandas(), con.execute(queries.ORACLES["op4_mixing"]).fetchdf()) is None
     taken, want = check(got.collect(), con.execute("SELECT doc_id, text, source FROM documents").fetchall())
     for s, t in want.items():
-        assert t * 0.9 <= taken[s] <= t
+        assert abs(taken[s] - t) <= 0.2 * t  # ten documents a source
     assert sorted(got.collect()) == sorted(queries.op4_mixing(spark, SF).collect())
 
 
@@ -57,7 +57,9 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(*d, 1, True) for d in docs], "doc_id long, text string, source string, size int, open boolean")
     rows = mixing.assign(df).collect()
     taken, want = check(rows, docs)
-    assert all(taken[s] <= want[s] + 1e-9 for s in want)
+    words = {i: s for i, _, s in docs}
+    for s in want:
+        assert abs(taken[s] - want[s]) <= max(n for n, x in ((r.size, words[r.doc_id]) for r in rows) if x == s)
     mixed = mixing.mix(df)
     assert mixed.columns == df.columns
     n = Counter(r.doc_id for r in mixed.collect())

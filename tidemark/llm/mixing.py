@@ -3,7 +3,8 @@
 Every document has a 60-bit hash of its id. Words are summed by source and hash bucket (4096 per level), a running sum
 over the few buckets of a source finds the one where its budget runs out, and only that bucket is looked at again with
 12 further bits, five times over. What lies below the resulting threshold is taken: a filter, no sort of documents. The
-rest of the budget, smaller than the boundary document, goes to the largest documents beyond the threshold that fit it.
+rest of the budget, smaller than the boundary document, goes to up to three documents beyond the threshold, each the one
+that brings the source nearest to its target.
 
 A source whose target reaches its size has every document once, and its budget buys second copies. Whole documents
 only, so taken is 0, 1 or 2 times the size. Null sources form one source (last in order), null texts have size 0, null
@@ -25,7 +26,7 @@ WEIGHTS, SHARE, MAX_COPIES = (3, 1, 2), 1.5, 2.0
 #: Bits of the hash, and of each histogram.
 HASH_BITS, LEVEL_BITS = 60, 12
 #: Documents that may fill a source's rest.
-TOP_UPS = 2
+TOP_UPS = 3
 
 
 def _hash(doc_id: Column, text: Column) -> Column:
@@ -85,13 +86,13 @@ def thresholds(sized: DataFrame) -> DataFrame:
     plan = plan.drop("open").withColumn("extras", F.array().cast("array<long>"))
     for _ in range(TOP_UPS):
         rest = _same(sized, plan.select("source", "bound", "left", "extras"))
-        rest = rest.where((F.col("h") >= F.col("bound")) & (F.col("size") > 0) & (F.col("size") <= F.col("left")) & ~F.array_contains("extras", F.col("h")))
-        units = rest.groupBy("source", "h", "left").agg(F.sum("size").alias("words")).where("words <= left")
-        best = units.groupBy("source").agg(F.max(F.struct("words", (-F.col("h")).alias("minus"))).alias("best"))
+        rest = rest.where((F.col("h") >= F.col("bound")) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("left")) & ~F.array_contains("extras", F.col("h")))
+        units = rest.groupBy("source", "h", "left").agg(F.sum("size").alias("words")).where("words < 2 * left")
+        best = units.groupBy("source").agg(F.min(F.struct(F.abs(F.col("left") - F.col("words")).alias("gap"), "h", "words")).alias("best"))
         plan = _same(plan, best, "left").select(
             "source", "source_size", "target", "copies", "bound",
             (F.col("left") - F.coalesce("best.words", F.lit(0))).alias("left"),
-            F.when(F.col("best").isNull(), F.col("extras")).otherwise(F.concat("extras", F.array(-F.col("best.minus")))).alias("extras"),
+            F.when(F.col("best").isNull(), F.col("extras")).otherwise(F.concat("extras", F.array("best.h"))).alias("extras"),
         )
         plan = staged(plan, "thresholds")
     return plan
@@ -122,7 +123,15 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     return times.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("nth")).select("row.*")
 
 
-ASSIGN_SQL = """
+_TOP_UP_SQL = """
+u{n} AS (
+  SELECT c.source, h, SUM(size)::BIGINT AS words, any_value(room) AS room FROM c JOIN {before} AS r ON c.source IS NOT DISTINCT FROM r.source
+  WHERE upto > budget AND size > 0 {others} GROUP BY c.source, h HAVING SUM(size) < 2 * any_value(room)),
+p{n} AS (SELECT * FROM u{n} QUALIFY row_number() OVER (PARTITION BY source ORDER BY abs(room - words), h) = 1),
+r{n} AS (SELECT source, room - words AS room FROM p{n}),"""
+
+ASSIGN_SQL = (
+    """
 WITH d AS (
   SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
     ('0x' || substr(md5(COALESCE(CAST(doc_id AS VARCHAR), md5(text), '')), 1, 15))::BIGINT AS h
@@ -139,17 +148,20 @@ b AS (SELECT *, CASE WHEN target >= source_size THEN 1 ELSE 0 END AS copies, tar
 c AS (
   SELECT d.*, source_size, target, copies, budget, SUM(size) OVER (PARTITION BY d.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
   FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
-r AS (SELECT source, any_value(budget) - COALESCE(MAX(upto) FILTER (WHERE upto <= budget), 0) AS room FROM c GROUP BY source),
-u1 AS (
-  SELECT source, h, SUM(size)::BIGINT AS words, any_value(room) AS room FROM c JOIN r USING (source)
-  WHERE upto > budget AND size > 0 GROUP BY source, h HAVING SUM(size) <= any_value(room)),
-p1 AS (SELECT source, h, words FROM u1 QUALIFY row_number() OVER (PARTITION BY source ORDER BY words DESC, h) = 1),
-u2 AS (
-  SELECT u1.source, u1.h, u1.words FROM u1 JOIN p1 ON u1.source IS NOT DISTINCT FROM p1.source
-  WHERE u1.h <> p1.h AND u1.words <= u1.room - p1.words),
-p2 AS (SELECT source, h FROM u2 QUALIFY row_number() OVER (PARTITION BY source ORDER BY words DESC, h) = 1),
-x AS (SELECT source, h FROM p1 UNION ALL SELECT source, h FROM p2)
+r AS (SELECT source, any_value(budget) - COALESCE(MAX(upto) FILTER (WHERE upto <= budget), 0) AS room FROM c GROUP BY source),"""
+    + "".join(
+        _TOP_UP_SQL.format(
+            n=n,
+            before=f"r{n - 1}" if n > 1 else "r",
+            others="".join(f" AND NOT EXISTS (SELECT 1 FROM p{i} WHERE p{i}.source IS NOT DISTINCT FROM c.source AND p{i}.h = c.h)" for i in range(1, n)),
+        )
+        for n in range(1, TOP_UPS + 1)
+    )
+    + f"""
+x AS ({' UNION ALL '.join(f'SELECT source, h FROM p{n}' for n in range(1, TOP_UPS + 1))})"""
+    + """
 SELECT doc_id, size, source_size, target,
   size * (copies + CASE WHEN upto <= budget OR EXISTS (SELECT 1 FROM x WHERE x.source IS NOT DISTINCT FROM c.source AND x.h = c.h) THEN 1 ELSE 0 END) AS taken
 FROM c
 """
+)
