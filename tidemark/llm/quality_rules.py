@@ -191,7 +191,8 @@ def apply_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lan
         own = model.select(F.col("key").alias("__key"), F.col("mean").alias(f"mean{level}"), F.col("inverse").alias(f"inverse{level}"))
         found = found.join(own, _key(level) == F.col("__key"), "left").drop("__key")
     found = found.withColumn("mean", F.coalesce("mean0", "mean1", "mean2")).withColumn("inverse", F.coalesce("inverse0", "inverse1", "inverse2"))
-    found = found.withColumn("distance", F.sqrt(F.greatest(_distance(), F.lit(0.0))))
+    d2 = _distance()
+    found = found.withColumn("distance", F.when(d2 < 0, 0.0).otherwise(F.sqrt(d2)))
     limit = chi2_quantile(1 - ALPHA, P) ** 0.5
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= limit)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
