@@ -93,17 +93,25 @@ def rsi_over_blocks(df: DataFrame, order: str, coarse: str, n: int = 14, rows: i
         *[F.min_by(c, F.when(F.col("_move").isNotNull(), F.col("pos"))).alias(f"{c}_first") for c in ("_up", "_down")],
     )
     # The first move seeds the recursion; every block end then decays by r per move.
-    first_block = F.col("block") == 0
+    moved_before = F.sum("k").over(ordered("symbol", order="block").rowsBetween(UNBOUNDED, -1))
+    ends = ends.withColumn("_first_moved", F.coalesce(moved_before, F.lit(0)) == 0)
+    first_moved = F.col("_first_moved")
     ends = ends.withColumns(
-        {f"{c}_end": F.when(first_block, F.pow(F.lit(r), F.col("k")) * F.col(f"{c}_first")).otherwise(0.0) + F.col(f"{c}_end") for c in ("_up", "_down")}
+        {f"{c}_end": F.when(first_moved & (F.col("k") > 0), F.pow(F.lit(r), F.col("k")) * F.col(f"{c}_first")).otherwise(0.0) + F.col(f"{c}_end") for c in ("_up", "_down")}
     )
-    # Ends further back than this have decayed below the smallest double: dropping them changes nothing.
-    reach = math.ceil(DOUBLE_UNDERFLOW / (rows * -math.log(r))) + 1
-    chain = F.collect_list(F.struct("k", "_up_end", "_down_end")).over(ordered("symbol", order="block").rowsBetween(-reach, -1))
-    ends = ends.withColumn("_chain", chain)
+    # Ends more moves back than this have decayed below the smallest double: dropping them changes nothing. Blocks
+    # without a move pass on what they got, so the chain reaches back by moves, and holds blocks with moves only.
+    before = F.sum("k").over(ordered("symbol", order="block").rowsBetween(UNBOUNDED, -1))
+    ends = ends.withColumn("_start", F.coalesce(before, F.lit(0)))
+    moves = math.ceil(DOUBLE_UNDERFLOW / -math.log(r)) + rows
+    near = ordered("symbol", order="_start").rangeBetween(-moves, 0)
+    chain = F.collect_list(F.when(F.col("k") > 0, F.struct("block", "k", "_up_end", "_down_end"))).over(near)
+    ends = ends.withColumn("_chain", F.array_sort(F.filter(chain, lambda e: e["block"] < F.col("block"))))
     for c in ("_up", "_down"):
         carried = F.aggregate("_chain", F.lit(0.0), lambda y, e: F.pow(F.lit(r), e["k"]) * y + e[f"{c}_end"])
-        ends = ends.withColumn(f"{c}_carry", F.when(first_block, F.coalesce(f"{c}_first", F.lit(0.0))).otherwise(carried))
+        # The first move may come in a later block: it seeds the recursion there.
+        own_first = first_moved & F.col(f"{c}_first").isNotNull()
+        ends = ends.withColumn(f"{c}_carry", F.when(own_first, F.col(f"{c}_first")).otherwise(carried))
     out = own.join(ends.select(*BLOCK, "_up_carry", "_down_carry"), list(BLOCK))
     up, down = (fade * F.col(f"{c}_carry") + F.col(f"{c}_local") for c in ("_up", "_down"))
     rsi = F.when(down > 0, 100 - 100 / (1 + F.try_divide(up, down))).when((up == 0) & (down == 0), 50.0)

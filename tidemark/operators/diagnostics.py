@@ -49,7 +49,7 @@ def feature_variation(df: DataFrame, cols: list[str]) -> DataFrame:
 def alpha_positions(fits: DataFrame, alphas: tuple[float, ...]) -> DataFrame:
     """Where each fitted penalty sits in its grid, per symbol and model."""
     cells = [F.struct(F.lit(m).alias("model"), F.col(f"alpha_{m}").alias("alpha")) for m in MODELS]
-    place = F.when(F.col("alpha") >= max(alphas), "MAX").when(F.col("alpha") <= min(alphas), "min").otherwise("interior")
+    place = F.when(F.col("alpha").isNull(), "unfitted").when(F.col("alpha") >= max(alphas), "MAX").when(F.col("alpha") <= min(alphas), "min").otherwise("interior")
     long = fits.select("symbol", F.inline(F.array(*cells))).withColumn("position", place)
     n_max = F.count_if(F.col("position") == "MAX").over(Window.partitionBy("symbol"))
     return long.withColumn("verdict", F.when(n_max >= 3, "FAIL").when(n_max >= 1, "WARN").otherwise("PASS"))

@@ -233,14 +233,18 @@ def predict_weights(meta: DataFrame, model: WeightModel) -> DataFrame:
 
 
 def predict_weights_by_symbol(meta: DataFrame, models: DataFrame, floor: float = WEIGHT_FLOOR) -> DataFrame:
-    """Weights from per-symbol fits (see ``ridge.fit_ridge``), joined on the symbol."""
-    rows = meta.na.drop(subset=list(META_FEATURES)).join(models, "symbol")
+    """Weights from per-symbol fits (see ``ridge.fit_ridge``), joined on the symbol.
+
+    A symbol without a fit, or with too short a history for one, keeps its rows with equal weights and ``fitted`` false.
+    """
+    rows = meta.na.drop(subset=list(META_FEATURES)).join(models, "symbol", "left")
+    rows = rows.withColumn("fitted", F.coalesce("fitted", F.lit(False)))
     z = F.array(*[(F.col(f) - F.col("mean")[i]) / F.col("scale")[i] for i, f in enumerate(META_FEATURES)])
     rows = rows.withColumn("_z", z)
     for m in MODELS:
         linear = F.aggregate(F.zip_with("_z", F.col(f"coef_{m}"), lambda a, b: a * b), F.col(f"intercept_{m}"), lambda s, v: s + v)
-        rows = rows.withColumn(f"_s_{m}", F.when(F.col(f"saturated_{m}"), F.lit(0.0)).otherwise(linear))
+        rows = rows.withColumn(f"_s_{m}", F.when(F.col(f"saturated_{m}") | ~F.col("fitted"), F.lit(0.0)).otherwise(linear))
     weights = softmax_floor([F.col(f"_s_{m}") for m in MODELS], floor)
     out = rows.withColumns({f"w_{m}": w for m, w in zip(MODELS, weights)})
-    return out.select(*meta.columns, *[f"w_{m}" for m in MODELS])
+    return out.select(*meta.columns, *[f"w_{m}" for m in MODELS], "fitted")
 

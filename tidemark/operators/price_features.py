@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions.windows import ANNUAL_DAYS, UNBOUNDED, ordered, rolling
+from tidemark.operators.blocks import BLOCK_ROWS
 
 # Window lengths of the feature set.
 VOL_WINDOWS = (21, 63)
@@ -79,27 +78,45 @@ def with_atr(df: DataFrame, w: WindowSpec) -> DataFrame:
     )
 
 
-def add_rsi(df: DataFrame, active: str | None = None, keys: tuple[str, ...] = ("symbol",), n: int = RSI_WINDOW) -> DataFrame:
-    """Wilder RSI of the lagged close, appended as ``rsi_14``.
+def add_rsi(df: DataFrame, keys: tuple[str, ...] = ("symbol",), order: str = "date", n: int = RSI_WINDOW, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Wilder RSI of the lagged close, appended as ``rsi_n``.
 
-    The smoothing is a recursion, which no window frame expresses exactly; each
-    symbol's history (one row per date) is smoothed in one vectorised call.
-    ``active`` names a flag column selecting the rows that take part.
+    The smoothing y_t = r y_(t-1) + (1 - r) x_t is linear: inside a block of ``rows`` rows it is a scaled running sum
+    plus the value carried in, and the few block ends of a history are chained. A row with an unknown move keeps the
+    value before it. All windows sit on the partitioning by ``keys``.
     """
-    schema = T.StructType(df.schema.fields + [T.StructField(f"rsi_{n}", T.DoubleType())])
+    r = (n - 1) / n
+    w = ordered(*keys, order=order)
+    upto = w.rowsBetween(UNBOUNDED, 0)
+    df = df.withColumn("_move", F.lag("close", 1).over(w) - F.lag("close", 2).over(w))
+    df = df.withColumn("_block", F.floor((F.row_number().over(w) - 1) / rows))
+    known = F.col("_move").isNotNull()
+    df = df.withColumns({"_up": F.when(known, F.greatest("_move", F.lit(0.0))), "_down": F.when(known, -F.least("_move", F.lit(0.0)))})
+    wb = ordered(*keys, "_block", order=order)
+    inside = wb.rowsBetween(UNBOUNDED, 0)
+    df = df.withColumn("_k", F.count("_move").over(inside))
+    grow, fade = F.pow(F.lit(r), -F.col("_k")), F.pow(F.lit(r), F.col("_k"))
+    df = df.withColumns({f"{c}_sum": F.coalesce(F.sum(F.lit(1 - r) * F.col(c) * grow).over(inside), F.lit(0.0)) * fade for c in ("_up", "_down")})
+    last = F.lead("_block").over(w) != F.col("_block")
+    df = df.withColumn("_end", F.when(last, F.struct("_k", "_up_sum", "_down_sum")))
+    df = df.withColumns(
+        {
+            "_ends": F.collect_list("_end").over(w.rowsBetween(UNBOUNDED, -1)),
+            "_seen_moves": F.count("_move").over(upto),
+            "_up_first": F.first("_up", ignorenulls=True).over(upto),  # the first move seeds the recursion
+            "_down_first": F.first("_down", ignorenulls=True).over(upto),
+        }
+    )
 
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        use = pdf[pdf[active]] if active else pdf
-        move = use["close"].shift(1).diff()
-        up = move.clip(lower=0).ewm(alpha=1 / n, adjust=False, min_periods=n).mean()
-        down = (-move.clip(upper=0)).ewm(alpha=1 / n, adjust=False, min_periods=n).mean()
-        rsi = 100 - 100 / (1 + up / down.where(down != 0))
-        rsi = rsi.mask((up == 0) & (down == 0), 50.0)
-        return pdf.assign(**{f"rsi_{n}": rsi.reindex(pdf.index)})
+    def smoothed(c: str) -> Column:
+        carry = F.aggregate("_ends", F.col(f"{c}_first"), lambda y, e: F.pow(F.lit(r), e["_k"]) * y + e[f"{c}_sum"])
+        return fade * carry + F.col(f"{c}_sum")
 
-    out = df.groupBy(*keys).applyInPandas(smooth, schema)
-    return out.withColumn(f"rsi_{n}", F.when(~F.isnan(f"rsi_{n}"), F.col(f"rsi_{n}")))
+    df = df.withColumns({c: smoothed(c) for c in ("_up", "_down")})
+    up, down = F.col("_up"), F.col("_down")
+    rsi = F.when(down > 0, 100 - 100 / (1 + F.try_divide(up, down))).when((up == 0) & (down == 0), 50.0)
+    df = df.withColumn(f"rsi_{n}", F.when(F.col("_seen_moves") >= n, rsi))
+    return df.drop("_move", "_block", "_k", "_up", "_down", "_up_sum", "_down_sum", "_end", "_ends", "_seen_moves", "_up_first", "_down_first")
 
 
 def price_features(
@@ -113,22 +130,30 @@ def price_features(
 
     ``bars`` may carry a ``shared`` flag: then all features but the ATR follow the
     shared calendar and rows outside it keep only their ATR. The windows of both
-    calendars, and the RSI after them, all sit on one hash partitioning by symbol.
+    calendars, the RSI's among them, all sit on one hash partitioning by symbol.
     """
     flagged = "shared" in bars.columns
     own = ordered(*keys, order=order)
     w = ordered(*keys, "shared", order=order) if flagged else own
     df = with_lags(with_atr(bars, own), w)
     df = df.withColumns({**vol_cols(w), **mom_cols(w), **bb_cols(w)})
-    lagged = [c for c in PRICE_FEATURES if c not in ("atr_14", "rsi_14")]
+    if rsi:
+        df = add_rsi(df, (*keys, "shared") if flagged else keys, order)
+    lagged = [c for c in PRICE_FEATURES if c != "atr_14" and (rsi or c != "rsi_14")]
     if flagged:
         df = df.withColumns({c: F.when(F.col("shared"), F.col(c)) for c in lagged})
-    df = df.select("symbol", order, *carry, "close", *(["shared"] if flagged else []), *lagged, "atr_14")
-    if rsi:
-        df = add_rsi(df, "shared" if flagged else None)
     return df.select("symbol", order, *carry, *[c for c in PRICE_FEATURES if rsi or c != "rsi_14"])
 
 
+def wide_features(features: DataFrame, cols: tuple[str, ...] = PRICE_FEATURES) -> DataFrame:
+    """One row per date with a column ``symbol_feature`` for every symbol and feature.
+
+    The symbols are listed once (a wide table has a column for each, so they are few by nature).
+    """
+    symbols = [r.symbol for r in features.select("symbol").distinct().orderBy("symbol").collect()]
+    return features.groupBy("date").pivot("symbol", symbols).agg(*[F.max(c).alias(c) for c in cols])
+
+
 def lookback_filter(bars: DataFrame, since: str, rows: int = MAX_LOOKBACK_ROWS) -> DataFrame:
     """Bars needed to compute features from ``since`` on: those plus ``rows`` earlier ones per symbol.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,10 +110,21 @@ def first_valid(df: DataFrame, cols: list[str]) -> DataFrame:
     return firsts.unpivot(["symbol"], cols, "feature", "first_pos")
 
 
-def future_rows(df: DataFrame, split_date: str) -> DataFrame:
-    """One-row verdict: does the table reach beyond the split date?"""
-    last = F.max("date")
-    return df.agg(last.alias("last_date"), (last <= F.lit(split_date).cast("date")).alias("ok"))
+def future_rows(df: DataFrame, split_date: str, cols: list[str], warmup: int = 1) -> DataFrame:
+    """Verdict per symbol on a table meant to end at the split date.
+
+    Counts the rows beyond it, and names the columns known earlier than ``warmup`` rows into a history: a feature that
+    is known on the first row has looked ahead (or at the row itself).
+    """
+    beyond = F.col("date") > F.lit(split_date).cast("date")
+    numbered = df.withColumn("_pos", F.row_number().over(ordered("symbol")) - 1)
+    early = [F.when(F.min(F.when(F.col(c).isNotNull(), F.col("_pos"))) < warmup, F.lit(c)) for c in cols]
+    return numbered.groupBy("symbol").agg(
+        F.max("date").alias("last_date"),
+        F.count_if(beyond).alias("future_rows"),
+        F.concat_ws(",", *early).alias("early_columns"),
+        (F.count_if(beyond) == 0).alias("ok"),
+    )
 
 
 def target_alignment(targets: DataFrame, cols: list[str]) -> DataFrame:
@@ -140,6 +153,22 @@ def split_report(df: DataFrame) -> DataFrame:
     )
 
 
+def split_overlap(**tables: DataFrame) -> DataFrame:
+    """Dates that two of the given tables share: one row per pair of tables and date."""
+    tagged = [df.select("date", F.lit(name).alias("split")).distinct() for name, df in tables.items()]
+    per_date = reduce(DataFrame.unionByName, tagged).groupBy("date").agg(F.sort_array(F.collect_set("split")).alias("splits"))
+    pairs = F.explode(F.flatten(F.transform("splits", lambda a: F.transform(F.filter("splits", lambda b: b > a), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
+    return per_date.where(F.size("splits") > 1).select("date", pairs.alias("p")).select(F.col("p.a").alias("left_split"), F.col("p.b").alias("right_split"), "date")
+
+
+def table_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of each of two runs that the other lacks, all columns compared, repeats counted."""
+    cols = a.columns
+    both = a.select(*cols, F.lit(1).alias("_d")).unionByName(b.select(*cols, F.lit(-1).alias("_d")))
+    gap = both.groupBy(*cols).agg(F.sum("_d").alias("_d"), F.count_if(F.col("_d") > 0).alias("_n"))
+    return gap.agg(F.sum("_n").alias("n"), F.sum(F.abs("_d")).alias("unmatched")).withColumn("ok", F.col("unmatched") == 0)
+
+
 def shared_dates(a: DataFrame, b: DataFrame) -> DataFrame:
     """Dates present in both tables."""
     return a.select("date").intersect(b.select("date"))
@@ -177,15 +206,17 @@ def bad_weights(df: DataFrame, cols: list[str], floor: float, tol: float = 1e-10
     return df.where((F.abs(total - 1.0) > tol) | (F.least(*[F.col(c) for c in cols]) < floor - tol))
 
 
-def join_loss(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Dates an inner join on date would drop, counted per side, in one pass over both date sets."""
-    a = left.select("date").distinct().withColumn("_l", F.lit(1)).withColumn("_r", F.lit(0))
-    b = right.select("date").distinct().withColumn("_l", F.lit(0)).withColumn("_r", F.lit(1))
-    both = a.unionByName(b).groupBy("date").agg(F.max("_l").alias("l"), F.max("_r").alias("r"))
-    return both.agg(
-        F.count_if((F.col("l") == 1) & (F.col("r") == 0)).alias("left_only"),
-        F.count_if((F.col("l") == 0) & (F.col("r") == 1)).alias("right_only"),
-        F.count_if((F.col("l") == 1) & (F.col("r") == 1)).alias("kept"),
+def join_loss(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Dates an inner join of each of ``right``'s series with ``left`` would drop, counted per side."""
+    a = left.select("date").distinct()
+    keys = right.select(key).distinct()
+    b = right.select(key, "date").distinct().withColumn("_r", F.lit(1))
+    # One row per calendar date and series: both are few whatever the size of the panel.
+    wanted = a.join(keys).withColumn("_l", F.lit(1))
+    both = wanted.join(b, [key, "date"], "full_outer")
+    return both.groupBy(key).agg(
+        F.count_if(F.col("_r").isNull()).alias("left_only"), F.count_if(F.col("_l").isNull()).alias("right_only"),
+        F.count_if(F.col("_l").isNotNull() & F.col("_r").isNotNull()).alias("kept"),
     )
 
 

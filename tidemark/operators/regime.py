@@ -114,13 +114,13 @@ MODEL_SCHEMA = T.StructType(
 def hmm_fit(scaled: DataFrame, train_end: str, k: int = N_STATES) -> DataFrame:
     """One model per symbol, fitted on its train rows only (symbols run in parallel).
 
-    A symbol's train history is bounded by the calendar; symbols with fewer rows
-    than free parameters are skipped.
+    A symbol's train history is bounded by the calendar; one with fewer than ten
+    rows per state gets an empty model (NULL parameters).
     """
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < 10 * k:
-            return pd.DataFrame(columns=MODEL_SCHEMA.names)
+            return pd.DataFrame({"symbol": [key[0]], **{c: [None] for c in MODEL_SCHEMA.names[1:]}})
         m = fit_states(pdf.sort_values("date")[list(INPUTS)].to_numpy(), k)
         flat = {c: [m[c].ravel().tolist()] for c in ("start", "trans", "mean", "cov")}
         return pd.DataFrame({"symbol": [key[0]], **flat, "loglik": [m["loglik"]], "n_iter": [m["n_iter"]]})
@@ -155,14 +155,15 @@ def decode(scaled: DataFrame, models: DataFrame, smoothed: bool = False, k: int
     """State of every row from its symbol's model.
 
     The filtered state uses the past only. The smoothed state backtracks over
-    the full history and is for diagnostics, never for features.
+    the full history and is for diagnostics, never for features. Without a model
+    a symbol keeps its rows with an unknown state.
     """
     schema = "symbol string, date date, state int"
 
     def run(rows: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty or model.empty:
-            return pd.DataFrame(columns=["symbol", "date", "state"])
         rows = rows.sort_values("date")
+        if rows.empty or model.empty or model["start"].iloc[0] is None:
+            return rows[["symbol", "date"]].assign(state=pd.Series([None] * len(rows), index=rows.index, dtype="Int32"))
         start, trans, mean, cov = _unpack(model.iloc[0], k)
         dens = log_density(rows[list(INPUTS)].to_numpy(), mean, cov)
         states = best_path(start, trans, dens) if smoothed else forward(start, trans, dens)[0].argmax(axis=1)
@@ -174,13 +175,15 @@ def decode(scaled: DataFrame, models: DataFrame, smoothed: bool = False, k: int
 # --- labels and statistics: plain aggregations -------------------------------
 
 
-def label_map(states: DataFrame, vix: DataFrame, k: int = N_STATES) -> DataFrame:
+def label_map(states: DataFrame, vix: DataFrame, k: int = N_STATES, train_end: str | None = None) -> DataFrame:
     """Raw state to label by median VIX: lowest 0, highest 1, the middle ones 2, 3, ...
 
-    A state without rows ranks above every observed one.
+    A state without rows ranks above every observed one. With ``train_end`` the medians are those of rows up to that
+    date, so that labels do not look ahead.
     """
     every = states.select("symbol").distinct().select("symbol", F.explode(F.array(*[F.lit(i) for i in range(k)])).alias("state"))
-    med = states.join(broadcast_calendar(vix), "date", "left").groupBy("symbol", "state").agg(F.median("vix").alias("median_vix"))
+    seen = states.where(F.col("date") <= F.lit(train_end).cast("date")) if train_end else states
+    med = seen.join(broadcast_calendar(vix), "date", "left").groupBy("symbol", "state").agg(F.median("vix").alias("median_vix"))
     ranked = every.join(med, ["symbol", "state"], "left")
     order = ordered("symbol").orderBy(F.coalesce("median_vix", F.lit(float("inf"))), "state")
     place = F.row_number().over(order)

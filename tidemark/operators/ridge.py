@@ -84,15 +84,25 @@ def _r2(m: np.ndarray, beta: np.ndarray, b0: np.ndarray) -> np.ndarray:
     return 1 - sse / sst
 
 
-def _fit_symbol(rows: list, alphas: tuple[float, ...], splits: int) -> dict | None:
-    """Fit of one symbol; None when its history is too short for every fold to have train and test rows."""
+def _unfitted(n_rows: int) -> dict:
+    """Zero scores, so equal weights, marked as not fitted."""
+    d = len(META_FEATURES)
+    out = {"mean": [0.0] * d, "scale": [1.0] * d, "n_rows": n_rows, "fitted": False}
+    for m in MODELS:
+        out |= {f"coef_{m}": [0.0] * d, f"intercept_{m}": 0.0, f"alpha_{m}": None, f"saturated_{m}": False}
+    return out
+
+
+def _fit_symbol(rows: list, alphas: tuple[float, ...], splits: int) -> dict:
+    """Fit of one symbol; unfitted when its history is too short for every fold to have train and test rows."""
     by = {(r["fold"], r["role"]): _square(np.asarray(r["s"], dtype=float)) for r in rows}
     folds = sorted(f for f, role in by if role == "train" and (f, "test") in by)
+    n_rows = int(by[ALL_ROWS, "all"][0, 0])
     if len(folds) < splits:
-        return None
+        return _unfitted(n_rows)
     scores = np.array([[_r2(by[f, "test"], *_solve(by[f, "train"], a)) for f in folds] for a in alphas])
     picked = scores.mean(axis=1).argmax(axis=0)
-    out = {"mean": list(rows[0]["mean"]), "scale": list(rows[0]["scale"]), "n_rows": int(by[ALL_ROWS, "all"][0, 0])}
+    out = {"mean": list(rows[0]["mean"]), "scale": list(rows[0]["scale"]), "n_rows": n_rows, "fitted": True}
     for i, m in enumerate(MODELS):
         alpha = alphas[int(picked[i])]
         beta, b0 = _solve(by[ALL_ROWS, "all"], alpha)
@@ -107,7 +117,7 @@ def _fit_symbol(rows: list, alphas: tuple[float, ...], splits: int) -> dict | No
 
 def fit_schema() -> T.StructType:
     arr, dbl = T.ArrayType(T.DoubleType()), T.DoubleType()
-    fields = [T.StructField("symbol", T.StringType()), T.StructField("mean", arr), T.StructField("scale", arr), T.StructField("n_rows", T.LongType())]
+    fields = [T.StructField("symbol", T.StringType()), T.StructField("mean", arr), T.StructField("scale", arr), T.StructField("n_rows", T.LongType()), T.StructField("fitted", T.BooleanType())]
     for m in MODELS:
         fields += [
             T.StructField(f"coef_{m}", arr),
@@ -123,6 +133,7 @@ def fit_ridge(train: DataFrame, alphas: tuple[float, ...] = ALPHAS_V2, splits: i
 
     The penalty of each base model maximises the mean R squared over the
     embargoed folds; a pick at the grid's end marks the model as saturated. A
+    symbol with too few rows for the folds gets zero scores and ``fitted`` false. A
     symbol's Gram rows number 2 * splits + 1 whatever its history.
     """
     cells = gram(train, splits, gap).groupBy("symbol").agg(F.collect_list(F.struct("fold", "role", "s", "mean", "scale")).alias("rows"))
@@ -130,7 +141,7 @@ def fit_ridge(train: DataFrame, alphas: tuple[float, ...] = ALPHAS_V2, splits: i
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fitted = [(s, _fit_symbol(list(rows), alphas, splits)) for s, rows in zip(pdf["symbol"], pdf["rows"])]
-            yield pd.DataFrame([{"symbol": s, **m} for s, m in fitted if m], columns=fit_schema().names)
+            yield pd.DataFrame([{"symbol": s, **m} for s, m in fitted], columns=fit_schema().names)
 
     return cells.mapInPandas(solve, fit_schema())
 
@@ -140,7 +151,8 @@ def save_fit(fit: DataFrame, path: str) -> None:
 
 
 def load_fit(spark, path: str) -> DataFrame:
-    """Saved fits; flags missing from an older file default to not saturated."""
+    """Saved fits; flags missing from an older file default to fitted and not saturated."""
     df = spark.read.parquet(path)
-    missing = {f"saturated_{m}": F.lit(False) for m in MODELS if f"saturated_{m}" not in df.columns}
+    flags = {"fitted": True} | {f"saturated_{m}": False for m in MODELS}
+    missing = {c: F.lit(v) for c, v in flags.items() if c not in df.columns}
     return df.withColumns(missing) if missing else df

@@ -48,6 +48,12 @@ def with_mdd(df: DataFrame, w: WindowSpec, h: int = MDD_HORIZON) -> DataFrame:
     return df.withColumn(f"tgt_mdd_{h}d", mdd).drop("_ahead_close")
 
 
+def guarded_prices(panel: DataFrame) -> DataFrame:
+    """The panel with a ``close`` whose use fails where it is not positive; unknown closes pass."""
+    refused = F.raise_error(F.concat(F.lit("non-positive close for "), F.col("symbol"))).cast("double")
+    return panel.withColumn("close", F.when((F.col("close") > 0) | F.col("close").isNull(), F.col("close")).otherwise(refused))
+
+
 def forward_targets(
     panel: DataFrame,
     trim: bool = True,
@@ -63,10 +69,7 @@ def forward_targets(
     """
     w = ordered(*keys, order=order)
     if guard_prices:
-        checked = F.when(F.col("close") > 0, F.col("close")).otherwise(
-            F.raise_error(F.concat(F.lit("non-positive close for "), F.col("symbol"))).cast("double")
-        )
-        panel = panel.withColumn("close", checked)
+        panel = guarded_prices(panel)
     df = panel.select(*dict.fromkeys(("symbol", *keys, order, *carry, "close"))).withColumn("_r", F.log("close") - F.log(F.lag("close").over(w)))
     df = with_mdd(df.withColumns({**ret_targets(w), **vol_targets(w)}), w)
     full = F.count(F.lit(1)).over(w.rowsBetween(1, MAX_HORIZON)) == MAX_HORIZON

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Bucketizer, VectorAssembler
@@ -15,9 +17,11 @@ from tidemark.functions.windows import ordered
 from tidemark.operators.ensemble import align_predictions
 from tidemark.operators.quality import require_columns
 
-# Tree counts, depths, rates of the two models.
+# Tree counts, depths, rates, sampling, patience and leaf sizes of the two models.
 RETURN_TREES, RETURN_DEPTH, RETURN_RATE = 1000, 3, 0.01
 DRAWDOWN_TREES, DRAWDOWN_DEPTH, DRAWDOWN_RATE = 30, 3, 0.05
+ROW_SHARE, COLUMN_SHARE, PATIENCE = 0.8, "0.8", 50
+RETURN_LEAF, DRAWDOWN_LEAF = 10, 10
 SEED = 42
 
 
@@ -27,28 +31,71 @@ def training_rows(features: DataFrame, targets: DataFrame, target: str, cols: li
     return joined.na.drop(subset=[target, *cols])
 
 
-def return_fit(rows: DataFrame, cols: list[str], label: str, trees: int = RETURN_TREES, step: float = RETURN_RATE, tol: float = 0.01) -> PipelineModel:
-    """Regressor trained on split = train that stops early on the error of split = val."""
-    data = rows.where("split in ('train', 'val')").withColumn("is_val", F.col("split") == "val")
-    gbt = GBTRegressor(
-        featuresCol="features", labelCol=label, predictionCol="return_pred", maxIter=trees, maxDepth=RETURN_DEPTH, stepSize=step,
-        subsamplingRate=0.8, seed=SEED, validationIndicatorCol="is_val", validationTol=tol,
-    )
-    return Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"), gbt]).fit(data)
+def null_drops(rows: DataFrame, cols: list[str], keys: list[str]) -> DataFrame:
+    """Rows kept and dropped per key when rows with an unknown value in ``cols`` go; a key that loses all stays."""
+    ok = reduce(Column.__and__, [F.col(c).isNotNull() for c in cols])
+    return rows.groupBy(*keys).agg(F.count_if(ok).alias("kept"), F.count_if(~ok).alias("dropped"))
+
+
+def best_round(errors: list[float], patience: int = PATIENCE) -> int:
+    """Number of rounds to keep: those up to the least error that no later one within ``patience`` rounds beats."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def return_fit(rows: DataFrame, cols: list[str], label: str, trees: int = RETURN_TREES, step: float = RETURN_RATE, patience: int = PATIENCE) -> PipelineModel:
+    """Regressor trained on split = train, with the number of rounds that split = val likes best.
+
+    All rounds are fitted once, the validation error of each is read off, and the ensemble is fitted again up to the
+    round chosen with ``patience``: the same seed grows the same first trees.
+    """
+    assembler = VectorAssembler(inputCols=cols, outputCol="features")
+    train, val = (assembler.transform(rows.where(F.col("split") == s)).select("features", label).coalesce(_parts(rows)).cache() for s in ("train", "val"))
+
+    def boosted(n: int) -> GBTRegressor:
+        return GBTRegressor(
+            featuresCol="features", labelCol=label, predictionCol="return_pred", maxIter=n, maxDepth=RETURN_DEPTH, stepSize=step,
+            subsamplingRate=ROW_SHARE, featureSubsetStrategy=COLUMN_SHARE, minInstancesPerNode=RETURN_LEAF, seed=SEED,
+        )
+
+    try:
+        model = boosted(trees).fit(train)
+        if not val.isEmpty():
+            kept = best_round(model.evaluateEachIteration(val, "squared"), patience)
+            if kept < trees:
+                model = boosted(kept).fit(train)
+    finally:
+        train.unpersist()
+        val.unpersist()
+    return PipelineModel([assembler, model])
+
+
+def _parts(rows: DataFrame) -> int:
+    """Boosting starts several jobs a tree: no more tasks in each than cores."""
+    return rows.sparkSession.sparkContext.defaultParallelism
+
+
+def rounds_kept(model: PipelineModel) -> int:
+    return model.stages[-1].getNumTrees
 
 
 def drawdown_fit(rows: DataFrame, cols: list[str], label: str = "event") -> PipelineModel:
     """Classifier with a fixed number of trees, fitted on split = train.
 
-    A train split without a single event is refused. No class weights: they would
-    bias the probabilities.
+    Training rows without any event leave nothing to learn and are refused. No class
+    weights: they would bias the probabilities.
     """
     train = rows.where("split = 'train'")
     if train.where(F.col(label) == 1).isEmpty():
-        raise ValueError("no positive (drawdown) examples in the train split")
+        raise ValueError("the train rows hold no drawdown event")
     gbt = GBTClassifier(
         featuresCol="features", labelCol=label, maxIter=DRAWDOWN_TREES, maxDepth=DRAWDOWN_DEPTH, stepSize=DRAWDOWN_RATE,
-        subsamplingRate=0.8, seed=SEED,
+        subsamplingRate=ROW_SHARE, featureSubsetStrategy=COLUMN_SHARE, minInstancesPerNode=DRAWDOWN_LEAF, seed=SEED,
     )
     return Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"), gbt]).fit(train)
 

@@ -10,7 +10,7 @@ from tidemark.operators import calendar as cal
 from tidemark.operators import ensemble, splits, targets
 from tidemark.operators.meta import WeightModel, meta_prepare, with_meta_features
 from tidemark.operators.price_features import log_return
-from tidemark.session import scratch_dir
+from tidemark.plans.stage import stage
 from tidemark.sources import tables
 
 # Split boundaries and crisis windows of the fixtures.
@@ -19,7 +19,9 @@ VAL_START, TEST_START = "2000-01-03", "2001-01-01"
 CRISES = [("shock", "1998-08-01", "1998-10-31"), ("slow", "2000-03-01", "2000-08-31")]
 
 
+@stage
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily bars, written once per query: calendar, panel and macro joins all read them, the ticks are read once."""
     return tables.lineitem_bars(spark, sf_dir)
 
 
@@ -41,11 +43,10 @@ def panel_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cal.shared_calendar(cal.weekday_bars(bars(spark, sf_dir)))
 
 
+@stage
 def stored_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shared calendar as a written table, for plans that read it several times."""
-    path = scratch_dir(spark, "calendar")
-    panel_dates(spark, sf_dir).write.parquet(path)
-    return spark.read.schema("date DATE").parquet(path)
+    return panel_dates(spark, sf_dir)
 
 
 def macro_obs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,8 @@ cte("ridge_pick", """
 SELECT symbol, model, alpha FROM (SELECT *, row_number() OVER (PARTITION BY symbol, model ORDER BY score DESC, alpha) AS place FROM ridge_scores) WHERE place = 1""")
 cte("ridge_models", " UNION ALL ".join(
     f"SELECT p.symbol, '{y[2:]}' AS model, p.alpha, c_{m} AS intercept, " + ", ".join(f"{_B[i, m]} AS coef_{i}" for i in range(D))
-    + f", p.alpha >= {max(ALPHAS_V2)!r} AS saturated FROM ridge_pick p JOIN ridge_fit f ON p.symbol = f.symbol AND p.alpha = f.alpha AND f.fold = -1 WHERE p.model = {m}"
+    + f", p.alpha >= {max(ALPHAS_V2)!r} AS saturated, true AS fitted FROM ridge_pick p JOIN ridge_fit f ON p.symbol = f.symbol AND p.alpha = f.alpha AND f.fold = -1 WHERE p.model = {m}"
     for m, y in enumerate(YS)
-))
+) + f"""
+UNION ALL SELECT symbol, unnest(['return', 'vol', 'regime', 'drawdown']) AS model, NULL AS alpha, 0.0 AS intercept, {', '.join(f'0.0 AS coef_{i}' for i in range(D))},
+  false AS saturated, false AS fitted FROM (SELECT DISTINCT symbol FROM ridge_rows) WHERE symbol NOT IN (SELECT symbol FROM ridge_pick)""")

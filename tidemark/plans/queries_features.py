@@ -12,6 +12,7 @@ from tidemark.operators import macro_features as mf
 from tidemark.operators import price_features as pf
 from tidemark.operators import splits as sp
 from tidemark.operators import targets as tg
+from tidemark.operators import trees as tr
 from tidemark.plans import inputs as src
 from tidemark.plans import oracle_base as ob
 from tidemark.plans.registry import register
@@ -106,13 +107,15 @@ def price_features(spark, sf):
     return pf.price_features(src.flagged_bars(spark, sf))
 
 
-@register("price_features_wide", "date A_vol_21d:9 N_vol_21d:9 R_vol_21d:9 A_rsi_14:6 N_rsi_14:6 R_rsi_14:6", """
-SELECT date, """ + ", ".join(f"max(CASE WHEN symbol = '{s}' THEN {c} END) AS {s}_{c}" for c in ("vol_21d", "rsi_14") for s in "ANR") + """
-FROM feat JOIN rsi USING (symbol, date) GROUP BY date""")
+# The contract has to name its columns: these are the fixture's symbols. The builder pivots whatever symbols there are.
+_WIDE = [(s, c) for s in "ANR" for c in pf.PRICE_FEATURES]
+
+
+@register("price_features_wide", "date " + " ".join(f"{s}_{c}:{6 if c in ('rsi_14', 'atr_14') else 9}" for s, c in _WIDE), """
+SELECT date, """ + ", ".join(f"max(CASE WHEN symbol = '{s}' THEN {c} END) AS {s}_{c}" for s, c in _WIDE) + """
+FROM atr LEFT JOIN feat USING (symbol, date) LEFT JOIN rsi USING (symbol, date) GROUP BY date""")
 def price_features_wide(spark, sf):
-    f = pf.price_features(src.panel(spark, sf))
-    wide = f.groupBy("date").pivot("symbol", ["A", "N", "R"]).agg(F.max("vol_21d").alias("vol_21d"), F.max("rsi_14").alias("rsi_14"))
-    return wide
+    return pf.wide_features(pf.price_features(src.flagged_bars(spark, sf)))
 
 
 @register("features_by_supplier", FEATURE_COLS, "SELECT * FROM supplier_feat JOIN supplier_atr USING (symbol, date)")
@@ -397,9 +400,7 @@ def drop_nulls(spark, sf):
     p = src.panel(spark, sf)
     df = pf.price_features(p, rsi=False).join(tg.forward_targets(p), ["symbol", "date"], "left")
     needed = ["tgt_ret_1d", "logret", "vol_63d", "mom_126d"]
-    kept = df.na.drop(subset=needed).groupBy("symbol").agg(F.count("*").alias("kept"))
-    total = df.groupBy("symbol").agg(F.count("*").alias("total"))
-    return total.join(kept, "symbol").withColumn("dropped", F.col("total") - F.col("kept"))
+    return tr.null_drops(df, needed, ["symbol"])
 
 
 @register("features_targets", "symbol date vol_21d:9 mom_63d:9 tgt_ret_1d:9", """

@@ -13,7 +13,8 @@ from tidemark.operators import splits as sp
 from tidemark.operators import targets as tg
 from tidemark.plans import inputs as src
 from tidemark.plans import oracle_base as ob
-from tidemark.plans.registry import register
+from tidemark.plans.registry import cte, register
+from tidemark.plans.stage import write_once
 from tidemark.session import scratch_dir
 from tidemark.sources import store, tables
 
@@ -117,10 +118,17 @@ def dq_positive_close(spark, sf):
     return dq.non_positive_close(tables.event_ticks(spark, sf).withColumnRenamed("price", "close"))
 
 
-@register("dq_null_close", "symbol n:b", "SELECT symbol, count(*) FILTER (logret IS NULL) AS n FROM feat GROUP BY symbol")
+cte("observed_grid", """
+SELECT s.symbol, d.date, b.close FROM (SELECT DISTINCT symbol FROM supplier_bars) s CROSS JOIN (SELECT DISTINCT date FROM supplier_bars) d
+LEFT JOIN supplier_bars b ON b.symbol = s.symbol AND b.date = d.date""")
+
+
+@register("dq_null_close", "symbol n:b", "SELECT symbol, count(*) FILTER (close IS NULL) AS n FROM observed_grid GROUP BY symbol")
 def dq_null_close(spark, sf):
-    f = pf.price_features(src.panel(spark, sf), rsi=False)
-    return dq.null_close(f.select("symbol", F.col("logret").alias("close")))
+    """Closes of every supplier on every date that anyone traded: gaps are unknown closes."""
+    b = write_once(src.supplier_bars(spark, sf).select("symbol", "date", "close"), "supplier-closes")
+    dates = cal.broadcast_calendar(cal.observed_dates(b))
+    return dq.null_close(b.select("symbol").distinct().join(dates).join(b, ["symbol", "date"], "left"))
 
 
 @register("dq_monotonic", "symbol n:b worst:b", """
@@ -172,10 +180,13 @@ def dq_macro_nulls(spark, sf):
     return dq.null_counts(cal.macro_wide(src.macro_long(spark, sf)), list(tables.SERIES))
 
 
-@register("dq_macro_coverage", "date", "SELECT DISTINCT date FROM panel WHERE date NOT IN (SELECT obs_date FROM macro_known WHERE series_id = 'DFF')")
+@register("dq_macro_coverage", "series_id date", """
+SELECT s.series_id, p.date FROM (SELECT DISTINCT series_id FROM macro_known) s, (SELECT DISTINCT date FROM panel) p
+WHERE NOT EXISTS (SELECT 1 FROM macro_known m WHERE m.series_id = s.series_id AND m.obs_date = p.date)""")
 def dq_macro_coverage(spark, sf):
-    known = src.macro_obs(spark, sf).where("series_id = 'DFF'").withColumnRenamed("obs_date", "date")
-    return dq.missing_dates(src.panel_dates(spark, sf), known)
+    known = src.macro_obs(spark, sf).withColumnRenamed("obs_date", "date")
+    wanted = known.select("series_id").distinct().join(cal.broadcast_calendar(src.panel_dates(spark, sf)))
+    return wanted.join(known.select("series_id", "date"), ["series_id", "date"], "left_anti")
 
 
 # --- leakage -----------------------------------------------------------------
@@ -189,10 +200,16 @@ def leak_first_valid(spark, sf):
     return dq.first_valid(pf.price_features(src.panel(spark, sf), rsi=False), FEATS)
 
 
-@register("leak_no_future", "last_date ok", f"SELECT max(date) AS last_date, max(date) <= DATE '{src.TRAIN_END}' AS ok FROM feat WHERE date <= DATE '{src.TRAIN_END}'")
+_EARLY = "concat_ws(',', " + ", ".join(f"CASE WHEN min(pos) FILTER ({c} IS NOT NULL) < 3 THEN '{c}' END" for c in FEATS) + ")"
+
+
+@register("leak_no_future", "symbol last_date future_rows:b early_columns ok", f"""
+SELECT symbol, max(date) AS last_date, count(*) FILTER (date > DATE '{src.TRAIN_END}') AS future_rows, {_EARLY} AS early_columns,
+  count(*) FILTER (date > DATE '{src.TRAIN_END}') = 0 AS ok
+FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS pos FROM feat) GROUP BY symbol""")
 def leak_no_future(spark, sf):
-    train = sp.split_rows(pf.price_features(src.panel(spark, sf), rsi=False), "train", src.TRAIN_END, src.VAL_END)
-    return dq.future_rows(train, src.TRAIN_END)
+    """The whole feature table put to the test of a training table: rows beyond the split and columns known too early show."""
+    return dq.future_rows(pf.price_features(src.panel(spark, sf), rsi=False), src.TRAIN_END, FEATS, warmup=3)
 
 
 _ALIGN = ", ".join(
@@ -208,18 +225,38 @@ def tgt_alignment(spark, sf):
     return dq.target_alignment(tg.forward_targets(src.panel(spark, sf), trim=False), list(tg.TARGETS))
 
 
-@register("split_overlap", "split n:b first_date last_date overlap", f"""
+cte("split_tables", f"""
+SELECT 'train' AS split, date FROM panel WHERE date <= DATE '{src.TRAIN_END}'
+UNION ALL SELECT 'val', date FROM panel WHERE date > DATE '{src.TRAIN_END}' - 60 AND date <= DATE '{src.VAL_END}'
+UNION ALL SELECT 'test', date FROM panel WHERE date > DATE '{src.VAL_END}'""")
+
+
+@register("split_overlap", "left_split right_split date", """
+SELECT DISTINCT a.split AS left_split, b.split AS right_split, a.date FROM split_tables a JOIN split_tables b ON a.date = b.date AND a.split < b.split""")
+def split_overlap(spark, sf):
+    """Three tables as a careless job would cut them: validation begins 60 days early, for its windows to warm up."""
+    p = src.panel(spark, sf)
+    d, train_end, val_end = F.col("date"), F.lit(src.TRAIN_END).cast("date"), F.lit(src.VAL_END).cast("date")
+    return dq.split_overlap(
+        train=p.where(d <= train_end), val=p.where((d > F.date_sub(train_end, 60)) & (d <= val_end)), test=p.where(d > val_end)
+    )
+
+
+@register("split_report", "split n:b first_date last_date overlap", f"""
 SELECT split, count(*) AS n, min(date) AS first_date, max(date) AS last_date, false AS overlap
 FROM (SELECT date, {ob.SPLIT} AS split FROM panel) WHERE split IS NOT NULL GROUP BY split""")
-def split_overlap(spark, sf):
+def split_report(spark, sf):
     return dq.split_report(sp.with_split(src.panel(spark, sf), src.TRAIN_END, src.VAL_END))
 
 
-@register("date_intersect", "date", "SELECT date FROM panel WHERE symbol = 'A' INTERSECT SELECT obs_date FROM macro_obs WHERE series_id = 'VIXCLS'")
+@register("date_intersect", "symbol series_id n:b first_date last_date", """
+SELECT symbol, series_id, count(*) AS n, min(date) AS first_date, max(date) AS last_date
+FROM panel JOIN macro_obs ON obs_date = date GROUP BY symbol, series_id""")
 def date_intersect(spark, sf):
-    a = src.panel(spark, sf).where("symbol = 'A'")
-    v = tables.order_macro(spark, sf).where("series_id = 'VIXCLS'").withColumnRenamed("obs_date", "date")
-    return dq.shared_dates(a, v)
+    """Dates that every symbol shares with every series."""
+    obs = tables.order_macro(spark, sf).select("series_id", F.col("obs_date").alias("date"))
+    both = src.panel(spark, sf).select("symbol", "date").join(cal.broadcast_calendar(obs), "date")
+    return both.groupBy("symbol", "series_id").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
 @register("date_diff_anti", "date", "SELECT DISTINCT date FROM wbars WHERE date NOT IN (SELECT date FROM panel)")
@@ -244,22 +281,27 @@ def cols_present(spark, sf):
     return dq.require_columns(pf.price_features(src.panel(spark, sf), rsi=False), ["symbol", "date", "vol_63d", "vol_21d"])
 
 
-@register("price_positive_guard", "symbol n:b bad:b", "SELECT symbol, count(*) AS n, count(*) FILTER (close <= 0) AS bad FROM panel GROUP BY symbol")
+@register("price_positive_guard", "symbol date guarded_close:9 tgt_ret_1d:9", "SELECT symbol, date, close AS guarded_close, tgt_ret_1d FROM panel JOIN tgt_all USING (symbol, date)")
 def price_positive_guard(spark, sf):
-    p = src.panel(spark, sf)
-    guarded = tg.forward_targets(p, trim=False, guard_prices=True)
-    n = guarded.groupBy("symbol").agg(F.count("tgt_ret_1d").alias("_seen"), F.count("*").alias("n"))
-    bad = p.groupBy("symbol").agg(F.count_if(F.col("close") <= 0).alias("bad"))
-    return n.join(bad, "symbol")
+    """The guard is part of the result, so it runs on every row; see the test for a price that it refuses."""
+    guarded = tg.guarded_prices(src.panel(spark, sf)).withColumn("guarded_close", F.col("close"))
+    return tg.forward_targets(guarded, trim=False, carry=("guarded_close",))
+
+
+@register("price_not_positive", "symbol n:b bad:b", "SELECT event_type AS symbol, count(*) AS n, count(*) FILTER (value <= 100) AS bad FROM events GROUP BY event_type")
+def price_not_positive(spark, sf):
+    """Ticks that a guard would refuse once prices are quoted as changes against 100."""
+    t = tables.event_ticks(spark, sf).withColumn("close", F.col("price") - 100)
+    return t.groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(F.col("close") <= 0).alias("bad"))
 
 
-@register("join_loss", "left_only:b right_only:b kept:b", """
-SELECT count(*) FILTER (m.date IS NULL) AS left_only, count(*) FILTER (p.date IS NULL) AS right_only,
-  count(*) FILTER (p.date IS NOT NULL AND m.date IS NOT NULL) AS kept
-FROM (SELECT DISTINCT date FROM panel) p FULL JOIN (SELECT DISTINCT obs_date AS date FROM macro_obs WHERE series_id = 'GS10') m ON p.date = m.date""")
+@register("join_loss", "series_id left_only:b right_only:b kept:b", """
+SELECT series_id, count(*) FILTER (r IS NULL) AS left_only, count(*) FILTER (l IS NULL) AS right_only, count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) AS kept
+FROM (SELECT DISTINCT s.series_id, p.date, 1 AS l FROM (SELECT DISTINCT series_id FROM macro_obs) s, panel p)
+FULL JOIN (SELECT DISTINCT series_id, obs_date AS date, 1 AS r FROM macro_obs) USING (series_id, date) GROUP BY series_id""")
 def join_loss(spark, sf):
-    obs = tables.order_macro(spark, sf).where("series_id = 'GS10'").withColumnRenamed("obs_date", "date")
-    return dq.join_loss(src.panel_dates(spark, sf), obs)
+    obs = tables.order_macro(spark, sf).withColumnRenamed("obs_date", "date")
+    return dq.join_loss(src.panel_dates(spark, sf), obs, "series_id")
 
 
 @register("returns_convention", "symbol series convention", """
@@ -281,8 +323,6 @@ def null_profile(spark, sf):
 
 @register("determinism", "n:b unmatched:b ok", "SELECT count(*) AS n, 0 AS unmatched, true AS ok FROM macro_feat")
 def determinism(spark, sf):
+    """Two runs of the macro features, all columns compared bit by bit."""
     f = mf.macro_features(src.macro_long(spark, sf))
-    path = scratch_dir(spark, "run")
-    store.write_table(f, path)
-    d = dq.run_difference(spark.read.parquet(path), f, "yield_curve_slope_21d_ma", ("date",))
-    return d.withColumn("ok", F.col("max_diff") <= 1e-10)
+    return dq.table_difference(write_once(f, "run"), f)

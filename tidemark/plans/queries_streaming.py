@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import null_if_nan
@@ -10,13 +11,14 @@ from tidemark.plans import inputs as src
 from tidemark.plans import oracle_meta as om
 from tidemark.plans.oracle_base import W
 from tidemark.plans.registry import register
+from tidemark.plans.stage import write_once
 from tidemark.session import scratch_dir
 from tidemark.streaming import bars as sb
 from tidemark.streaming import scoring as sc
 from tidemark.streaming import sink
 
-# The run's rows arrive in three deliveries, each read by a restarted query.
-DELIVERIES = (("2000-01-01", "2000-04-30"), ("2000-05-01", "2000-05-31"), ("2000-06-01", "2000-12-31"))
+# The run's dates arrive in three deliveries, each read by a restarted query; the last repeats the first LATE_DATES dates.
+LATE_DATES = 5
 
 
 @register("stream_bars", "symbol hour open:6 high:6 low:6 close:6 volume:3", "SELECT * FROM hourly")
@@ -29,11 +31,13 @@ def stream_bars(spark, sf):
 def _scored(spark, sf):
     out = scratch_dir(spark, "stream-score")
     rows = src.run_rows(spark, sf).select(*sc.INPUT)
-    rows.write.parquet(f"{out}/rows")
-    rows = spark.read.parquet(f"{out}/rows")
-    for a, b in DELIVERIES:
-        rows.where(F.col("date").between(a, b)).write.mode("append").parquet(f"{out}/inbox")
-        stream = spark.readStream.schema(rows.schema).parquet(f"{out}/inbox")
+    rows = write_once(rows.withColumn("_nth", F.dense_rank().over(Window.orderBy("date"))), "run-rows")  # bounded by the calendar's dates and the symbols
+    last = rows.agg(F.max("_nth")).first()[0] or 0
+    for part in range(3):
+        now = F.floor((F.col("_nth") - 1) * 3 / max(1, last)) == part
+        again = (F.col("_nth") <= LATE_DATES) if part == 2 else F.lit(False)
+        rows.where(now | again).drop("_nth").write.mode("append").parquet(f"{out}/inbox")
+        stream = spark.readStream.schema(rows.drop("_nth").schema).parquet(f"{out}/inbox")
         sink.run_available(sink.write_batches(sc.stream_score(stream, src.WEIGHT_MODEL), f"{out}/table", f"{out}/checkpoint"))
     scored = spark.read.parquet(f"{out}/table")
     return scored.withColumns({c: null_if_nan(F.col(c)) for c in ("signal", *META_FEATURES)})
@@ -49,8 +53,10 @@ def stream_meta(spark, sf):
     return _scored(spark, sf)
 
 
-@register("stream_state", "symbol date seen:b buffered:i", f"""
-SELECT symbol, date, row_number() OVER ({W}) AS seen, least(row_number() OVER ({W}), 21) AS buffered FROM run_rows""")
+@register("stream_state", "symbol date seen:b buffered:i late:b", f"""
+SELECT symbol, date, row_number() OVER ({W}) AS seen, least(count(return_pred) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 21) AS buffered,
+  CASE WHEN 3 * (dense_rank() OVER (ORDER BY date) - 1) // (SELECT count(DISTINCT date) FROM run_rows) = 2 THEN {LATE_DATES} ELSE 0 END AS late
+FROM run_rows""")
 def stream_state(spark, sf):
     return _scored(spark, sf)
 

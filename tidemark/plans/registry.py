@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.plans.stage import new_run
+
 Builder = Callable[[SparkSession, str], DataFrame]
 
 
@@ -24,6 +26,7 @@ class Query:
     oracle: str | None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        new_run()
         df = self.build(spark, sf_dir)
         return df.select(*[_spark_col(c, rule) for c, rule in self.contract])
 

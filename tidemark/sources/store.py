@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import scratch_dir
+
 WEIGHT_AUDIT = T.StructType(
     [
         T.StructField("symbol", T.StringType()),
@@ -146,7 +148,19 @@ class WeightAudit:
         writer.parquet(self.path)
 
     def append(self, weights: DataFrame, run_id: str) -> None:
-        self._write(self._rows(weights, run_id), "append")
+        """Adds a run's rows by (symbol, date): a repeated append, as after a retry, leaves them once.
+
+        The run's folder is written anew from its other rows and the given ones; a run is one backtest, not a history.
+        """
+        new = self._rows(weights, run_id)
+        try:
+            old = self.load(run_id)
+        except AnalysisException:  # nothing written yet
+            old = self.spark.createDataFrame([], WEIGHT_AUDIT)
+        merged = old.join(new, ["symbol", "date"], "left_anti").unionByName(new)
+        path = scratch_dir(self.spark, "audit-merge")
+        merged.write.parquet(path)
+        self._write(self.spark.read.schema(merged.schema).parquet(path), "overwrite")
 
     def replace(self, weights: DataFrame, run_id: str) -> None:
         """Batch write of a whole run, replacing what that run wrote before."""

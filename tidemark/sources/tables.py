@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -112,11 +114,15 @@ def line_ordinal() -> Column:
 
     Two packed longs (order key up to 2^40, line number 2^3, part 2^35, supplier
     2^30) make one decimal, which a hash aggregation can keep as its order value.
+    A key beyond its bits is an error, as it would wrap into another one's place.
     """
     line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
     high = F.shiftleft(line, 20) + F.shiftright("l_partkey", 15)
     low = F.shiftleft(F.col("l_partkey").bitwiseAND(F.lit(32767)), 30) + F.col("l_suppkey")
-    return high.cast("decimal(19,0)") * F.lit(1 << 45).cast("decimal(14,0)") + low.cast("decimal(14,0)")
+    packed = high.cast("decimal(19,0)") * F.lit(1 << 45).cast("decimal(14,0)") + low.cast("decimal(14,0)")
+    bits = {"l_orderkey": 40, "l_linenumber": 3, "l_partkey": 35, "l_suppkey": 30}
+    fits = reduce(Column.__and__, [(F.col(c) >= 0) & (F.col(c) < F.lit(1 << n)) for c, n in bits.items()])
+    return F.when(fits, packed).otherwise(F.raise_error(F.lit("line item keys beyond the bits of the order value")))
 
 
 def lineitem_ticks(spark: SparkSession, sf_dir: str, symbol: str = "l_returnflag") -> DataFrame:

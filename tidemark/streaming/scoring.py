@@ -23,12 +23,12 @@ INPUT = ("symbol", "date", "return_pred", "vol_pred", "regime_pred", "drawdown_r
 OUTPUT = (
     "symbol string, date date, signal double, "
     + ", ".join(f"w_{m} double" for m in MODELS)
-    + ", fallback boolean, seen long, buffered int, "
+    + ", fallback boolean, seen long, buffered int, late long, "
     + ", ".join(f"{c} double" for c in META_FEATURES)
 )
 ARRAYS = ("rets", "pnl_ret", "pnl_reg", "dis", "x_ret", "y_ret", "x_vol", "y_vol", "weights")
-STATE = "last_date date, seen long, total double, known long, sign double, direction double, " + ", ".join(f"{a} array<double>" for a in ARRAYS)
-FRESH = {"last_date": None, "seen": 0, "total": 0.0, "known": 0, "sign": float("nan"), "direction": float("nan"), **{a: [] for a in ARRAYS}}
+STATE = "last_date date, late long, seen long, total double, known long, sign double, direction double, " + ", ".join(f"{a} array<double>" for a in ARRAYS)
+FRESH = {"last_date": None, "late": 0, "seen": 0, "total": 0.0, "known": 0, "sign": float("nan"), "direction": float("nan"), **{a: [] for a in ARRAYS}}
 NAMES = list(FRESH)
 
 
@@ -110,13 +110,15 @@ def score_block(rows: pd.DataFrame, s: dict, model: WeightModel, n: int = WINDOW
             **{f"w_{k}": used[:, i] for i, k in enumerate(MODELS)},
             "fallback": fallback,
             "seen": seen,
-            "buffered": np.minimum(seen, n),
+            "buffered": np.minimum(len(s["x_ret"]) + np.cumsum(known), n),
+            "late": s["late"],
             **{c: meta[c] for c in META_FEATURES},
         }
     )
     last = in_force.iloc[-1].to_numpy(dtype=float)
     state = {
         "last_date": rows["date"].iloc[-1],
+        "late": s["late"],
         "seen": int(seen[-1]),
         "total": float(total[-1]),
         "known": int(count[-1]),
@@ -138,18 +140,23 @@ def score_block(rows: pd.DataFrame, s: dict, model: WeightModel, n: int = WINDOW
 def stream_score(rows: DataFrame, model: WeightModel) -> DataFrame:
     """Streaming twin of ``backtest``: signal, weights and track record for every arriving row.
 
-    Rows of a micro-batch arrive unordered and are sorted by date here; a row not
-    newer than the symbol's last one is ignored. Until a complete track record
-    exists the equal-weight fallback is used and flagged.
+    Rows of a micro-batch arrive unordered and are sorted by date here (of several with one date the one with the
+    largest values counts); a row not newer than the symbol's last one is dropped, and ``late`` counts those so far.
+    ``buffered`` is the number of prediction pairs that the state holds. Until a complete track record exists the
+    equal-weight fallback is used and flagged.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         s = dict(zip(NAMES, state.get)) if state.exists else dict(FRESH)
         s = {k: list(v) if k in ARRAYS else v for k, v in s.items()}
-        block = pd.concat(batches, ignore_index=True).sort_values("date").drop_duplicates("date", keep="last")
+        block = pd.concat(batches, ignore_index=True).sort_values(["date", *INPUT[2:]], kind="stable", na_position="first")
         if s["last_date"] is not None:
-            block = block[block["date"] > s["last_date"]]
+            fresh = block["date"] > s["last_date"]
+            s["late"] += int((~fresh).sum())
+            block = block[fresh]
+        block = block.drop_duplicates("date", keep="last")
         if block.empty:
+            state.update(tuple(s[k] for k in NAMES))
             return
         out, s = score_block(block, s, model)
         state.update(tuple(s[k] for k in NAMES))
