@@ -1,6 +1,6 @@
 """Ridge fits of the weight learner from aggregated sums of products.
 
-Spark reduces the training rows to one small Gram row per (symbol, fold, role);
+Spark reduces the training rows to a few small Gram rows per symbol;
 what is left per symbol is a handful of 5x5 systems, solved where that row lives.
 Nothing is collected to the driver, so the number of symbols is not limited.
 """
@@ -16,14 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.scalars import MODELS
+from tidemark.functions.windows import ordered
 from tidemark.operators.meta import META_FEATURES
-from tidemark.operators.splits import embargo_folds
 
 # Penalty grids of the first and second learner version.
 ALPHAS_V1 = (0.1, 1.0, 10.0, 100.0)
 ALPHAS_V2 = (1e-3, 1e-2, 1e-1, 1.0, 10.0, 100.0, 1000.0, 10000.0)
 TARGET_COLS = tuple(f"y_{m}" for m in MODELS)
-ALL_ROWS = -1
 
 
 def standardize(rows: DataFrame, cols: tuple[str, ...] = META_FEATURES) -> DataFrame:
@@ -35,22 +34,27 @@ def standardize(rows: DataFrame, cols: tuple[str, ...] = META_FEATURES) -> DataF
 
 
 def gram(rows: DataFrame, splits: int = 5, gap: int = 21) -> DataFrame:
-    """Sums of products per (symbol, fold, role); fold -1 holds all rows.
+    """Sums of products per symbol and segment of its history; no row is copied for a fold.
 
-    Layout of ``s``: products of every pair of (1, z_1..z_5, y_1..y_4), upper
-    triangle by rows, so counts, means, Gram matrix and targets are all in it.
+    The embargoed folds nest (see ``splits.embargo_folds``): a row trains every fold from ``train_from`` on and tests
+    the fold ``tests``, if any, so rows with equal pairs are summed once and folds are sums of segments. Layout of
+    ``s``: products of every pair of (1, z_1..z_5, y_1..y_4), upper triangle by rows, so counts, means, Gram matrix
+    and targets are all in it.
     """
-    z = standardize(rows)
-    whole = z.withColumns({"fold": F.lit(ALL_ROWS), "role": F.lit("all")})
-    folds = whole.unionByName(embargo_folds(z, splits, gap))
+    n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
+    z = standardize(rows).withColumns({"_pos": F.row_number().over(ordered("symbol")) - 1, "_n": n, "_size": F.floor(n / (splits + 1))})
+    after = F.col("_pos") - (F.col("_n") - splits * F.col("_size"))  # rows since the first test block began
+    fold = F.when((after >= 0) & (F.col("_size") > 0), F.floor(after / F.col("_size")))
+    since = F.when(after + gap < 0, 0).when(F.col("_size") > 0, F.floor((after + gap) / F.col("_size")) + 1).otherwise(splits)
+    z = z.withColumns({"train_from": since.cast("int"), "tests": fold.cast("int")})
     terms: list[Column] = [F.lit(1.0), *[F.col(f"z_{c}") for c in META_FEATURES], *[F.col(y) for y in TARGET_COLS]]
     products = [F.sum(a * b) for i, a in enumerate(terms) for b in terms[i:]]
     scaling = [F.first(f"{p}_{c}").alias(f"{p}_{c}") for c in META_FEATURES for p in ("mu", "sd")]
-    out = folds.groupBy("symbol", "fold", "role").agg(F.array(*products).alias("s"), *scaling)
+    out = z.groupBy("symbol", "train_from", "tests").agg(F.array(*products).alias("s"), *scaling)
     return out.select(
         "symbol",
-        "fold",
-        "role",
+        "train_from",
+        "tests",
         "s",
         F.array(*[F.col(f"mu_{c}") for c in META_FEATURES]).alias("mean"),
         F.array(*[F.col(f"sd_{c}") for c in META_FEATURES]).alias("scale"),
@@ -95,9 +99,12 @@ def _unfitted(n_rows: int) -> dict:
 
 def _fit_symbol(rows: list, alphas: tuple[float, ...], splits: int) -> dict:
     """Fit of one symbol; unfitted when its history is too short for every fold to have train and test rows."""
-    by = {(r["fold"], r["role"]): _square(np.asarray(r["s"], dtype=float)) for r in rows}
-    folds = sorted(f for f, role in by if role == "train" and (f, "test") in by)
-    n_rows = int(by[ALL_ROWS, "all"][0, 0])
+    parts = [(r["train_from"], r["tests"], _square(np.asarray(r["s"], dtype=float))) for r in sorted(rows, key=lambda r: (r["train_from"], -1 if r["tests"] is None else r["tests"]))]
+    whole = sum(m for _, _, m in parts)
+    by = {(k, "train"): sum(m for first, _, m in parts if first <= k) for k in range(splits)}
+    by |= {(k, "test"): sum(m for _, tested, m in parts if tested == k) for k in range(splits)}
+    folds = [k for k in range(splits) if isinstance(by[k, "train"], np.ndarray) and isinstance(by[k, "test"], np.ndarray)]
+    n_rows = int(whole[0, 0])
     if len(folds) < splits:
         return _unfitted(n_rows)
     scores = np.array([[_r2(by[f, "test"], *_solve(by[f, "train"], a)) for f in folds] for a in alphas])
@@ -105,7 +112,7 @@ def _fit_symbol(rows: list, alphas: tuple[float, ...], splits: int) -> dict:
     out = {"mean": list(rows[0]["mean"]), "scale": list(rows[0]["scale"]), "n_rows": n_rows, "fitted": True}
     for i, m in enumerate(MODELS):
         alpha = alphas[int(picked[i])]
-        beta, b0 = _solve(by[ALL_ROWS, "all"], alpha)
+        beta, b0 = _solve(whole, alpha)
         out |= {
             f"coef_{m}": beta[:, i].tolist(),
             f"intercept_{m}": float(b0[i]),
@@ -134,9 +141,9 @@ def fit_ridge(train: DataFrame, alphas: tuple[float, ...] = ALPHAS_V2, splits: i
     The penalty of each base model maximises the mean R squared over the
     embargoed folds; a pick at the grid's end marks the model as saturated. A
     symbol with too few rows for the folds gets zero scores and ``fitted`` false. A
-    symbol's Gram rows number 2 * splits + 1 whatever its history.
+    symbol's Gram rows number about 3 * splits whatever its history.
     """
-    cells = gram(train, splits, gap).groupBy("symbol").agg(F.collect_list(F.struct("fold", "role", "s", "mean", "scale")).alias("rows"))
+    cells = gram(train, splits, gap).groupBy("symbol").agg(F.collect_list(F.struct("train_from", "tests", "s", "mean", "scale")).alias("rows"))
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -117,6 +117,23 @@ def fold_rows(panel: DataFrame, spans: DataFrame) -> DataFrame:
     return joined.select(*panel.columns, hits).select(*panel.columns, "_hit.fold", "_hit.role")
 
 
+def fold_sums(panel: DataFrame, spans: DataFrame, value: str) -> DataFrame:
+    """(fold, role, symbol, n, known, total): rows, known values and their sum over the rows of each fold and role, without copying rows into folds.
+
+    Training windows only grow, so the rows are summed by the first fold that trains on them and a running sum over
+    the folds of a symbol gives every fold; a row tests one fold.
+    """
+    dated = panel.select("symbol", "date", value).join(broadcast_calendar(spans), "date")
+    sums = [F.count(F.lit(1)).alias("n"), F.count(value).alias("known"), F.sum(value).alias("total")]
+    first = dated.where("train_from is not null").groupBy("symbol", F.col("train_from").alias("fold"), "last_fold").agg(*sums)
+    every = first.groupBy("symbol").agg(F.min("fold").alias("a"), F.max("last_fold").alias("b")).select("symbol", F.explode(F.sequence("a", "b")).alias("fold"))
+    w = ordered("symbol", order="fold").rowsBetween(Window.unboundedPreceding, 0)
+    grown = every.join(first.drop("last_fold"), ["symbol", "fold"], "left")
+    train = grown.select("fold", F.lit("train").alias("role"), "symbol", *[F.sum(c).over(w).alias(c) for c in ("n", "known", "total")])
+    test = dated.select("symbol", value, F.explode("tests").alias("fold")).groupBy("fold", F.lit("test").alias("role"), "symbol").agg(*sums)
+    return train.unionByName(test)
+
+
 def chrono_split(df: DataFrame, share: float = 0.7) -> DataFrame:
     """First ``int(share * n)`` rows of a symbol by date are train, the rest eval."""
     w = ordered("symbol")

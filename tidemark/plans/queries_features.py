@@ -324,8 +324,8 @@ GROUP BY ALL""")
 def fold_range_join(spark, sf):
     dates_ = src.stored_dates(spark, sf)
     spans = sp.fold_spans(dates_, sp.walk_forward(spark, dates_, src.VAL_END))
-    rows = sp.fold_rows(cal.weekday_bars(src.bars(spark, sf)), spans)
-    return rows.groupBy("fold", "role", "symbol").agg(F.count("*").alias("n"), F.avg("close").alias("avg_close"))
+    sums = sp.fold_sums(cal.weekday_bars(src.bars(spark, sf)), spans, "close")
+    return sums.withColumn("avg_close", F.try_divide("total", "known"))
 
 
 @register("chrono_70_30", "symbol date part", """

@@ -45,7 +45,27 @@ def rv_predict(spark, sf):
     return vo.realized_vol(src.returns(spark, sf))
 
 
-@register("garch_walk", "symbol date garch_vol_1d_ann:9 fitted")
+# The grid's points stepped through the history side by side: the state at row t knows the rows before it.
+cte("garch_grid", "SELECT row_number() OVER () AS gp, u[1] AS om, u[2] AS al, u[3] AS be FROM (SELECT unnest([" + ", ".join(
+    f"[{float(a)!r}, {float(b)!r}, {float(c)!r}]" for a, b, c in vo.grid()) + "]) AS u)")
+cte("garch_rows", f"""
+SELECT symbol, date, t, e, power(e - CASE WHEN t = 0 THEN 0 ELSE avg(e) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END, 2) AS shock,
+  coalesce(CASE WHEN count(r) OVER ({W} ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING) = 21 THEN stddev_samp(r) OVER ({W} ROWS BETWEEN 21 PRECEDING AND 1 PRECEDING) END,
+    stddev_samp(r) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS plain
+FROM (SELECT symbol, date, r, {vo.SCALE!r} * r AS e, row_number() OVER ({W}) - 1 AS t FROM panel_ret WHERE r IS NOT NULL)""")
+cte("garch_anchor", f"""
+SELECT symbol, var_pop(e) FILTER (t < {vo.MIN_OBS}) AS anchor FROM garch_rows GROUP BY symbol HAVING count(*) > {vo.MIN_OBS} AND anchor > 0""")
+cte("garch_state", """
+SELECT symbol, CAST(0 AS BIGINT) AS t, gp, om * anchor AS om, al, be, anchor AS v, CAST(0 AS DOUBLE) AS ll FROM garch_anchor, garch_grid
+UNION ALL SELECT s.symbol, s.t + 1, gp, om, al, be, om + al * shock + be * v, ll - 0.5 * (ln(v) + shock / v)
+FROM garch_state s JOIN garch_rows r ON s.symbol = r.symbol AND s.t = r.t""")
+cte("garch", f"""
+SELECT r.symbol, r.date, best IS NOT NULL AS fitted, coalesce(sqrt(best) / {vo.SCALE!r}, plain) * sqrt(252) AS garch_vol_1d_ann
+FROM garch_rows r LEFT JOIN (SELECT symbol, t, arg_max(v, ll ORDER BY gp) AS best FROM garch_state WHERE t >= {vo.MIN_OBS} GROUP BY symbol, t) b ON r.symbol = b.symbol AND r.t = b.t
+WHERE r.date >= DATE '{src.VAL_START}'""")
+
+
+@register("garch_walk", "symbol date garch_vol_1d_ann:9 fitted", "SELECT * FROM garch")
 def garch_walk(spark, sf):
     return vo.garch_walk(src.returns(spark, sf), src.TRAIN_END)
 
@@ -61,7 +81,10 @@ def vol_rmse(spark, sf):
     return vo.vol_rmse(sp.split_rows(lagged, "val", src.TRAIN_END, src.VAL_END), src.trimmed_targets(spark, sf), ["rmse_21", "rmse_63"])
 
 
-@register("garch_rmse", "symbol garch_vol_1d_ann:9 realized_vol_21d:9 winner")
+@register("garch_rmse", "symbol garch_vol_1d_ann:9 realized_vol_21d:9 winner", f"""
+SELECT symbol, a AS garch_vol_1d_ann, b AS realized_vol_21d, CASE WHEN a <= b THEN 'garch_vol_1d_ann' ELSE 'realized_vol_21d' END AS winner FROM (
+  SELECT symbol, sqrt(avg(power(tgt_vol_5d * sqrt(252) - garch_vol_1d_ann, 2))) AS a, sqrt(avg(power(tgt_vol_5d * sqrt(252) - realized_vol_21d, 2))) AS b
+  FROM garch JOIN rv USING (symbol, date) JOIN tgt USING (symbol, date) WHERE {om.VAL} GROUP BY symbol)""")
 def garch_rmse(spark, sf):
     r = src.returns(spark, sf)
     both = vo.garch_walk(r, src.TRAIN_END).join(vo.realized_vol(r), ["symbol", "date"])

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -31,6 +33,13 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors of a cluster where it isn't installed: its functions run in their workers."""
+    root = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")  # read by the driver only, which serves it to the executors
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/tidemark", "zip", root.parent, root.name))
+
+
 def _setting(spark: SparkSession, key: str) -> str | None:
     value = spark.conf.get(key, None)
     return value or spark.sparkContext.getConf().get(key, None)
