@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import scalars
 from tidemark.functions.scalars import MODELS
 from tidemark.functions.windows import ordered
 from tidemark.operators import backtest as bt
 from tidemark.operators import calendar as cal
 from tidemark.operators import diagnostics as dg
 from tidemark.operators import ensemble as en
+from tidemark.operators import macro_features as mf
 from tidemark.operators import meta as mt
 from tidemark.operators import price_features as pf
 from tidemark.operators import regime as rg
@@ -238,6 +240,18 @@ def _tree_rows(spark, sf):
 _TREE_ROWS = "FROM feat JOIN tgt USING (symbol, date) WHERE tgt_ret_1d IS NOT NULL AND " + " AND ".join(f"{c} IS NOT NULL" for c in TREE_COLS)
 
 
+# The drawdown model's matrix: price features, macro features and the ordinal VIX bucket.
+MACRO_COLS = [c for c in mf.MACRO_FEATURES if c != "vix_regime"]
+JOINED_COLS = [*TREE_COLS, *MACRO_COLS, "vix_code"]
+_KNOWN_MACRO = " AND ".join(f"{c} IS NOT NULL" for c in [*MACRO_COLS, "vix_regime"])
+_JOINED_ROWS = _TREE_ROWS.replace("JOIN tgt USING (symbol, date)", "JOIN tgt USING (symbol, date) JOIN macro_feat USING (date)") + f" AND {_KNOWN_MACRO}"
+
+
+def _joined_rows(spark, sf, rows):
+    macro = mf.macro_features(src.macro_long(spark, sf)).withColumn("vix_code", scalars.vix_ordinal(F.col("vix_regime")))
+    return cal.merge_features(rows, macro).na.drop(subset=JOINED_COLS)
+
+
 def _fit_report(scored, label, pred, rounds, loss):
     """Checkable facts of a fit per split: rows, more than one round, better than the best constant on its own train rows."""
     own = loss(F.col(label), F.col(pred))
@@ -270,25 +284,29 @@ def return_fit(spark, sf):
     return _fit_report(tr.score_returns(model, rows), "tgt_ret_1d", "return_pred", tr.rounds_kept(model), _squared)
 
 
-@register("drawdown_fit", _REPORT, _REPORT_SQL + "WHERE tgt_mdd_21d IS NOT NULL GROUP BY split")
+@register("drawdown_fit", _REPORT, _REPORT_SQL.replace(_TREE_ROWS, _JOINED_ROWS) + "WHERE tgt_mdd_21d IS NOT NULL GROUP BY split")
 def drawdown_fit(spark, sf):
-    rows = write_once(_tree_rows(spark, sf).where("event is not null"), "tree-rows")
-    model = tr.drawdown_fit(rows, TREE_COLS)
+    rows = write_once(_joined_rows(spark, sf, _tree_rows(spark, sf)).where("event is not null"), "joined-rows")
+    model = tr.drawdown_fit(rows, JOINED_COLS)
     return _fit_report(tr.score_drawdown(model, rows), "event", "drawdown_risk_prob", tr.rounds_kept(model), _log_loss)
 
 
 @register("predict_all", "symbol date has_return has_vol has_regime drawdown_ok", f"""
-SELECT p.symbol, p.date, true AS has_return, p.vol_pred IS NOT NULL AS has_vol, p.regime_label IS NOT NULL AS has_regime, true AS drawdown_ok
-FROM (SELECT symbol, date {_TREE_ROWS}) t JOIN preds p USING (symbol, date)""")
+SELECT t.symbol, t.date, true AS has_return, g.garch_vol_1d_ann IS NOT NULL AS has_vol, l.label IS NOT NULL AS has_regime, j.ok AS drawdown_ok
+FROM (SELECT symbol, date {_TREE_ROWS}) t LEFT JOIN garch g USING (symbol, date)
+LEFT JOIN (SELECT symbol, date, label FROM states JOIN state_labels USING (symbol, state)) l USING (symbol, date)
+LEFT JOIN (SELECT symbol, date, true AS ok {_JOINED_ROWS}) j USING (symbol, date)""")
 def predict_all(spark, sf):
+    """Both tree models, the walk-forward volatility and the labelled regimes on the rows of the price matrix."""
     rows = write_once(_tree_rows(spark, sf), "tree-rows")
+    joined = write_once(_joined_rows(spark, sf, rows), "joined-rows")
     rm = tr.return_fit(rows, TREE_COLS, "tgt_ret_1d", QUERY_TREES, QUERY_RATE)
-    dm = tr.drawdown_fit(rows.where("event is not null"), TREE_COLS)
-    side = src.preds(spark, sf)
-    raw = tr.predict_all(rows, rows, rm, dm, side, side)
+    dm = tr.drawdown_fit(joined.where("event is not null"), JOINED_COLS)
+    vol = vo.garch_walk(src.returns(spark, sf), src.TRAIN_END).withColumnRenamed("garch_vol_1d_ann", "vol_pred")
+    regime = rg.apply_labels(*_labels(spark, sf)).withColumnRenamed("label", "regime_label")
+    raw = write_once(tr.predict_all(rows, joined, rm, dm, vol, regime), "raw-predictions")
     out = en.normalize(raw, en.fit_normalizer(raw, src.TRAIN_END))
-    p = raw.select("symbol", "date", F.col("drawdown_risk_prob").alias("p"))
-    out = out.join(p, ["symbol", "date"])
+    out = out.join(raw.select("symbol", "date", F.col("drawdown_risk_prob").alias("p")), ["symbol", "date"])
     return out.select(
         "symbol", "date", F.col("return_pred").isNotNull().alias("has_return"), F.col("vol_pred").isNotNull().alias("has_vol"),
         F.col("regime_pred").isNotNull().alias("has_regime"), F.col("p").between(0, 1).alias("drawdown_ok"),
