@@ -158,3 +158,17 @@ def test_late_and_repeated_rows_are_counted_and_settled():
     rows = pd.DataFrame([{"symbol": "A", "date": d, **base} for d in pd.bdate_range("2020-01-01", periods=30).date])
     out, state = sc.score_block(rows, {**sc.FRESH, "late": 3}, src.WEIGHT_MODEL)
     assert set(out.late) == {3} and state["late"] == 3 and len(state["x_ret"]) == out.buffered.iloc[-1] == 21
+
+
+def test_native_filter_equals_the_array_recursion(spark):
+    from tidemark.plans.queries_models import GIVEN
+
+    rng = np.random.default_rng(7)
+    x = pd.DataFrame(rng.normal(size=(150, 4)).cumsum(axis=0) / 6, columns=list(rg.INPUTS))
+    x = x.assign(symbol=np.where(x.index % 3, "A", "B"), date=pd.bdate_range("2018-01-01", periods=150).date)
+    got = {(r.symbol, r.date): r.state for r in rg.filter_given(spark.createDataFrame(x.sample(frac=1, random_state=1)), GIVEN).collect()}
+    assert len(got) == 150
+    for s, g in x.groupby("symbol"):
+        dens = rg.log_density(g[list(rg.INPUTS)].to_numpy(), np.array(GIVEN.mean), np.array([np.diag(v) for v in GIVEN.var]))
+        post, _ = rg.forward(np.array(GIVEN.start), np.array(GIVEN.trans), dens)
+        assert [got[s, d] for d in g.date] == post.argmax(axis=1).tolist()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -172,6 +175,42 @@ def decode(scaled: DataFrame, models: DataFrame, smoothed: bool = False, k: int
     return scaled.groupBy("symbol").cogroup(models.groupBy("symbol")).applyInPandas(run, schema)
 
 
+@dataclass(frozen=True)
+class GivenModel:
+    """A three-state model with known parameters and independent inputs (variances, no covariances)."""
+
+    start: tuple[float, float, float]
+    trans: tuple[tuple[float, float, float], ...]
+    mean: tuple[tuple[float, ...], ...]
+    var: tuple[tuple[float, ...], ...]
+
+
+def filter_given(scaled: DataFrame, model: GivenModel) -> DataFrame:
+    """(symbol, date, state): the most likely state of each row given the rows up to it, for known parameters.
+
+    One ordered array per symbol (bounded by the calendar) is folded from front to back; nothing leaves the JVM.
+    """
+    k = range(N_STATES)
+    log_dens = [
+        sum((-0.5 * (F.pow(F.col(c) - m, 2) / v + math.log(2 * math.pi * v)) for c, m, v in zip(INPUTS, model.mean[j], model.var[j])), F.lit(0.0))
+        for j in k
+    ]
+    rows = scaled.withColumns({f"_d{j}": log_dens[j] for j in k}).withColumn("_m", F.greatest(*[f"_d{j}" for j in k]))
+    rows = rows.select("symbol", F.struct("date", *[F.exp(F.col(f"_d{j}") - F.col("_m")).alias(f"b{j}") for j in k]).alias("o"))
+    path = rows.groupBy("symbol").agg(F.sort_array(F.collect_list("o")).alias("path"))
+    fresh = F.struct(*[F.lit(model.start[j]).alias(f"p{j}") for j in k], F.lit(True).alias("first"), F.array().cast("array<int>").alias("out"))
+
+    def step(s: Column, o: Column) -> Column:
+        prior = [F.when(s["first"], s[f"p{j}"]).otherwise(sum((s[f"p{i}"] * model.trans[i][j] for i in k), F.lit(0.0))) for j in k]
+        joint = [prior[j] * o[f"b{j}"] for j in k]
+        total = sum(joint, F.lit(0.0))
+        best = F.when((joint[0] >= joint[1]) & (joint[0] >= joint[2]), 0).when(joint[1] >= joint[2], 1).otherwise(2)
+        return F.struct(*[(joint[j] / total).alias(f"p{j}") for j in k], F.lit(False).alias("first"), F.concat(s["out"], F.array(best)).alias("out"))
+
+    states = path.withColumn("states", F.aggregate("path", fresh, step, lambda s: s["out"]))
+    return states.select("symbol", F.explode(F.arrays_zip(F.col("path.date").alias("date"), F.col("states").alias("state"))).alias("z")).select("symbol", "z.date", "z.state")
+
+
 # --- labels and statistics: plain aggregations -------------------------------
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
@@ -115,13 +117,60 @@ def regime_inputs(spark, sf):
     return _inputs(spark, sf)
 
 
-@register("scale_train_only", "symbol date ret:9 vol_21d:9 vix:9 slope:9", "SELECT r.symbol, date, " + ", ".join(
+cte("regime_scaled", "SELECT r.symbol, date, " + ", ".join(
     f"({c} - mu_{c}) / sd_{c} AS {c}" for c in rg.INPUTS) + " FROM regime_in r JOIN (SELECT symbol, " + ", ".join(
     f"avg({c}) AS mu_{c}, stddev_pop({c}) AS sd_{c}" for c in rg.INPUTS) + f" FROM regime_in WHERE date <= DATE '{src.TRAIN_END}' GROUP BY symbol) s USING (symbol)")
+
+
+@register("scale_train_only", "symbol date ret:9 vol_21d:9 vix:9 slope:9", "SELECT * FROM regime_scaled")
 def scale_train_only(spark, sf):
     return _scaled(spark, sf)
 
 
+# Known parameters: calm, middle and stressed states, apart in volatility and VIX.
+GIVEN = rg.GivenModel(
+    start=(0.4, 0.4, 0.2),
+    trans=((0.95, 0.04, 0.01), (0.03, 0.94, 0.03), (0.01, 0.05, 0.94)),
+    mean=((0.05, -0.5, -0.9, 0.3), (0.0, 0.0, 0.0, 0.0), (-0.1, 0.6, 1.0, -0.3)),
+    var=((0.6, 0.5, 0.4, 1.0), (1.0, 0.8, 0.5, 1.0), (1.8, 1.2, 0.6, 1.0)),
+)
+
+
+def _log_dens(j: int) -> str:
+    return " + ".join(f"-0.5 * (power({c} - ({m!r}), 2) / {v!r} + ln(2 * pi() * {v!r}))" for c, m, v in zip(rg.INPUTS, GIVEN.mean[j], GIVEN.var[j]))
+
+
+cte("given_dens", "SELECT symbol, date, t, " + ", ".join(f"exp(d{j} - greatest(d0, d1, d2)) AS b{j}" for j in range(3)) + f"""
+FROM (SELECT symbol, date, row_number() OVER ({W}) AS t, {', '.join(f'{_log_dens(j)} AS d{j}' for j in range(3))} FROM regime_scaled)""")
+cte("given_filter", "SELECT symbol, t, " + ", ".join(f"{GIVEN.start[j]!r} * b{j} / ({' + '.join(f'{GIVEN.start[i]!r} * b{i}' for i in range(3))}) AS p{j}" for j in range(3)) + """
+FROM given_dens WHERE t = 1
+UNION ALL SELECT symbol, t, q0 / (q0 + q1 + q2), q1 / (q0 + q1 + q2), q2 / (q0 + q1 + q2) FROM (
+  SELECT f.symbol, d.t, """ + ", ".join(f"({' + '.join(f'p{i} * {GIVEN.trans[i][j]!r}' for i in range(3))}) * b{j} AS q{j}" for j in range(3)) + """
+  FROM given_filter f JOIN given_dens d ON f.symbol = d.symbol AND d.t = f.t + 1)""")
+
+
+@register("regime_filter_given", "symbol date state:i", """
+SELECT symbol, date, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS state FROM given_filter JOIN given_dens USING (symbol, t)""")
+def regime_filter_given(spark, sf):
+    return rg.filter_given(_scaled(spark, sf), GIVEN)
+
+
+@register("hmm_fit_report", "symbol n_train:b start_sums transitions_sum improved", f"""
+SELECT symbol, count(*) AS n_train, true AS start_sums, true AS transitions_sum, true AS improved FROM regime_scaled WHERE date <= DATE '{src.TRAIN_END}' GROUP BY symbol""")
+def hmm_fit_report(spark, sf):
+    """What must hold of every fit: probabilities that sum to one, and a likelihood above that of one state for all rows."""
+    x = write_once(_scaled(spark, sf), "regime-inputs").where(F.col("date") <= F.lit(src.TRAIN_END).cast("date"))
+    fit = rg.hmm_fit(x, src.TRAIN_END)
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda a, v: a + v)
+    # Standardised inputs: one state without correlation has n * d * (ln 2 pi + 1) / -2.
+    one = x.groupBy("symbol").agg(F.count("*").alias("n_train"))
+    flat = -0.5 * F.col("n_train") * len(rg.INPUTS) * (F.log(2 * F.lit(math.pi)) + 1)
+    return one.join(fit, "symbol", "left").select(
+        "symbol", "n_train", (F.abs(add("start") - 1) < 1e-9).alias("start_sums"), (F.abs(add("trans") - rg.N_STATES) < 1e-9).alias("transitions_sum"),
+        (F.col("loglik") > flat).alias("improved"),
+    )
+
+
 @register("hmm_fit", "symbol loglik:6 n_iter:i")
 def hmm_fit(spark, sf):
     return rg.hmm_fit(_scaled(spark, sf), src.TRAIN_END)
