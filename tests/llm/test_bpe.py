@@ -1,8 +1,11 @@
+import copy
 import hashlib
 
 import public_tokenizers
 import pytest
 from conftest import SF
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tidemark.llm import bpe, queries
@@ -11,7 +14,7 @@ from tidemark.llm.common import table
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
     None, "", " ", "hello world", "Hello   WORLD's it'LL  don't!!! 3.14 a1b2", "ΑΣ ΣΑΣ İstanbul ǅ ﬁn", "été café", "日本語テキスト 🙂🙂👩‍👩‍👧",
-    "<|startoftext|>abc<|endoftext|> <|x|>", "\x00\x1c\x1d \x85　x​y", "aaaaaaaaaaaaaaaa abababababab bababa", "x" * 3000, "½ ² Ⅷ ٣ १२", "same", "same",
+    "<|startoftext|>abc<|endoftext|> <|x|>", "\x00\x1c\x1d \x85　x​y", "aaaaaaaaaaaaaaaa abababababab bababa", "x" * 3000, "½ ² Ⅷ ٣ १२", "same", "same", "a\x1cb \x1d!\x1e! c", "é́ ́a", "ſ K Å", "<|startoftext|><|endoftext|>x<|startoftext|", "'S don'T we'Ve",
 ]
 
 
@@ -39,13 +42,42 @@ def test_whole_table_equals_the_library(spark):
         assert tuple(got.loc[i]) == (len(ids), sha(" ".join(map(str, ids))), sha(back))
 
 
-def test_merges_of_lower_rank_go_first():
-    v = bpe.Vocabulary(open(PATH, encoding="utf-8").read())
-    a, b, end = v.plain[97], v.plain[98], v.last[98]
-    v.merges = {(a, b): (5, 900), (900, a): (2, 901), (a, end): (7, 902)}
-    assert v.encode_words(["ababb"]) == [[901, b, end]]  # not 900 900, though (a, b) occurs twice
-    v.merges = {(a, b): (5, 900), (900, a): (9, 901)}
-    assert v.encode_words(["ababb", "b"]) == [[900, 900, end], [end]]
+@pytest.fixture(scope="module")
+def vocabulary():
+    return bpe.Vocabulary(open(PATH, encoding="utf-8").read())
+
+
+def by_hand(vocabulary, merges, word):
+    """The lowest rank first, leftmost place first."""
+    raw = word.encode()
+    ids = [int(vocabulary.plain[b]) for b in raw[:-1]] + [int(vocabulary.last[raw[-1]])]
+    ranks = {(a, b): (r, new) for r, (a, b, new) in enumerate(merges)}
+    while True:
+        found = min(((*ranks[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks), default=None)
+        if found is None:
+            return ids
+        ids[found[2] : found[2] + 2] = [found[1]]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.data())
+def test_index_equals_merging_by_hand(vocabulary, data):
+    symbols = [int(vocabulary.plain[97]), int(vocabulary.plain[98]), int(vocabulary.last[97]), int(vocabulary.last[98])]
+    merges = []
+    for new in range(90_000, 90_000 + data.draw(st.integers(1, 12))):
+        pair = data.draw(st.tuples(st.sampled_from(symbols), st.sampled_from(symbols)))
+        if pair not in {m[:2] for m in merges}:
+            merges.append((*pair, new))
+            symbols.append(new)
+    words = data.draw(st.lists(st.text("ab", min_size=1, max_size=14), max_size=8))
+    other = copy.copy(vocabulary)
+    other.set_merges(merges)
+    assert other.encode_words(words) == [by_hand(vocabulary, merges, w) for w in words]
+
+
+def test_merges_that_use_later_symbols_are_refused(vocabulary):
+    with pytest.raises(ValueError, match="later merge"):
+        copy.copy(vocabulary).set_merges([(1, 90_001, 90_000), (1, 2, 90_001)])
 
 
 def test_empty_table_and_unknown_ids(spark):

@@ -2,7 +2,8 @@
 
 Each task lists the distinct words of a batch it hasn't seen, and maps every adjacent symbol pair to all positions
 where it occurs. The pairs with a rank are taken in ascending rank; all positions of a pair are merged at once and
-only the lists of the pairs beside a merge change. Words repeat, so their ids are kept for the task's later batches.
+only the lists of the pairs beside a merge change. No word and no normal form reaches over white space, so a text is
+cut there, and the ids of each piece are kept for the task's later batches.
 
 The vocabulary file (``tokenizers`` JSON: BPE with a word-end suffix, byte-level symbols, no decoder) is read on the
 driver and broadcast; its size is fixed. Special tokens in a text are cut out before anything else, as that library
@@ -15,8 +16,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import unicodedata
+from itertools import chain
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -25,8 +30,12 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import map_batches
 
-#: Words kept per task with their ids; beyond that the memo starts anew.
-MEMO_WORDS = 400_000
+#: Pieces kept per task with their ids; beyond that the memo starts anew.
+MEMO_PIECES = 200_000
+#: Pairs of ids are packed into one number.
+WIDE = 1 << 32
+#: Texts that are listed together: more of them share more look-ups.
+LEARN_ROWS = 1024
 #: White space of the vocabulary's patterns.
 SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -56,15 +65,30 @@ class Vocabulary:
         self.suffix = model["end_of_word_suffix"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, (a, b) in enumerate(model["merges"]):
-            self.merges.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
+        self.set_merges([(ids[a], ids[b], ids[a + b]) for a, b in model["merges"]])
         symbols = byte_symbols()
-        self.plain = [ids[s] for s in symbols]
-        self.last = [ids[s + self.suffix] for s in symbols]
+        self.plain = np.array([ids[s] for s in symbols], np.int64)
+        self.last = np.array([ids[s + self.suffix] for s in symbols], np.int64)
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", SPACE))
+        self.gaps, self.separators = regex.compile(f"[{SPACE}]+"), re.compile("[\x1c-\x1f]")
         self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)))
 
+    def set_merges(self, merges: list[tuple[int, int, int]]) -> None:
+        """Merges (left, right, new) in ascending rank, with their pairs as sorted numbers for look-up."""
+        made: dict[int, int] = {}
+        for rank, (_, _, new) in enumerate(merges):
+            made[new] = rank
+        if any(rank <= made.get(x, -1) for rank, pair in enumerate(merges) for x in pair[:2]):
+            raise ValueError("a merge uses a symbol that a later merge makes")
+        self.merges = merges
+        pairs = np.array([a * WIDE + b for a, b, _ in merges], np.int64)
+        order = np.argsort(pairs, kind="stable")
+        self.pairs, self.ranks = pairs[order], order
+
+    def pieces(self, text: str) -> list[str]:
+        """A text cut at white space; the separators U+001C to U+001F, which only ``str.split`` takes for it, stay."""
+        return [x for x in self.gaps.split(text) if x] if self.separators.search(text) else text.split()
+
     def split(self, text: str) -> list[str]:
         """The words of a text, special tokens among them as they are."""
         if "<|" not in text or not self.cut.search(text):
@@ -78,88 +102,94 @@ class Vocabulary:
     def _plain_words(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter: no final sigma
-        return self.words.findall(text.lower())
+        text = text.lower()
+        return [text] if text.isalpha() else self.words.findall(text)
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word, by one pair occurrence index over all of them."""
-        symbol: list[int] = []
-        word: list[int] = []
-        for w, text in enumerate(words):
-            raw = text.encode("utf-8", "surrogatepass")
-            symbol += [self.plain[b] for b in raw[:-1]]
-            symbol.append(self.last[raw[-1]])
-            word += [w] * len(raw)
-        n = len(symbol)
-        after = [i + 1 if i + 1 < n and word[i + 1] == word[i] else -1 for i in range(n)]
-        before = [i - 1 if i and word[i - 1] == word[i] else -1 for i in range(n)]
-        where: dict[tuple[int, int], list[int]] = {}
-        for i in range(n):
-            if after[i] >= 0:
-                where.setdefault((symbol[i], symbol[i + 1]), []).append(i)
-        merges = self.merges
-        active = [(merges[p][0], p) for p in where if p in merges]
-        heapq.heapify(active)
-        queued = {p for _, p in active}
+        """Ids of each word, by one pair occurrence index over all of them.
+
+        The index maps a pair, by its rank, to arrays of the positions where it stood when it arose; those where it no
+        longer stands are passed over. No merge can make a pair of a lower rank than its own (checked on loading), so
+        each rank is taken once.
+        """
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        symbol = self.plain[data]
+        ends = np.cumsum(length)
+        symbol[ends - 1] = self.last[data[ends - 1]]
+        place = np.arange(len(data))
+        after, before = place + 1, place - 1
+        after[ends - 1], before[ends - length] = -1, -1
+        where: dict[int, list[np.ndarray]] = {}
+        active: list[int] = []
+
+        def add(at: np.ndarray) -> None:
+            """Puts the pairs that start at the given positions into the index."""
+            key = symbol[at] * WIDE + symbol[after[at]]
+            found = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+            known = self.pairs[found] == key
+            ranks, at = self.ranks[found[known]], at[known]
+            order = np.argsort(ranks, kind="stable")
+            ranks, at = ranks[order], at[order]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ranks)]):
+                if lo < hi:
+                    rank = int(ranks[lo])
+                    if rank not in where:
+                        where[rank] = []
+                        heapq.heappush(active, rank)
+                    where[rank].append(at[lo:hi])
+
+        add(place[after >= 0])
         while active:
-            rank, pair = heapq.heappop(active)
-            queued.discard(pair)
-            first, second = pair
-            new = merges[pair][1]
-            wait: list[int] = []  # positions of words where a merge made a pair of lower rank: that goes first
-            overtaken: set[int] = set()
-            for i in sorted(where.pop(pair)):
-                j = after[i]
-                if j < 0 or symbol[i] != first or symbol[j] != second:
-                    continue
-                if word[i] in overtaken:
-                    wait.append(i)
-                    continue
-                k, h = after[j], before[i]
-                symbol[i], symbol[j], after[i] = new, -1, k
-                if k >= 0:
-                    before[k] = i
-                for left, right in ((h, i), (i, k)):
-                    if left >= 0 and right >= 0:
-                        made = (symbol[left], symbol[right])
-                        where.setdefault(made, []).append(left)
-                        if made in merges:
-                            if made not in queued:
-                                queued.add(made)
-                                heapq.heappush(active, (merges[made][0], made))
-                            if merges[made][0] < rank:
-                                overtaken.add(word[i])
-            if wait:
-                where.setdefault(pair, []).extend(wait)
-                if pair not in queued:
-                    queued.add(pair)
-                    heapq.heappush(active, (rank, pair))
-        out: list[list[int]] = [[] for _ in words]
-        for i in range(n):
-            if symbol[i] >= 0:
-                out[word[i]].append(symbol[i])
-        return out
+            rank = heapq.heappop(active)
+            first, second, new = self.merges[rank]
+            held = where.pop(rank)
+            at = held[0] if len(held) == 1 else np.unique(np.concatenate(held))
+            nxt = after[at]
+            stands = (symbol[at] == first) & (nxt >= 0) & (symbol[nxt] == second)
+            at, nxt = at[stands], nxt[stands]
+            if first == second and len(at) > 1:  # runs of one symbol: leftmost pairs first
+                taken: set[int] = set()
+                keep = [not (i in taken or taken.add(j)) for i, j in zip(at.tolist(), nxt.tolist())]
+                at, nxt = at[keep], nxt[keep]
+            if not len(at):
+                continue
+            far = after[nxt]
+            symbol[at], symbol[nxt], after[at] = new, -1, far
+            has = far >= 0
+            before[far[has]] = at[has]
+            prior = before[at]
+            add(np.concatenate((prior[prior >= 0], at[has])))
+        left = symbol >= 0
+        counts = np.add.reduceat(left, ends - length) if len(words) else []
+        ids = symbol[left].tolist()
+        stops = np.cumsum(counts).tolist()
+        return [ids[lo:hi] for lo, hi in zip([0, *stops], stops)]
 
     def decode(self, ids) -> str:
         return " ".join(self.tokens[i] for i in ids if i is not None)
 
 
 class Encoder:
-    """A vocabulary with the ids of the words met so far in a task."""
+    """A vocabulary with the ids of the pieces of text met so far in a task, each kept as ``form`` makes it."""
 
     def __init__(self, vocabulary: Vocabulary, form=tuple):
         self.vocabulary, self.form, self.memo = vocabulary, form, {}
 
     def learn(self, texts: list[list[str]]) -> None:
-        special = self.vocabulary.special
-        new = list(set().union(*texts).difference(self.memo)) if texts else []
-        if len(self.memo) + len(new) > MEMO_WORDS:
+        seen = set().union(*texts)
+        new = seen.difference(self.memo)
+        if len(self.memo) + len(new) > MEMO_PIECES:
             self.memo.clear()
-            new = list(set().union(*texts))
-        plain = [w for w in new if w not in special]
-        for w, ids in zip(plain, self.vocabulary.encode_words(plain)):
-            self.memo[w] = self.form(ids)
-        for w in set(new).difference(plain):
-            self.memo[w] = self.form([special[w]])
+            new = seen
+        split = {p: self.vocabulary.split(p) for p in new}
+        special = self.vocabulary.special
+        words = list(set().union(*split.values()).difference(special)) if split else []
+        ids = dict(zip(words, self.vocabulary.encode_words(words))) | {t: [i] for t, i in special.items()}
+        for p, ws in split.items():
+            self.memo[p] = self.form(list(chain.from_iterable(map(ids.__getitem__, ws))))
 
 
 def _shared(docs: DataFrame, path: str):
@@ -174,16 +204,16 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     def run(batches):
         encoder = Encoder(Vocabulary(file.value))
         for b in batches:
-            words = [encoder.vocabulary.split(t or "") for t in b.column("text").to_pylist()]
-            encoder.learn(words)
-            ids = [[i for w in ws for i in encoder.memo[w]] for ws in words]
+            pieces = [encoder.vocabulary.pieces(t or "") for t in b.column("text").to_pylist()]
+            encoder.learn(pieces)
+            ids = [list(chain.from_iterable(map(encoder.memo.__getitem__, ps))) for ps in pieces]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "n_tokens", "ids"]
             )
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return map_batches(rows, run, schema)
+    return map_batches(rows, run, schema, LEARN_ROWS)
 
 
 def decode(encoded: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -207,21 +237,21 @@ def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
     def run(batches):
         vocabulary = Vocabulary(file.value)
         encoder = Encoder(vocabulary, lambda ids: (len(ids), " ".join(map(str, ids)), vocabulary.decode(ids)))
-        sha = lambda parts: hashlib.sha256(" ".join(parts).encode("utf-8")).hexdigest()
+        sha = lambda parts, k: hashlib.sha256(" ".join(map(itemgetter(k), parts)).encode("utf-8")).hexdigest()
         for b in batches:
-            words = [vocabulary.split(t or "") for t in b.column("text").to_pylist()]
-            encoder.learn(words)
-            made = [[encoder.memo[w] for w in ws] for ws in words]
+            pieces = [vocabulary.pieces(t or "") for t in b.column("text").to_pylist()]
+            encoder.learn(pieces)
+            made = [list(map(encoder.memo.__getitem__, ps)) for ps in pieces]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"),
-                    pa.array([sum(m[0] for m in ms) for ms in made], pa.int64()),
-                    pa.array([sha([m[1] for m in ms]) for ms in made], pa.string()),
-                    pa.array([sha([m[2] for m in ms]) for ms in made], pa.string()),
+                    pa.array([sum(map(itemgetter(0), ms)) for ms in made], pa.int64()),
+                    pa.array([sha(ms, 1) for ms in made], pa.string()),
+                    pa.array([sha(ms, 2) for ms in made], pa.string()),
                 ],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string").fields])
-    return map_batches(rows, run, schema)
+    return map_batches(rows, run, schema, LEARN_ROWS)
