@@ -7,6 +7,7 @@ import pytest
 from conftest import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import importance, queries
 from tidemark.llm import quality_rules as qr
@@ -102,7 +103,7 @@ def test_importance_separates_held_out_labels(spark):
     text = docs.set_index("doc_id").text
     for r in pdf.head(30).itertuples():
         assert r.log_weight == pytest.approx(sum(ratio[b] for b in importance.ngram_buckets(text[r.doc_id].encode(), hashes)))
-    labels = table(spark, sf, "labels").withColumn("held", importance.crc_fold(table(spark, sf, "labels").doc_id, 5) == 0).toPandas()
+    labels = table(spark, sf, "labels").withColumn("held", importance.crc_fold(F.col("doc_id"), 5) == 0).toPandas()
     m = pdf.merge(labels[labels.held], on="doc_id")
     assert m[m.quality == 1].kept.mean() > 0.9 and m[m.quality == 0].kept.mean() < 0.4
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import staged
+from tidemark.llm.common import hash_place, least_placed, staged
 
 TABLES, SAMPLE, TARGET, WIDTH = 16, 2000, 0.85, 1.8
 LEAST_PROBES, MOST_PROBES = 64, 1024
@@ -214,7 +214,7 @@ def _valid(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 def search(vectors: DataFrame, every: int, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row whose id is divisible by ``every``."""
     rows = _valid(vectors, vec_id, embedding)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    sample = least_placed(rows, hash_place(F.col("vec_id")), "vec_id", SAMPLE, rows.count()).collect()
     spark = vectors.sparkSession
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

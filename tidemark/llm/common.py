@@ -55,6 +55,16 @@ def crc_fold(doc_id: Column, k: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(k)).cast("int")
 
 
+def hash_place(*cols: Column) -> Column:
+    """Place of a row in [0, 1) by the hash of some columns."""
+    return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(2.0**53)
+
+
+def least_placed(df: DataFrame, place: Column, tie: str, k: int, rows: int) -> DataFrame:
+    """The ``k`` rows of least place out of ``rows``; the others are thinned in the tasks, before any meet."""
+    return df.where(place < 1.5 * (k + 50) / max(1, rows)).orderBy(place, tie).limit(k)
+
+
 def top_by(df: DataFrame, key: str, k: int) -> int | None:
     """The ``k``-th largest value of a non-null long column, found by radix histograms without a sort.
 

@@ -21,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import crc_fold, map_batches, staged, top_by, utf8
+from tidemark.llm.common import crc_fold, hash_place, least_placed, map_batches, staged, top_by, utf8
 
 BUCKETS = 10_000
 TARGET_ROWS = 20_000
 #: Labels whose crc32 of the id is 0 modulo this are left for held-out tests.
 FOLDS = 5
 #: Words remembered with their hashes per task.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,10 +66,12 @@ def _counts(batches):
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, float] | None:
     """(log ratio per bucket, share of good labels); None without good labels."""
     known = labels.select(F.col("doc_id").alias("__id"), "quality").where("quality is not null and __id is not null").where(crc_fold(F.col("__id"), FOLDS) != 0)
-    share = known.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
-    if not share:
+    rows, n_good = known.agg(F.count(F.lit(1)), F.count_if(F.col("quality") == 1)).first()
+    if not n_good:
         return None
-    good = known.where("quality = 1").select("__id").distinct().orderBy(F.xxhash64("__id"), "__id").limit(TARGET_ROWS).withColumn("target", F.lit(True))
+    share = n_good / rows
+    good = known.where("quality = 1").select("__id").distinct()
+    good = least_placed(good, hash_place(F.col("__id")), "__id", TARGET_ROWS, n_good).withColumn("target", F.lit(True))
     rows = docs.select(F.col(doc_id).alias("__key"), F.col(text).alias("text"))
     rows = rows.join(F.broadcast(good), F.col("__key") == F.col("__id"), "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     counts = map_batches(rows, _counts, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import crc_fold, map_batches
+from tidemark.llm.common import crc_fold, hash_place, map_batches
 
 BUCKETS = 1 << 13
 SAMPLE_PER_LANGUAGE = 1000
@@ -125,12 +125,15 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     for bucket, n in counts:
         seen[bucket] = n
     idf = np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1
+    # Rows are thinned by their hash to little more than the sample before those of a language meet in one window.
+    placed = rows.select("doc_id", "lang", hash_place(F.col("doc_id")).alias("h"))
+    share = placed.groupBy("lang").agg((F.lit(1.5 * SAMPLE_PER_LANGUAGE) / F.count(F.lit(1))).alias("share")).withColumnRenamed("lang", "__lang")
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    picked = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("nth", F.row_number().over(order))
+    picked = placed.join(share, F.col("lang") == F.col("__lang")).where(F.col("h") < F.col("share")).withColumn("nth", F.row_number().over(order))
     picked = picked.where(F.col("nth") <= SAMPLE_PER_LANGUAGE).select("doc_id", "h").distinct()
     # At most SAMPLE_PER_LANGUAGE ids for each language.
     sample = rows.join(F.broadcast(picked), "doc_id").select("text", "lang", "h")
-    vectors = map_batches(sample, _counted, "lang string, h long, bucket array<long>, n array<long>")
+    vectors = map_batches(sample, _counted, "lang string, h double, bucket array<long>, n array<long>")
     found = vectors.groupBy("lang").applyInPandas(_clusters(idf), "lang string, centroid array<double>, floors array<double>").collect()
     found.sort(key=lambda r: r.lang)
     return Model(idf, [r.lang for r in found], np.array([r.centroid for r in found]).reshape(-1, BUCKETS), np.array([r.floors for r in found]).reshape(-1, 24))

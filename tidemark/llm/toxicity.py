@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import crc_fold, map_batches
+from tidemark.llm.common import crc_fold, hash_place, least_placed, map_batches
 
 SAMPLE_PER_CLASS = 10_000
 #: Rows whose crc32 of the id is 0 modulo FOLDS are held out.
@@ -33,7 +33,7 @@ FOLDS = 5
 #: Lengths of stems, least number of toxic texts behind a pattern, least log odds of an insult, patterns kept at most.
 STEMS, LEAST_TEXTS, LEAST_WEIGHT, PATTERNS = range(3, 9), 3, 2.0, 20_000
 #: Pattern counts held by a task before it hands them on, and words remembered with their symbol.
-HELD, MEMO_WORDS = 300_000, 500_000
+HELD, MEMO_WORDS = 200_000, 200_000
 
 #: Word lists of the grammar in English, German, French and Spanish.
 THREATS = "kill hurt destroy beat burn shoot stab murder töten umbringen verletzen schlagen tuer frapper brûler matar golpear quemar".split()
@@ -227,8 +227,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     size = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(size) < 2:
         return Model({}, np.zeros(0))
-    h = F.xxhash64(F.lit("toxicity"), F.col("__id"))
-    part = lambda c: known.where(F.col("toxic") == c).orderBy(h, "__id").limit(SAMPLE_PER_CLASS)
+    place = hash_place(F.lit("toxicity"), F.col("__id"))
+    part = lambda c: least_placed(known.where(F.col("toxic") == c), place, "__id", SAMPLE_PER_CLASS, size[c])
     picked = F.broadcast(part(0).union(part(1)))  # at most twice SAMPLE_PER_CLASS ids
     rows = docs.select(F.col(doc_id).alias("__key"), F.col(text).alias("text")).join(picked, F.col("__key") == F.col("__id"))
     half = F.pmod(F.xxhash64(F.lit("half"), F.col("__id")), F.lit(2))
