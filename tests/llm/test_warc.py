@@ -64,7 +64,7 @@ def record(i, body):
 
 
 def test_unwanted_payloads_are_skipped_and_foreign_files_read():
-    bodies = [hashlib.sha512(str(i).encode()).hexdigest().encode() * 2000 for i in range(6)]
+    bodies = [b"".join(hashlib.sha512(f"{i} {k}".encode()).digest() for k in range(1500)) for i in range(6)]
     raws = [record(i, b) for i, b in enumerate(bodies)]
     wanted = lambda h: True if h["warc-target-uri"] == "u4" else None
     for packed, skips in ((b"".join(map(warc.member, raws)), True), (b"".join(map(gzip.compress, raws)), False), (b"".join(raws), True)):
