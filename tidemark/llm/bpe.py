@@ -35,7 +35,7 @@ MEMO_PIECES = 200_000
 #: Pairs of ids are packed into one number.
 WIDE = 1 << 32
 #: Texts that are listed together: more of them share more look-ups.
-LEARN_ROWS = 1024
+LEARN_ROWS = 256
 #: White space of the vocabulary's patterns.
 SPACE = r"\t-\r \x85\xa0  -     　"
 
