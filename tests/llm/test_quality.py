@@ -69,6 +69,14 @@ def test_estimates_equal_those_in_memory_and_reject_junk(spark):
     assert kept[1] > 0.95 and kept[0] < 0.4
 
 
+def test_junk_that_passes_the_base_rules_is_rejected(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = table(spark, sf, "labels")
+    got = queries.op9_quality_rules(spark, sf).where("not base_failed").join(labels, "doc_id").toPandas()
+    kept = got.groupby("quality").kept.mean()
+    assert (got.quality == 0).sum() > 250 and kept[0] < 0.05 and kept[1] > 0.98
+
+
 def test_odd_rows_and_large_source(spark):
     rng = random.Random(1)
     good = [(i, " ".join(rng.choice("abcdefgh") * rng.randint(2, 8) + str(rng.randint(0, 999)) for _ in range(rng.randint(80, 200))), "x", "big") for i in range(150)]

@@ -4,7 +4,7 @@ Statistics of a text become a vector of five transformed numbers. For every lang
 determinant estimate is found by concentration steps: distances under the present estimate, the closest three quarters
 of the rows, their mean and covariance; last, one reweighting step over the rows within the 97.5 % ellipsoid. Each step
 is two aggregations over all rows, combined before the shuffle, so a large source is not gathered anywhere. Rows whose
-Mahalanobis distance is beyond the cut are rejected.
+Mahalanobis distance is beyond the 99.9 % ellipsoid are rejected.
 
 Groups with fewer than ``MIN_ROWS`` rows use their language's estimate, and languages with fewer that of all rows; with
 fewer than that in all, only the base rules decide. Nulls of language or source are groups of their own. A null or
@@ -31,7 +31,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
 MIN_ROWS = 60
 #: Share of rows in the core of an estimate, concentration steps, and chance that a normal row is rejected.
-CORE, STEPS, ALPHA = 0.75, 6, 1e-7
+CORE, STEPS, ALPHA = 0.75, 6, 1e-3
 FEATURES = ("f_words", "f_length", "f_symbols", "f_lines", "f_repeats")
 #: Least spread of each feature: rates that are zero nearly everywhere would have none.
 FLOOR = np.array([0.5, 0.06, 0.5, 0.35, 0.35])
