@@ -38,6 +38,28 @@ def test_learns_only_from_its_fold_and_text(spark):
     assert a.languages == b.languages and np.allclose(a.idf, b.idf) and np.allclose(a.centroids, b.centroids)
 
 
+def test_rejects_unlearned_languages_code_and_noise(spark):
+    rng = np.random.default_rng(3)
+    letters = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    foreign = {
+        "it": "Quando il vento soffia dalle colline gli abitanti del paese chiudono le finestre e aspettano che passi la pioggia. Nessuno ricorda più chi abbia costruito il vecchio ponte, ma tutti lo attraversano ogni giorno per andare al mercato.",
+        "pt": "Quando o vento sopra das colinas os moradores da aldeia fecham as janelas e esperam que a chuva passe. Ninguém se lembra de quem construiu a velha ponte, mas todos a atravessam todos os dias para ir à feira.",
+        "nl": "Wanneer de wind van de heuvels waait sluiten de bewoners van het dorp hun ramen en wachten zij tot de regen voorbij is. Niemand weet nog wie de oude brug heeft gebouwd, maar iedereen steekt haar elke dag over.",
+        "pl": "Kiedy wiatr wieje ze wzgórz mieszkańcy wsi zamykają okna i czekają aż przejdzie deszcz. Nikt już nie pamięta kto zbudował stary most, ale wszyscy codziennie przez niego przechodzą w drodze na targ.",
+        "fi": "Kun tuuli puhaltaa kukkuloilta kylän asukkaat sulkevat ikkunansa ja odottavat sateen menevän ohi. Kukaan ei enää muista kuka rakensi vanhan sillan, mutta kaikki kulkevat sen yli joka päivä.",
+        "c": "static int cmp(const void *p, const void *q) { return *(const int *)p - *(const int *)q; } int main(void) { int v[64]; for (int i = 0; i < 64; i++) v[i] = rand() % 97; qsort(v, 64, sizeof *v, cmp); printf(\"%d\\n\", v[0]); }",
+        "base64": letters("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 600),
+        "random": " ".join(letters("abcdefghijklmnopqrstuvwxyz", 7) for _ in range(80)),
+    }
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    model = langid.fit(docs)
+    _, score, rejected = langid.classify(model, list(foreign.values()))
+    assert rejected.all(), dict(zip(foreign, score))
+    held = docs.where(langid.held_out(docs.doc_id)).toPandas()
+    assert langid.classify(model, held.text.tolist())[2].mean() < 0.03
+    assert len({tuple(f) for f in model.floors}) >= len(set(model.languages))
+
+
 def test_odd_rows(spark):
     rows = [(i, f"the cat and the dog number{i} are here", "en", 1) for i in range(40)] + [(100 + i, f"der hund und die katze {i} sind da", "de", 1) for i in range(40)]
     rows += [(200, None, "en", 1), (201, "", None, 1), (202, "123 !!! $$", "de", 1), (203, "漢字仮名", None, 1), (None, "the cat", "en", 1), (0, "the dog", "en", 1), (204, "the cat " * 50_000, None, 1)]

@@ -5,7 +5,9 @@ counts times inverse document frequency, scaled to length one, is its vector. Do
 learning rows. Each language has up to ``CENTROIDS`` centroids, found by spherical k-means on at most
 ``SAMPLE_PER_LANGUAGE`` of its learning rows (those with the least hash). The predicted language is that of the centroid
 with the largest cosine, which is also the score. A text is rejected if it has no letter, or if that cosine is below
-the centroid's floor: ``SLACK`` times the smallest that the language's own sample shows for texts of its length or shorter.
+the centroid's floor for texts of that length: the ``QUANTILE`` of the cosines of its own members whose length lies within a
+factor of two, or in as many more doublings as ``MEMBERS`` of them take. A centroid of fewer members takes the floors of its
+language's whole sample; in a sample of fewer than ``FEW`` a tail can't be told, and the floor is ``SLACK`` times its least cosine.
 
 Null texts and texts without letters are ``und`` with score 0; without learning rows every text is. Rows without
 language are not learned from; equal cosines go to the first language by code point; rows repeat as they are; an empty
@@ -31,7 +33,7 @@ BUCKETS = 1 << 13
 SAMPLE_PER_LANGUAGE = 1000
 CENTROIDS = 4
 ROUNDS = 8
-SLACK = 0.5
+QUANTILE, MEMBERS, FEW, SLACK, BANDS = 0.005, 100, 50, 0.5, 24
 #: Learning rows are those whose crc32 of the id, modulo FOLDS, is not HELD_OUT.
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
@@ -91,6 +93,19 @@ def _counted(batches):
         )
 
 
+def _floors(best: np.ndarray, level: np.ndarray) -> list[float]:
+    """Floor of each band of lengths, from the cosines and bands of the members of a centroid or language."""
+    if len(best) < FEW:
+        return [SLACK * float(best.min())] * BANDS
+    out = []
+    for band in range(BANDS):
+        gap = np.abs(level - band)
+        near = np.sort(best[gap <= max(1, np.sort(gap)[:MEMBERS][-1])])
+        # The r-th least of n: a further row like them lies below with a chance of r in n + 1.
+        out.append(float(near[max(0, int(QUANTILE * (len(near) + 1)) - 1)]))
+    return out
+
+
 def _clusters(idf: np.ndarray):
     """Spherical k-means over one language's sample; starts from rows far from the mean and from each other."""
 
@@ -110,10 +125,12 @@ def _clusters(idf: np.ndarray):
         for _ in range(ROUNDS):
             own = (x @ found.T).argmax(axis=1)
             found = unit_rows(np.vstack([x[own == k].mean(axis=0) if (own == k).any() else found[k] for k in range(len(found))]))
-        best = (x @ found.T).max(axis=1)
+        cosine = x @ found.T
+        own, best = cosine.argmax(axis=1), cosine.max(axis=1)
         level = np.log2(total).astype(int)
-        floors = [SLACK * float(best[level <= max(k, level.min())].min()) for k in range(24)]
-        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": [c.astype(float).tolist() for c in found], "floors": [floors] * len(found)})
+        shared = _floors(best, level)
+        floors = [_floors(best[own == k], level[own == k]) if (own == k).sum() >= MEMBERS else shared for k in range(len(found))]
+        return pd.DataFrame({"lang": pdf["lang"].iloc[0], "centroid": [c.astype(float).tolist() for c in found], "floors": floors})
 
     return run
 
@@ -136,7 +153,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     vectors = map_batches(sample, _counted, "lang string, h double, bucket array<long>, n array<long>")
     found = vectors.groupBy("lang").applyInPandas(_clusters(idf), "lang string, centroid array<double>, floors array<double>").collect()
     found.sort(key=lambda r: r.lang)
-    return Model(idf, [r.lang for r in found], np.array([r.centroid for r in found]).reshape(-1, BUCKETS), np.array([r.floors for r in found]).reshape(-1, 24))
+    return Model(idf, [r.lang for r in found], np.array([r.centroid for r in found]).reshape(-1, BUCKETS), np.array([r.floors for r in found]).reshape(-1, BANDS))
 
 
 def classify(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -148,7 +165,7 @@ def classify(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarr
     cosine = unit_rows(counts * model.idf) @ model.centroids.T
     best = cosine.argmax(axis=1)
     score = np.clip(np.where(total > 0, cosine.max(axis=1), 0), 0, 1)
-    floor = model.floors[best, np.minimum(np.log2(np.maximum(total, 1)).astype(int), 23)]
+    floor = model.floors[best, np.minimum(np.log2(np.maximum(total, 1)).astype(int), BANDS - 1)]
     return [model.languages[k] if n else UNKNOWN for k, n in zip(best, total)], score, (total == 0) | (score < floor) | (score == 0)
 
 
