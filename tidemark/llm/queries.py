@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, bpe, html_template, importance, langid, mixing, quality_rules, simhash, toxicity, warc
+from tidemark.llm import ann, bpe, html_template, importance, langid, mixing, quality_rules, simhash, toxicity, vector_codes, warc
 from tidemark.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -53,8 +53,24 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.digests(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_bpe, op2_simhash, op3_importance, op4_mixing, op5_html_template, op6_warc, op7_toxicity, op8_ann, op9_quality_rules, op10_langid)
+    for f in (
+        op1_bpe,
+        op2_simhash,
+        op3_importance,
+        op4_mixing,
+        op5_html_template,
+        op6_warc,
+        op7_toxicity,
+        op8_ann,
+        op9_quality_rules,
+        op10_langid,
+        op13_vector_codes,
+    )
 }
-ORACLES = {"op4_mixing": mixing.ASSIGN_SQL, "op6_warc": warc.ROUND_TRIP_SQL}
+ORACLES = {"op4_mixing": mixing.ASSIGN_SQL, "op6_warc": warc.ROUND_TRIP_SQL, "op13_vector_codes": vector_codes.DIGESTS_SQL}
