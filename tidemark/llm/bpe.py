@@ -1,6 +1,6 @@
 """Byte-pair encoding and decoding with a pair occurrence index.
 
-Each task lists the distinct words of a batch it hasn't seen, and maps every adjacent symbol pair to all positions
+Each task lists the distinct words it hasn't seen of ``LEARN_BYTES`` of text, and maps every adjacent symbol pair to all positions
 where it occurs. The pairs with a rank are taken in ascending rank; all positions of a pair are merged at once and
 only the lists of the pairs beside a merge change. No word and no normal form reaches over white space, so a text is
 cut there, and the ids of each piece are kept for the task's later batches.
@@ -18,8 +18,7 @@ import heapq
 import json
 import re
 import unicodedata
-from itertools import chain
-from operator import itemgetter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import map_batches
+from tidemark.llm.common import map_batches, slices_by_bytes
 
 #: Pieces kept per task with their ids; beyond that the memo starts anew.
-MEMO_PIECES = 200_000
+MEMO_PIECES = 1_000_000
 #: Pairs of ids are packed into one number.
 WIDE = 1 << 32
-#: Texts that are listed together: more of them share more look-ups.
-LEARN_ROWS = 256
+#: Bytes of text (one text at least) whose unseen pieces share one index: its cost per rank hardly grows with their number.
+LEARN_BYTES = 16 << 20
 #: White space of the vocabulary's patterns.
 SPACE = r"\t-\r \x85\xa0  -     　"
 
@@ -105,8 +104,8 @@ class Vocabulary:
         text = text.lower()
         return [text] if text.isalpha() else self.words.findall(text)
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Ids of each word, by one pair occurrence index over all of them.
+    def word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row and where each word's end, by one pair occurrence index over all of them.
 
         The index maps a pair, by its rank, to arrays of the positions where it stood when it arose; those where it no
         longer stands are passed over. No merge can make a pair of a lower rank than its own (checked on loading), so
@@ -163,62 +162,116 @@ class Vocabulary:
             prior = before[at]
             add(np.concatenate((prior[prior >= 0], at[has])))
         left = symbol >= 0
-        counts = np.add.reduceat(left, ends - length) if len(words) else []
-        ids = symbol[left].tolist()
-        stops = np.cumsum(counts).tolist()
-        return [ids[lo:hi] for lo, hi in zip([0, *stops], stops)]
+        counts = np.add.reduceat(left, ends - length) if len(words) else np.zeros(0, np.int64)
+        return symbol[left], np.cumsum(counts)
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of each word."""
+        return [x.tolist() for x in np.split(*self.word_ids(words))[:-1]] if words else []
 
     def decode(self, ids) -> str:
         return " ".join(self.tokens[i] for i in ids if i is not None)
 
 
-class Encoder:
-    """A vocabulary with the ids of the pieces of text met so far in a task, each kept as ``form`` makes it."""
+class Form:
+    """How the ids of a word are kept, and what joins the words of a piece and the pieces of a text."""
 
-    def __init__(self, vocabulary: Vocabulary, form=tuple):
-        self.vocabulary, self.form, self.memo = vocabulary, form, {}
+    def __init__(self, glue, write):
+        self.glue, self.write = glue, write
+
+
+def raw_form() -> Form:
+    """Little-endian unsigned 32-bit numbers."""
+
+    def write(ids: np.ndarray, stops: list[int]) -> list[bytes]:
+        data = ids.astype("<u4").tobytes()
+        return [data[4 * lo : 4 * hi] for lo, hi in zip([0, *stops], stops)]
+
+    return Form(b"", write)
 
-    def learn(self, texts: list[list[str]]) -> None:
-        seen = set().union(*texts)
-        new = seen.difference(self.memo)
-        if len(self.memo) + len(new) > MEMO_PIECES:
-            self.memo.clear()
-            new = seen
-        split = {p: self.vocabulary.split(p) for p in new}
-        special = self.vocabulary.special
-        words = list(set().union(*split.values()).difference(special)) if split else []
-        ids = dict(zip(words, self.vocabulary.encode_words(words))) | {t: [i] for t, i in special.items()}
-        for p, ws in split.items():
-            self.memo[p] = self.form(list(chain.from_iterable(map(ids.__getitem__, ws))))
 
+def text_form(names: dict[int, str]) -> Form:
+    """A name for each id, with a space between."""
+    table = np.empty(max(names) + 1, object)
+    for i, name in names.items():
+        table[i] = name
 
-def _shared(docs: DataFrame, path: str):
+    def write(ids: np.ndarray, stops: list[int]) -> list[str]:
+        all_names = table[ids].tolist()
+        return [" ".join(all_names[lo:hi]) for lo, hi in zip([0, *stops], stops)]
+
+    return Form(" ", write)
+
+
+class Encoder:
+    """A vocabulary with the pieces of text met so far in a task, each kept in the given forms of its ids."""
+
+    def __init__(self, vocabulary: Vocabulary, *forms: Form):
+        self.vocabulary, self.forms = vocabulary, forms
+        self.memos: tuple[dict, ...] = tuple({} for _ in forms)
+        special = list(vocabulary.special.items())
+        ids, stops = np.array([i for _, i in special], np.int64), list(range(1, len(special) + 1))
+        self.special = [dict(zip((t for t, _ in special), f.write(ids, stops))) for f in forms]
+
+    def learn(self, texts: Iterable[str]) -> None:
+        seen: set[str] = set()
+        for t in texts:
+            seen.update(self.vocabulary.pieces(t))
+        new = seen.difference(self.memos[0])
+        if len(self.memos[0]) + len(new) > MEMO_PIECES:
+            for memo in self.memos:
+                memo.clear()
+            new = seen
+        split = {p: self.vocabulary.split(p) for p in new}
+        words = list(set().union(*split.values()).difference(self.vocabulary.special)) if split else []
+        ids, stops = self.vocabulary.word_ids(words)
+        stops = stops.tolist()
+        for form, memo, special in zip(self.forms, self.memos, self.special):
+            made = dict(zip(words, form.write(ids, stops))) | special
+            glue = form.glue
+            memo.update((p, made[ws[0]] if len(ws) == 1 else glue.join(map(made.__getitem__, ws))) for p, ws in split.items())
+
+    def encode(self, text: str) -> list:
+        """A text of what was learned, in each form."""
+        pieces = self.vocabulary.pieces(text)
+        return [form.glue.join(map(memo.__getitem__, pieces)) for form, memo in zip(self.forms, self.memos)]
+
+
+def learned(batches: Iterable[pa.RecordBatch], encoder: Encoder, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batches with their texts (null: empty), whose pieces the encoder has learned."""
+    for whole in batches:
+        for b in slices_by_bytes(whole, text, LEARN_BYTES):
+            texts = [t or "" for t in b.column(text).to_pylist()]
+            encoder.learn(texts)
+            yield b, texts
+
+
+def shared_file(docs: DataFrame, path: str):
     with open(path, encoding="utf-8") as f:
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
 def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids): ids of every whole text."""
-    file = _shared(docs, path)
+    file = shared_file(docs, path)
 
     def run(batches):
-        encoder = Encoder(Vocabulary(file.value))
-        for b in batches:
-            pieces = [encoder.vocabulary.pieces(t or "") for t in b.column("text").to_pylist()]
-            encoder.learn(pieces)
-            ids = [list(chain.from_iterable(map(encoder.memo.__getitem__, ps))) for ps in pieces]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "n_tokens", "ids"]
-            )
+        encoder = Encoder(Vocabulary(file.value), raw_form())
+        for b, texts in learned(batches, encoder):
+            made = [encoder.encode(t)[0] for t in texts]
+            lengths = np.fromiter(map(len, made), np.int64, len(made)) // 4
+            offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
+            ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(made), "<i4"), pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lengths, pa.int64()), ids], names=["doc_id", "n_tokens", "ids"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = T.StructType([rows.schema["doc_id"], T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return map_batches(rows, run, schema, LEARN_ROWS)
+    return rows.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
     """(doc_id, text): the text of each list of ids, special tokens kept (null list: empty text)."""
-    file = _shared(encoded, path)
+    file = shared_file(encoded, path)
 
     def run(batches):
         vocabulary = Vocabulary(file.value)
@@ -232,26 +285,23 @@ def decode(encoded: DataFrame, path: str, doc_id: str = "doc_id", ids: str = "id
 
 def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes and decodes in one pass and keeps only digests."""
-    file = _shared(docs, path)
+    file = shared_file(docs, path)
 
     def run(batches):
         vocabulary = Vocabulary(file.value)
-        encoder = Encoder(vocabulary, lambda ids: (len(ids), " ".join(map(str, ids)), vocabulary.decode(ids)))
-        sha = lambda parts, k: hashlib.sha256(" ".join(map(itemgetter(k), parts)).encode("utf-8")).hexdigest()
-        for b in batches:
-            pieces = [vocabulary.pieces(t or "") for t in b.column("text").to_pylist()]
-            encoder.learn(pieces)
-            made = [list(map(encoder.memo.__getitem__, ps)) for ps in pieces]
+        encoder = Encoder(vocabulary, text_form({i: str(i) for i in vocabulary.tokens}), text_form(vocabulary.tokens))
+        sha = lambda x: hashlib.sha256(x.encode("utf-8")).hexdigest()
+        for b, texts in learned(batches, encoder):
+            made = []
+            for t in texts:
+                ids, decoded = encoder.encode(t)
+                made.append((ids.count(" ") + 1 if ids else 0, sha(ids), sha(decoded)))
+            n, ids, decoded = zip(*made)
             yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("doc_id"),
-                    pa.array([sum(map(itemgetter(0), ms)) for ms in made], pa.int64()),
-                    pa.array([sha(ms, 1) for ms in made], pa.string()),
-                    pa.array([sha(ms, 2) for ms in made], pa.string()),
-                ],
+                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     schema = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL("n_tokens long, ids_sha256 string, decoded_sha256 string").fields])
-    return map_batches(rows, run, schema, LEARN_ROWS)
+    return rows.mapInArrow(run, schema)
