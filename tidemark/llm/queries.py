@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, bpe, html_template, importance, langid, mixing, quality_rules, simhash, toxicity, vector_codes, warc
+from tidemark.llm import ann, bpe, html_template, importance, langid, mixing, packing, quality_rules, simhash, toxicity, vector_codes, warc
 from tidemark.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -53,6 +53,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(table(spark, sf_dir, "documents"), VOCABULARY)
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.digests(table(spark, sf_dir, "embeddings"))
 
@@ -70,6 +74,7 @@ QUERIES = {
         op8_ann,
         op9_quality_rules,
         op10_langid,
+        op12_packing,
         op13_vector_codes,
     )
 }
