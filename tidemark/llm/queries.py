@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, bpe, html_template, importance, langid, mixing, packing, quality_rules, simhash, toxicity, vector_codes, warc
+from tidemark.llm import ann, bpe, html_template, importance, langid, mixing, packing, phrases, quality_rules, simhash, toxicity, vector_codes, warc
 from tidemark.llm.common import table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -53,6 +53,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.fit(docs))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -74,8 +78,14 @@ QUERIES = {
         op8_ann,
         op9_quality_rules,
         op10_langid,
+        op11_phrases,
         op12_packing,
         op13_vector_codes,
     )
 }
-ORACLES = {"op4_mixing": mixing.ASSIGN_SQL, "op6_warc": warc.ROUND_TRIP_SQL, "op13_vector_codes": vector_codes.DIGESTS_SQL}
+ORACLES = {
+    "op4_mixing": mixing.ASSIGN_SQL,
+    "op6_warc": warc.ROUND_TRIP_SQL,
+    "op11_phrases": phrases.MINE_SQL,
+    "op13_vector_codes": vector_codes.DIGESTS_SQL,
+}
