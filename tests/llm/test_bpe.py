@@ -14,7 +14,7 @@ from tidemark.llm.common import table
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [
     None, "", " ", "hello world", "Hello   WORLD's it'LL  don't!!! 3.14 a1b2", "ΑΣ ΣΑΣ İstanbul ǅ ﬁn", "été café", "日本語テキスト 🙂🙂👩‍👩‍👧",
-    "<|startoftext|>abc<|endoftext|> <|x|>", "\x00\x1c\x1d \x85　x​y", "aaaaaaaaaaaaaaaa abababababab bababa", "x" * 3000, "½ ² Ⅷ ٣ १२", "same", "same", "a\x1cb \x1d!\x1e! c", "é́ ́a", "ſ K Å", "<|startoftext|><|endoftext|>x<|startoftext|", "'S don'T we'Ve",
+    "<|startoftext|>abc<|endoftext|> <|x|>", "\x00\x1c\x1d \x85　x​y", "aaaaaaaaaaaaaaaa abababababab bababa", "x" * 3000, "½ ² Ⅷ ٣ १२", "same", "same", "a\x1cb \x1d!\x1e! c", "é́ ́a", "ſ K Å", "<|startoftext|><|endoftext|>x<|startoftext|", "'S don'T we'Ve", "<|STARTOFTEXT|> x<|EndOfText|>y", "<|endoftext|> a<|startoftext|> " * 50,
 ]
 
 
@@ -75,6 +75,14 @@ def test_index_equals_merging_by_hand(vocabulary, data):
     assert other.encode_words(words) == [by_hand(vocabulary, merges, w) for w in words]
 
 
+def test_memo_starts_anew(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_PIECES", 3)
+    encoder = bpe.Encoder(bpe.Vocabulary(open(PATH, encoding="utf-8").read()))
+    for part in (TEXTS[:5], TEXTS[3:9], TEXTS, [None, ""], TEXTS[::-1]):
+        for t, at in zip(part, encoder.number(t or "" for t in part)):
+            assert encoder.ids_of(at).tolist() == expected(t)[0], t
+
+
 def test_merges_that_use_later_symbols_are_refused(vocabulary):
     with pytest.raises(ValueError, match="later merge"):
         copy.copy(vocabulary).set_merges([(1, 90_001, 90_000), (1, 2, 90_001)])

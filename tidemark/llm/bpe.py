@@ -19,6 +19,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,7 @@ class Vocabulary:
         self.plain = np.array([ids[s] for s in symbols], np.int64)
         self.last = np.array([ids[s + self.suffix] for s in symbols], np.int64)
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", SPACE))
+        self.lines = regex.compile(self.words.pattern + r"|\n")
         self.gaps, self.separators = regex.compile(f"[{SPACE}]+"), re.compile("[\x1c-\x1f]")
         self.cut = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)))
 
@@ -88,21 +90,37 @@ class Vocabulary:
         """A text cut at white space; the separators U+001C to U+001F, which only ``str.split`` takes for it, stay."""
         return [x for x in self.gaps.split(text) if x] if self.separators.search(text) else text.split()
 
-    def split(self, text: str) -> list[str]:
-        """The words of a text, special tokens among them as they are."""
-        if "<|" not in text or not self.cut.search(text):
-            return self._plain_words(text)
+    def split(self, text: str) -> list:
+        """The words of a text; a special token among them is a tuple of itself."""
+        if not self.is_special(text):
+            return self.words.findall(self._plain(text))
         out, at = [], 0
         for m in self.cut.finditer(text):
-            out += [*self._plain_words(text[at : m.start()]), m[0]]
+            out += [*self.words.findall(self._plain(text[at : m.start()])), (m[0],)]
             at = m.end()
-        return out + self._plain_words(text[at:])
+        return out + self.words.findall(self._plain(text[at:]))
 
-    def _plain_words(self, text: str) -> list[str]:
+    def is_special(self, piece: str) -> bool:
+        return "<|" in piece and self.cut.search(piece) is not None
+
+    def _plain(self, text: str) -> str:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case letter by letter: no final sigma
-        text = text.lower()
-        return [text] if text.isalpha() else self.words.findall(text)
+        return text.lower()
+
+    def split_pieces(self, pieces: list[str]) -> list:
+        """The words of all pieces, with a line end after each piece's."""
+        out, plain = [], []
+        for p in pieces:
+            if self.is_special(p):
+                out += [*self._lines(plain), *self.split(p), "\n"]
+                plain = []
+            else:
+                plain.append(p)
+        return out + self._lines(plain) if out else self._lines(plain)
+
+    def _lines(self, pieces: list[str]) -> list[str]:
+        return self.lines.findall(self._plain("".join([p + "\n" for p in pieces])))
 
     def word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row and where each word's end, by one pair occurrence index over all of them.
@@ -173,77 +191,90 @@ class Vocabulary:
         return " ".join(self.tokens[i] for i in ids if i is not None)
 
 
-class Form:
-    """How the ids of a word are kept, and what joins the words of a piece and the pieces of a text."""
-
-    def __init__(self, glue, write):
-        self.glue, self.write = glue, write
+class _Numbers(dict):
+    """Strings numbered as they come, from ``first`` on."""
 
+    def __init__(self, first: int = 0):
+        super().__init__()
+        self.first = first
 
-def raw_form() -> Form:
-    """Little-endian unsigned 32-bit numbers."""
+    def __missing__(self, key: str) -> int:
+        self[key] = n = self.first + len(self)
+        return n
 
-    def write(ids: np.ndarray, stops: list[int]) -> list[bytes]:
-        data = ids.astype("<u4").tobytes()
-        return [data[4 * lo : 4 * hi] for lo, hi in zip([0, *stops], stops)]
 
-    return Form(b"", write)
+class Encoder:
+    """A vocabulary with the ids of the pieces of text met so far in a task.
+
+    ``names`` gives further forms of the ids: for each, a table of strings by id; a piece is kept with its strings joined
+    by blanks.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, *names: dict[int, str]):
+        self.vocabulary = vocabulary
+        self.tables = []
+        for strings in names:
+            self.tables.append(np.full(max(strings) + 1, None, object))
+            for i, x in strings.items():
+                self.tables[-1][i] = x
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers = _Numbers()
+        self.ids, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.starts = np.zeros(0, np.int64)
+        self.forms: list[list[str]] = [[] for _ in self.tables]
+
+    def number(self, texts: Iterable[str]) -> list[np.ndarray]:
+        """The pieces of each text by number; those not met before are encoded together."""
+        if len(self.numbers) > MEMO_PIECES:
+            self._forget()
+        known = len(self.numbers)
+        at = [np.fromiter(map(self.numbers.__getitem__, self.vocabulary.pieces(t)), np.int32) for t in texts]
+        if len(self.numbers) > known:
+            self._learn(list(islice(self.numbers, known, None)))
+        return at
+
+    def _learn(self, pieces: list[str]) -> None:
+        v = self.vocabulary
+        flat = v.split_pieces(pieces)
+        words = _Numbers()
+        words["\n"]
+        for t in v.special:
+            words[(t,)]
+        fixed = len(words)
+        at = np.fromiter(map(words.__getitem__, flat), np.int64, len(flat))
+        ids, stops = v.word_ids(list(islice(words, fixed, None)))
+        length = np.concatenate(([0], np.ones(len(v.special), np.int64), np.diff(stops, prepend=0)))
+        ids = np.concatenate((np.fromiter(v.special.values(), np.int64), ids))
+        ends = np.cumsum(length)
+        piece_ids = gather(ids, (ends - length)[at], length[at])
+        piece_ends = np.cumsum(length[at])[at == 0]
+        for table, form in zip(self.tables, self.forms):
+            names, stop = table[piece_ids].tolist(), piece_ends.tolist()
+            form += [" ".join(names[lo:hi]) for lo, hi in zip([0, *stop], stop)]
+        self.starts = np.concatenate((self.starts, len(self.ids) + np.concatenate(([0], piece_ends[:-1]))))
+        self.lengths = np.concatenate((self.lengths, np.diff(piece_ends, prepend=0)))
+        self.ids = np.concatenate((self.ids, piece_ids))
 
+    def ids_of(self, at: np.ndarray) -> np.ndarray:
+        return gather(self.ids, self.starts[at], self.lengths[at])
 
-def text_form(names: dict[int, str]) -> Form:
-    """A name for each id, with a space between."""
-    table = np.empty(max(names) + 1, object)
-    for i, name in names.items():
-        table[i] = name
+    def text_of(self, form: int, at: list[int]) -> str:
+        return " ".join(map(self.forms[form].__getitem__, at))
 
-    def write(ids: np.ndarray, stops: list[int]) -> list[str]:
-        all_names = table[ids].tolist()
-        return [" ".join(all_names[lo:hi]) for lo, hi in zip([0, *stops], stops)]
 
-    return Form(" ", write)
+def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of ``values`` one after the other."""
+    ends = np.cumsum(lengths)
+    return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-class Encoder:
-    """A vocabulary with the pieces of text met so far in a task, each kept in the given forms of its ids."""
-
-    def __init__(self, vocabulary: Vocabulary, *forms: Form):
-        self.vocabulary, self.forms = vocabulary, forms
-        self.memos: tuple[dict, ...] = tuple({} for _ in forms)
-        special = list(vocabulary.special.items())
-        ids, stops = np.array([i for _, i in special], np.int64), list(range(1, len(special) + 1))
-        self.special = [dict(zip((t for t, _ in special), f.write(ids, stops))) for f in forms]
-
-    def learn(self, texts: Iterable[str]) -> None:
-        seen: set[str] = set()
-        for t in texts:
-            seen.update(self.vocabulary.pieces(t))
-        new = seen.difference(self.memos[0])
-        if len(self.memos[0]) + len(new) > MEMO_PIECES:
-            for memo in self.memos:
-                memo.clear()
-            new = seen
-        split = {p: self.vocabulary.split(p) for p in new}
-        words = list(set().union(*split.values()).difference(self.vocabulary.special)) if split else []
-        ids, stops = self.vocabulary.word_ids(words)
-        stops = stops.tolist()
-        for form, memo, special in zip(self.forms, self.memos, self.special):
-            made = dict(zip(words, form.write(ids, stops))) | special
-            glue = form.glue
-            memo.update((p, made[ws[0]] if len(ws) == 1 else glue.join(map(made.__getitem__, ws))) for p, ws in split.items())
-
-    def encode(self, text: str) -> list:
-        """A text of what was learned, in each form."""
-        pieces = self.vocabulary.pieces(text)
-        return [form.glue.join(map(memo.__getitem__, pieces)) for form, memo in zip(self.forms, self.memos)]
-
-
-def learned(batches: Iterable[pa.RecordBatch], encoder: Encoder, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches with their texts (null: empty), whose pieces the encoder has learned."""
+def numbered(batches: Iterable[pa.RecordBatch], encoder: Encoder, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of the batches with the pieces of their texts (null: empty) by number."""
     for whole in batches:
         for b in slices_by_bytes(whole, text, LEARN_BYTES):
-            texts = [t or "" for t in b.column(text).to_pylist()]
-            encoder.learn(texts)
-            yield b, texts
+            yield b, encoder.number(t or "" for t in b.column(text).to_pylist())
 
 
 def shared_file(docs: DataFrame, path: str):
@@ -256,12 +287,11 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     file = shared_file(docs, path)
 
     def run(batches):
-        encoder = Encoder(Vocabulary(file.value), raw_form())
-        for b, texts in learned(batches, encoder):
-            made = [encoder.encode(t)[0] for t in texts]
-            lengths = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        encoder = Encoder(Vocabulary(file.value))
+        for b, texts in numbered(batches, encoder):
+            lengths = np.array([encoder.lengths[at].sum() for at in texts], np.int64)
             offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
-            ids = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(made), "<i4"), pa.int32()))
+            ids = pa.ListArray.from_arrays(offsets, pa.array(encoder.ids_of(np.concatenate(texts)).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lengths, pa.int64()), ids], names=["doc_id", "n_tokens", "ids"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -289,13 +319,13 @@ def digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
 
     def run(batches):
         vocabulary = Vocabulary(file.value)
-        encoder = Encoder(vocabulary, text_form({i: str(i) for i in vocabulary.tokens}), text_form(vocabulary.tokens))
+        encoder = Encoder(vocabulary, {i: str(i) for i in vocabulary.tokens}, vocabulary.tokens)
         sha = lambda x: hashlib.sha256(x.encode("utf-8")).hexdigest()
-        for b, texts in learned(batches, encoder):
+        for b, texts in numbered(batches, encoder):
             made = []
-            for t in texts:
-                ids, decoded = encoder.encode(t)
-                made.append((ids.count(" ") + 1 if ids else 0, sha(ids), sha(decoded)))
+            for at in texts:
+                pieces = at.tolist()
+                made.append((int(encoder.lengths[at].sum()), sha(encoder.text_of(0, pieces)), sha(encoder.text_of(1, pieces))))
             n, ids, decoded = zip(*made)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.bpe import Encoder, Vocabulary, learned, raw_form, shared_file
+from tidemark.llm.bpe import Encoder, Vocabulary, numbered, shared_file
 
 TIERS = (256, 512, 1024, 2048, 4096)
 END_ID = 2
@@ -163,13 +163,12 @@ def pack(
     """
     _check(tiers)
     file = shared_file(docs, path)
-    end = np.array([end_id], "<u4").tobytes()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     numbers = T.StructType.fromDDL("start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_group long")
     schema = T.StructType([rows.schema["doc_id"], *numbers.fields, *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
 
     def run(batches):
-        encoder = Encoder(Vocabulary(file.value), raw_form())
+        encoder = Encoder(Vocabulary(file.value))
         base = TaskContext.get().partitionId() * NUMBERS
         sequences = groups = base
 
@@ -196,11 +195,11 @@ def pack(
             return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
         names, data, held, kind = [], [], 0, None
-        for b, texts in learned(batches, encoder):
+        for b, texts in numbered(batches, encoder):
             kind = b.column("doc_id").type
-            for name, t in zip(b.column("doc_id").to_pylist(), texts):
+            for name, at in zip(b.column("doc_id").to_pylist(), texts):
                 names.append(name)
-                data.append(encoder.encode(t)[0] + end)
+                data.append(np.append(encoder.ids_of(at), end_id).astype("<u4").tobytes())
                 held += len(data[-1]) // 4
                 if held >= block_tokens:
                     yield flush(names, data, kind)
