@@ -85,7 +85,7 @@ def test_flow_gives_all_counts_and_paths_all_edges(spark):
         assert all(want[r.lang, " ".join(r.words[i : i + 4])] == r.n for i in range(len(r.words) - 3))
         assert all(want[r.lang, " ".join(r.words[i : i + 3])] == r.n for i in range(1, len(r.words) - 3))
     assert set(seen) == {k for k in want if k[1].count(" ") == 3}
-    assert ("en", "the same passage of words stands here".split(), 2) in {(r.lang, tuple(r.words), r.n) for r in paths} or any(len(r.words) >= 6 for r in paths)
+    assert max(len(r.words) for r in paths) > 5  # inner nodes of the repeated passage are compacted
 
 
 @settings(max_examples=100, deadline=None)

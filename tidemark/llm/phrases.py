@@ -12,10 +12,11 @@ paths by pointer doubling, in as many rounds as the logarithm of the longest pat
 edges and inner nodes: they cover the phrases of three words, as nodes cover those of two, so that the rule on longer
 candidates reads a row a word.
 
-A phrase counts only from ``least`` occurrences on, and so do its parts; so gram positions end early where a word, or a pair
-of neighbours, is surely rarer. A first pass adds words and pairs into hashed counters (no counter is below the true count, so
-no phrase is lost) of fixed number: about one for every four pairs up to 2^``SKETCH_BITS``, one byte each in a task, one bit each when broadcast.
-Where the counters are too few for the input they exclude less and the shuffle carries up to all grams; results don't change.
+A phrase counts only from ``least`` occurrences on, and so do its parts; so a position's gram ends early where it would become
+surely rarer. A first pass adds all grams of one to four words into hashed counters (no counter is below the true count, so
+no phrase is lost): one for every ``BYTES_PER_COUNTER`` bytes of text or more, up to 2^``SKETCH_BITS``; a counter is a byte in a task (compressed when
+sent), a bit when broadcast. Where the counters are too few for the input they exclude less and the shuffle carries up to all grams; results
+don't change.
 
 Null texts are empty, a null language is ``und``; repeated rows count again; an empty table gives an empty result; further columns are ignored.
 """
@@ -26,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +39,7 @@ LEAST, TOP, MOST_WORDS = 30, 2000, 4
 COVER = 80
 SCALE = 2_000_000
 #: Counters: at least 2^16, at most 2^SKETCH_BITS; bytes of text for each; counters in one row of the reduction.
-SKETCH_BITS, BYTES_PER_COUNTER, CHUNK = 27, 24, 1 << 16
+SKETCH_BITS, BYTES_PER_COUNTER, CHUNK = 27, 16, 1 << 16
 #: Bytes of text whose words are numbered together.
 GROUP_BYTES = 16 << 20
 #: Parts of one word, which many phrases share, are dealt over so many tasks.
@@ -78,38 +78,43 @@ class _Group:
         seed = xxhash.xxh64_intdigest(lang.encode())
         self.hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.words), np.uint64, len(self.words))
 
-    def buckets(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """The counter of each word, and of the pair that starts at each position but the last."""
+    def buckets(self, bits: int) -> list[np.ndarray]:
+        """The counter of each word, then of the gram of two, three and four words that starts at each position."""
         shift = np.uint64(64 - bits)
-        first = self.hashes[self.at]
-        pair = (first[:-1] * np.uint64(0x9E3779B97F4A7C15) + (first[1:] ^ (first[1:] >> np.uint64(29)))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (self.hashes >> shift).astype(np.int64), (pair >> shift).astype(np.int64)
+        each = self.hashes[self.at]
+        out, gram = [(self.hashes >> shift).astype(np.int64)], each
+        for k in range(1, MOST_WORDS):
+            gram = (gram[:-1] * np.uint64(0x9E3779B97F4A7C15) + (each[k:] ^ (each[k:] >> np.uint64(29)))) * np.uint64(0xBF58476D1CE4E5B9)
+            out.append((gram >> shift).astype(np.int64))
+        return out
 
     def count_into(self, counters: np.ndarray, bits: int) -> None:
-        """Adds words and pairs to the counters, which stop at their greatest value."""
-        words, pairs = self.buckets(bits)
-        inside = (self.at[:-1] > 0) & (self.at[1:] > 0)
+        """Adds all grams to the counters, which stop at their greatest value."""
+        words, *longer = self.buckets(bits)
         word, place = np.unique(words[1:], return_inverse=True)
         times = np.bincount(place, np.bincount(self.at, minlength=len(words))[1:], len(word)).astype(np.int64)
-        for bucket, n in ((word, times), np.unique(pairs[inside], return_counts=True)):
+        inside, parts = self.at > 0, [(word, times)]
+        for k, bucket in enumerate(longer, 1):
+            inside = inside[:-1] & (self.at[k:] > 0)
+            parts.append(np.unique(bucket[inside], return_counts=True))
+        for bucket, n in parts:
             counters[bucket] = np.minimum(counters[bucket] + n, np.iinfo(counters.dtype).max)
 
     def grams(self, common: np.ndarray, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
         """Distinct grams, as the numbers of their words (0: none), and their occurrences."""
-        words, pairs = self.buckets(bits)
+        words, *longer = self.buckets(bits)
         known = _bit(common, words)
         known[0] = False
-        starts = known[self.at]
-        joined = starts[:-1] & starts[1:]
-        joined[joined] = _bit(common, pairs[joined])
-        joined = np.append(joined, False)
-        alone = np.bincount(self.at[starts & ~joined], minlength=len(words))
+        go = known[self.at]  # positions whose gram of this many words, and all within it, may be common
+        reach = go.astype(np.int64)
+        for bucket in longer:
+            go = go[:-1] & go[1:]
+            go[go] = _bit(common, bucket[go])
+            reach[: len(go)] += go
+        alone = np.bincount(self.at[reach == 1], minlength=len(words))
         single = np.flatnonzero(alone)
-        at = np.flatnonzero(joined)
-        column, go = [self.at[at], self.at[at + 1]], np.ones(len(at), bool)
-        for k in range(2, MOST_WORDS):
-            go = go & joined[np.minimum(at + k - 1, len(joined) - 1)]
-            column.append(np.where(go, self.at[np.minimum(at + k, len(joined) - 1)], 0))
+        at = np.flatnonzero(reach > 1)
+        column = [np.where(reach[at] > k, self.at[np.minimum(at + k, len(self.at) - 1)], 0) for k in range(MOST_WORDS)]
         head, h = np.unique((column[0] << 32) | column[1], return_inverse=True)
         tail, t = np.unique((column[2] << 32) | column[3], return_inverse=True)
         both, n = np.unique((h << 32) | t, return_counts=True)
@@ -272,7 +277,8 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, text: str = "text"
 
 MINE_SQL = rf"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang,
     unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece FROM documents WHERE text IS NOT NULL),
+-
+]')) AS piece FROM documents WHERE text IS NOT NULL),
 words AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(piece, '[ 	]+'), lambda w: w <> '') AS ws FROM pieces),
 total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM words GROUP BY lang),
 grams AS (SELECT lang, g, unnest(list_transform(range(1, len(ws) - g + 2), lambda i: array_to_string(ws[i : i + g - 1], ' '))) AS phrase FROM words, range(1, {MOST_WORDS + 1}) t(g)),
