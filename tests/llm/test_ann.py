@@ -57,6 +57,33 @@ def test_odd_rows(spark):
     assert ann.search(spark.createDataFrame([(10, [1.0, 2.0], 1, "")], SCHEMA), 10).count() == 0
 
 
+def test_uneven_density(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 24))
+    tight = centres[rng.integers(0, 40, 4000)] + 0.02 * rng.normal(size=(4000, 24))
+    vectors = np.concatenate((tight, rng.normal(size=(1000, 24))))
+    ids = rng.permutation(5000)
+    df = spark.createDataFrame([(int(i), v.tolist(), 0, "") for i, v in zip(ids, vectors)], SCHEMA)
+    got = {}
+    for r in ann.search(df, 50).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = (vectors / np.linalg.norm(vectors, axis=1)[:, None]).astype(np.float32).astype(float)
+    hits = {True: [], False: []}
+    for at in np.flatnonzero(ids % 50 == 0):
+        score = unit @ unit[at]
+        score[at] = -2
+        best = set(ids[np.argsort(-score)[:5]].tolist())
+        assert len(got[int(ids[at])]) == 5
+        hits[at < 4000].append(len(best & got[int(ids[at])]) / 5)
+    assert np.mean(hits[True]) >= 0.9 and np.mean(hits[False]) >= 0.9
+
+
+def test_index_reaches_the_target_at_any_block_size():
+    for rows in (2, 1000, ann.BLOCK_ROWS[1]):
+        assert ann.fit(0.5, 16, rows) is not None
+    assert ann.fit(0.5, 16, 1 << 40) is None  # such a level is left out
+
+
 @settings(max_examples=20, deadline=None)
 @given(st.integers(4, 9), st.integers(1, 60))
 def test_visiting_order_never_crosses_both_borders(m, n):

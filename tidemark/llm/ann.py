@@ -5,10 +5,15 @@ On unit vectors the largest cosine is the least Euclidean distance, so each of `
 one in some places, in the order of the estimated chance that a neighbour fell there (the sum of squared distances to the
 bucket borders crossed). The candidates of all tables are merged and ranked by the exact cosine of the given vectors.
 
-Bucket width and number of probes come from a sample of at most ``SAMPLE`` vectors (those with the least hash of the
-id): its median distance to the fifth neighbour, and a simulation of how many probes find a neighbour at that distance
-with chance ``TARGET``. All vectors are indexed. They lie in blocks by hash of the id, each with its own sorted tables,
-so a bucket or a group of equal vectors of any size is spread evenly; queries go to the blocks, which send back their
+Calibration: for at most ``TRIALS`` sampled vectors the distance to the k-th neighbour among all rows is measured exactly, in one
+pass. Its quantiles ``LEVELS`` are the radii of the levels of the search. A level's bucket width follows its radius, and its number of probes is
+the least whose simulated chance to visit a neighbour at that radius is ``TARGET``; a level that can't reach it is left out. A query is
+answered by the first level that finds k neighbours within its radius; one that no level answers, such as an isolated
+vector's, is compared with all rows. So every query gets min(k, candidates) rows, whatever the density around it.
+
+All vectors are indexed. They lie in blocks by hash of the id, each with its own sorted tables, whose size, not the
+table's, sets the number of hashes: the chance to find a neighbour is the same at any number of rows. A bucket or a group of
+equal vectors of any size is spread evenly. Queries go to the blocks (few blocks are doubled for several groups of queries), which send back their
 nearest few.
 
 Vectors that are null, zero, of another length than most of the sample, or hold null or non-finite components take no part.
@@ -21,6 +26,7 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +36,14 @@ from pyspark.sql.window import Window
 
 from tidemark.llm.common import hash_place, least_placed, staged
 
-TABLES, SAMPLE, TARGET, WIDTH = 16, 2000, 0.85, 1.8
+TABLES, TRIALS, TARGET, WIDTH = 16, 200, 0.85, 1.8
+#: Radii of the levels, as quantiles of the distance to the k-th neighbour.
+LEVELS = (0.6, 0.95)
 LEAST_PROBES, MOST_PROBES = 64, 1024
-#: Blocks: about BLOCKS of them, of no fewer than the first and no more than the second number of vectors.
-BLOCKS, BLOCK_ROWS = 16, (1024, 1 << 17)
+#: Blocks: BLOCKS of them with no fewer than the first and no more than the second number of vectors; more for more rows. Tasks of a level.
+BLOCKS, BLOCK_ROWS, TASKS = 4, (1024, 1 << 17), 16
+#: Scores in single precision choose whom to score exactly; they are off by much less.
+MARGIN = 1e-4
 SEED = 11
 
 
@@ -126,41 +136,51 @@ def _success(m: int, noise: float, probes: int, sets: np.ndarray, rng) -> float:
     return 1 - (1 - hit) ** TABLES
 
 
-def fit(sample: np.ndarray, rows: int) -> Index:
-    """Hash functions for ``rows`` vectors from a sample of unit vectors."""
+def fit(radius: float, size: int, rows: int) -> Index | None:
+    """Hash functions for blocks of ``rows`` vectors of this length; None if no number of probes reaches ``TARGET``."""
     rng = np.random.default_rng(SEED)
-    far = np.sqrt(np.maximum(2 - 2 * (sample[:200] @ sample.T), 0))
-    near = np.sort(far, axis=1)[:, min(5, len(sample) - 1)]
-    radius = float(np.median(near[near > 1e-6])) if (near > 1e-6).any() else 1.0
     m = max(4, round(0.7 * np.log2(max(2, rows))))
     probes, sets = LEAST_PROBES, visiting_order(m, 2 * LEAST_PROBES)
-    while probes < MOST_PROBES and _success(m, 1 / WIDTH, probes, sets, rng) < TARGET:
+    while _success(m, 1 / WIDTH, probes, sets, rng) < TARGET:
         probes *= 2
+        if probes > MOST_PROBES:
+            return None
         sets = visiting_order(m, 2 * probes)
-    w = WIDTH * radius
-    a = rng.normal(size=(TABLES * m, sample.shape[1])) / w
+    a = rng.normal(size=(TABLES * m, size)) / (WIDTH * radius)
     return Index(a, rng.random(TABLES * m), (rng.integers(1, 1 << 62, m) * 2 + 1).astype(np.int64), sets, min(probes, len(sets)))
 
 
 class Block:
-    """Sorted tables over the vectors of a block."""
+    """The vectors of a block with sorted tables; without an index every vector is a candidate."""
 
-    def __init__(self, index: Index, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, index: Index | None, ids: np.ndarray, vectors: np.ndarray):
         self.index, self.ids, self.vectors = index, ids, vectors
         self.norms = np.sqrt((vectors * vectors).sum(axis=1))
-        keys = index.keys(index.place(vectors / self.norms[:, None])[0]) if len(ids) else np.zeros((0, TABLES), np.int64)
-        self.order = np.argsort(keys, axis=0, kind="stable")
-        self.keys = np.take_along_axis(keys, self.order, 0)
-
-    def nearest(self, query_id: int, query: np.ndarray, visits: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and cosines of the block's ``k`` nearest candidates, each id once."""
+        unit = vectors / self.norms[:, None]
+        self.single = unit.astype(np.float32)
+        if index:
+            keys = index.keys(index.place(unit)[0]) if len(ids) else np.zeros((0, TABLES), np.int64)
+            self.order = np.argsort(keys, axis=0, kind="stable")
+            self.keys = np.take_along_axis(keys, self.order, 0)
+
+    def candidates(self, visits: np.ndarray) -> np.ndarray:
         found = np.zeros(len(self.ids), bool)
         for t in range(TABLES):
             lo = np.searchsorted(self.keys[:, t], visits[t], "left")
             n = np.searchsorted(self.keys[:, t], visits[t], "right") - lo
             lo, n = lo[n > 0], n[n > 0]
             found[self.order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n), t]] = True
-        at = np.flatnonzero(found & (self.ids != query_id))
+        return found
+
+    def nearest(self, query_id: int, query: np.ndarray, rough: np.ndarray, found: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and exact cosines of the ``k`` nearest candidates, each id once; ``rough`` are all cosines in single precision."""
+        own = self.ids != query_id
+        at = np.flatnonzero(own if found is None else found & own)
+        if len(at) > k:
+            least = np.partition(rough[at], len(at) - k)[len(at) - k]
+            close = at[rough[at] >= least - MARGIN]
+            if len(np.unique(self.ids[close])) >= k:
+                at = close
         # Row sums, not a matrix product: equal vectors must get equal scores wherever they stand.
         score = (self.vectors[at] * query).sum(axis=1) / (self.norms[at] * np.sqrt((query * query).sum()))
         order = np.lexsort((self.ids[at], -score))
@@ -169,20 +189,32 @@ class Block:
         return self.ids[at][order], score[order]
 
 
-def _search(index: Index, k: int):
-    def answers(block: Block, rows):
-        ids, vectors = _rows(rows)
-        visits = index.visits(vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None])
-        out = [(q, *hit) for q, v, p in zip(ids, vectors, visits) for hit in zip(*block.nearest(q, v, p, k))]
-        cols = zip(*out) if out else [[]] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+_HITS = "query_id long, vec_id long, score double"
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = zip(*rows) if rows else [[]] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+
+
+def _answers(block: Block, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple]:
+    unit = vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
+    rough = unit.astype(np.float32) @ block.single.T
+    visits = block.index.visits(unit) if block.index else [None] * len(ids)
+    out = []
+    for q, v, r, p in zip(ids, vectors, rough, visits):
+        found = None if p is None else block.candidates(p)
+        out += [(q, *hit) for hit in zip(*block.nearest(q, v, r, found, k))]
+    return out
 
+
+def _search(index: Index | None, k: int):
     def run(batches):
         block = at = None
         held = []
         for b in batches:
-            # Runs of one block and kind; rows of kind 0 fill a block, rows of kind 1 search it.
-            number, kind = b.column("block").to_numpy(), b.column("kind").to_numpy()
+            # Runs of one task and kind; rows of kind 0 fill a block, rows of kind 1 search it.
+            number, kind = b.column("task").to_numpy(), b.column("kind").to_numpy()
             cut = np.flatnonzero((number[1:] != number[:-1]) | (kind[1:] != kind[:-1])) + 1
             for lo, hi in zip([0, *cut], [*cut, len(number)]):
                 if lo == hi:
@@ -194,7 +226,7 @@ def _search(index: Index, k: int):
                 elif number[lo] == at:
                     block = block or Block(index, *_rows(held))
                     for start in range(lo, hi, 64):
-                        yield answers(block, [b.slice(start, min(64, hi - start))])
+                        yield _batch(_answers(block, *_rows([b.slice(start, min(64, hi - start))]), k))
 
     return run
 
@@ -211,27 +243,69 @@ def _valid(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", bad) & F.exists("vector", lambda x: x != 0))
 
 
+def _best(hits: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
+    return best.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def far_neighbours(rows: DataFrame, trials: list, k: int) -> np.ndarray:
+    """Exact distance of each trial row to its k-th neighbour among all rows (ids of their own), in one pass over them."""
+    ids, vectors = np.array([r.vec_id for r in trials]), np.array([r.vector for r in trials])
+    shared = rows.sparkSession.sparkContext.broadcast((ids, vectors))
+
+    def scan(batches):
+        held: dict[int, list] = {}
+        for b in batches:
+            if b.num_rows:
+                for q, i, score in _answers(Block(None, *_rows([b])), *shared.value, k):
+                    held.setdefault(int(q), []).append((-score, i))
+            held = {q: sorted(set(xs))[:k] for q, xs in held.items()}
+        yield _batch([(q, i, -score) for q, xs in held.items() for score, i in xs])
+
+    best = _best(rows.select("vec_id", "vector").mapInArrow(scan, _HITS), k).where(F.col("rank") == k).select("score").collect()
+    return np.sqrt(np.maximum(2 - 2 * np.array([r.score for r in best], float), 0))
+
+
+def _level(rows: DataFrame, queries: DataFrame, index: Index | None, blocks: int, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) of some queries against all rows, by one index or by comparison with every row."""
+    slices = max(1, -(-TASKS // blocks))
+    shared = rows.sparkSession.sparkContext.broadcast(index)  # of fixed size
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    block, group = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)), F.pmod(F.xxhash64("vec_id"), F.lit(slices))
+    stored = rows.select(every(slices).alias("s"), block.alias("b"), "vec_id", "vector")
+    stored = stored.select((F.col("b") * slices + F.col("s")).alias("task"), F.lit(0).alias("kind"), "vec_id", "vector")
+    sent = queries.select(every(blocks).alias("b"), group.alias("s"), "vec_id", "vector")
+    sent = sent.select((F.col("b") * slices + F.col("s")).alias("task"), F.lit(1).alias("kind"), "vec_id", "vector")
+    laid = stored.unionByName(sent).repartition("task").sortWithinPartitions("task", "kind")
+    return staged(_best(laid.mapInArrow(lambda batches: _search(shared.value, k)(batches), _HITS), k), "hits")
+
+
 def search(vectors: DataFrame, every: int, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row whose id is divisible by ``every``."""
     rows = _valid(vectors, vec_id, embedding)
-    sample = least_placed(rows, hash_place(F.col("vec_id")), "vec_id", SAMPLE, rows.count()).collect()
-    spark = vectors.sparkSession
-    if not sample:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sizes = np.array([len(r.vector) for r in sample])
-    size = int(np.bincount(sizes).argmax())
-    unit = np.array([r.vector for r, n in zip(sample, sizes) if n == size])
-    unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    sizes = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
+    if sizes is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    size, count = sizes["size"], sizes["count"]
     rows = rows.where(F.size("vector") == size)
-    count = rows.count()
-    per_block = min(max(-(-count // BLOCKS), BLOCK_ROWS[0]), BLOCK_ROWS[1])
-    blocks = -(-count // per_block)
-    index = spark.sparkContext.broadcast(fit(unit, count))  # of fixed size but for the logarithm of the row count
-    stored = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.lit(0).alias("kind"), "vec_id", "vector")
-    queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    sent = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(1).alias("kind"), "vec_id", "vector")
-    laid = stored.unionByName(sent).repartition("block").sortWithinPartitions("block", "kind")
-    hits = staged(laid.mapInArrow(lambda batches: _search(index.value, k)(batches), "query_id long, vec_id long, score double"), "hits")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = hits.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order))
-    return best.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    blocks = max(min(BLOCKS, -(-count // BLOCK_ROWS[0])), -(-count // BLOCK_ROWS[1]))
+    far = far_neighbours(rows, least_placed(rows, hash_place(F.col("vec_id")), "vec_id", TRIALS, count).collect(), k)
+    radii = [max(float(r), 1e-3) for r in np.quantile(far, LEVELS)] if len(far) else []
+    radii = [r for r, wider in zip(radii, [*radii[1:], np.inf]) if wider > 1.1 * r]  # levels of nearly one radius are one
+    left = staged(rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector")), "queries")
+    out = []
+    for radius in radii:
+        index = fit(radius, size, -(-count // blocks))
+        if index is None:
+            continue
+        found = _level(rows, left, index, blocks, k)
+        done = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
+        done = done.where((F.col("n") == k) & (F.col("least") >= 1 - radius * radius / 2)).select("query_id")
+        out.append(found.join(done, "query_id", "left_semi"))
+        left = staged(left.join(done, left["vec_id"] == done["query_id"], "left_anti"), "queries")
+        if left.isEmpty():
+            break
+    else:
+        out.append(_level(rows, left, None, blocks, k))
+    return reduce(DataFrame.unionByName, out)
