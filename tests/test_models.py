@@ -145,3 +145,17 @@ def test_no_event_is_refused(spark):
     df = spark.createDataFrame([("train", 0, 1.0)], "split string, event int, x double")
     with pytest.raises(ValueError):
         tr.drawdown_fit(df, ["x"])
+
+
+def test_symbol_without_train_rows_keeps_its_rows(spark):
+    from tidemark.plans.queries_models import GIVEN
+
+    rng = np.random.default_rng(0)
+    days = pd.bdate_range("2019-12-01", periods=60).date
+    rows = [(s, d, *map(float, rng.normal(size=4))) for s in ("old", "new") for d in days if s == "old" or d > days[30]]
+    x = spark.createDataFrame(rows, "symbol string, date date, ret double, vol_21d double, vix double, slope double")
+    end = str(days[30])
+    scaled = rg.scale_train_only(x, end)
+    assert scaled.count() == len(rows) and scaled.where("symbol = 'new' AND vix IS NULL").count() == 29
+    for states in (rg.filter_given(scaled, GIVEN), rg.decode(scaled, rg.hmm_fit(scaled, end))):
+        assert states.where("symbol = 'new' AND state IS NULL").count() == 29 and states.where("symbol = 'old'").count() == 60

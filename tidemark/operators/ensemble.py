@@ -84,6 +84,29 @@ def fit_and_normalize(preds: DataFrame, train_end: str) -> DataFrame:
     return _apply(df.withColumns(stats)).drop("_k")
 
 
+def _complete() -> Column:
+    complete = F.lit(True)
+    for c in PRED_COLS:
+        complete = complete & F.col(c).isNotNull()
+    return complete
+
+
+def _in_period(start: str | None, end: str | None) -> Column:
+    inside = F.lit(True)
+    if start is not None:
+        inside = inside & (F.col("date") >= F.lit(start).cast("date"))
+    if end is not None:
+        inside = inside & (F.col("date") <= F.lit(end).cast("date"))
+    return inside
+
+
+def _disagreement() -> Column:
+    scaled = [
+        (F.col(c) - F.col(f"_mu_{c}")) / F.when(F.col(f"_sd_{c}") == 0, 1.0).otherwise(F.col(f"_sd_{c}")) for c in PRED_COLS
+    ]
+    return F.when(_complete(), row_std(scaled))
+
+
 def with_disagreement(preds: DataFrame, fit_start: str | None, fit_end: str | None) -> DataFrame:
     """Row-wise sample deviation of the four standardised predictions.
 
@@ -91,25 +114,41 @@ def with_disagreement(preds: DataFrame, fit_start: str | None, fit_end: str | No
     fit window and are frozen for all other rows. Leaving both bounds open looks
     ahead. A symbol without complete rows in the window has no score.
     """
-    complete = F.lit(True)
-    for c in PRED_COLS:
-        complete = complete & F.col(c).isNotNull()
-    fit = complete
-    if fit_start is not None:
-        fit = fit & (F.col("date") >= F.lit(fit_start).cast("date"))
-    if fit_end is not None:
-        fit = fit & (F.col("date") <= F.lit(fit_end).cast("date"))
+    fit = _complete() & _in_period(fit_start, fit_end)
     w = Window.partitionBy("symbol")
     stats = {}
     for c in PRED_COLS:
         x = F.when(fit, F.col(c))
         stats[f"_mu_{c}"] = F.avg(x).over(w)
         stats[f"_sd_{c}"] = F.stddev_pop(x).over(w)
-    df = preds.withColumns(stats)
-    scaled = [
-        (F.col(c) - F.col(f"_mu_{c}")) / F.when(F.col(f"_sd_{c}") == 0, 1.0).otherwise(F.col(f"_sd_{c}")) for c in PRED_COLS
-    ]
-    return df.withColumn("disagreement", F.when(complete, row_std(scaled))).drop(*stats)
+    return preds.withColumns(stats).withColumn("disagreement", _disagreement()).drop(*stats)
+
+
+def fit_disagreement(preds: DataFrame, fit_start: str | None, fit_end: str | None) -> DataFrame:
+    """What ``with_disagreement`` fits, as one row per symbol to be stored: statistics, the number of rows and the dates
+    they came from."""
+    rows = preds.where(_complete() & _in_period(fit_start, fit_end))
+    stats = [f(c).alias(f"{n}_{c}") for c in PRED_COLS for n, f in (("_mu", F.avg), ("_sd", F.stddev_pop))]
+    return rows.groupBy("symbol").agg(*stats, F.count(F.lit(1)).alias("fit_rows"), F.min("date").alias("fit_from"), F.max("date").alias("fit_to"))
+
+
+def apply_disagreement(preds: DataFrame, stats: DataFrame) -> DataFrame:
+    """``disagreement`` by stored statistics, on a table or a stream. ``in_fit`` marks the rows of the fitted span: there
+    the statistics look ahead. A symbol without statistics keeps its rows without a score."""
+    df = preds.join(stats, "symbol", "left").withColumn("disagreement", _disagreement())
+    df = df.withColumn("in_fit", F.coalesce(F.col("date").between(F.col("fit_from"), F.col("fit_to")), F.lit(False)))
+    return df.select(*preds.columns, "disagreement", "in_fit")
+
+
+def vol_reference(preds: DataFrame, train_end: str) -> DataFrame:
+    """Per symbol the last date that the volatility's normaliser reads and how many of its rows lie after the train period.
+
+    Its reference is the first 252 known forecasts of any date; those after ``train_end`` look ahead for the rows between.
+    """
+    known = F.count("vol_pred").over(ordered("symbol").rowsBetween(Window.unboundedPreceding, 0))
+    rows = preds.withColumn("_k", known).where((F.col("_k") <= VOL_REFERENCE_ROWS) & F.col("vol_pred").isNotNull())
+    after = F.col("date") > F.lit(train_end).cast("date")
+    return rows.groupBy("symbol").agg(F.max("date").alias("vol_reference_to"), F.count_if(after).alias("rows_after_train"))
 
 
 def require_fit_rows(preds: DataFrame) -> DataFrame:

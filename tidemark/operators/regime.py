@@ -31,13 +31,22 @@ def regime_inputs(panel: DataFrame, macro_wide: DataFrame) -> DataFrame:
 
 
 def scale_train_only(inputs: DataFrame, train_end: str) -> DataFrame:
-    """Standardise by each symbol's train-period mean and population deviation."""
+    """Standardise by each symbol's train-period mean and population deviation; a symbol without train rows keeps its
+    rows with unknown values."""
+    return scale_by(inputs, scale_stats(inputs, train_end))
+
+
+def scale_stats(inputs: DataFrame, train_end: str) -> DataFrame:
+    """Mean and population deviation of each input over a symbol's train rows, to be stored."""
     train = F.col("date") <= F.lit(train_end).cast("date")
-    stats = inputs.where(train).groupBy("symbol").agg(
+    return inputs.where(train).groupBy("symbol").agg(
         *[F.avg(c).alias(f"mu_{c}") for c in INPUTS], *[F.stddev_pop(c).alias(f"sd_{c}") for c in INPUTS]
     )
+
+
+def scale_by(inputs: DataFrame, stats: DataFrame) -> DataFrame:
     z = {c: (F.col(c) - F.col(f"mu_{c}")) / F.when(F.col(f"sd_{c}") > 0, F.col(f"sd_{c}")).otherwise(1.0) for c in INPUTS}
-    return inputs.join(stats, "symbol").select("symbol", "date", *[e.alias(c) for c, e in z.items()])
+    return inputs.join(stats, "symbol", "left").select("symbol", "date", *[e.alias(c) for c, e in z.items()])
 
 
 # --- hidden-state model: one symbol's history per call ------------------------
@@ -185,10 +194,11 @@ class GivenModel:
     var: tuple[tuple[float, ...], ...]
 
 
-def filter_given(scaled: DataFrame, model: GivenModel) -> DataFrame:
-    """(symbol, date, state): the most likely state of each row given the rows up to it, for known parameters.
+def filter_probabilities(scaled: DataFrame, model: GivenModel) -> DataFrame:
+    """(symbol, date, p0, p1, p2, state): state probabilities of each row given the rows up to it, for known parameters.
 
-    One ordered array per symbol (bounded by the calendar) is folded from front to back; nothing leaves the JVM.
+    One ordered array per symbol (bounded by the calendar) is folded from front to back; nothing leaves the JVM. A row
+    with an unknown input moves nothing: it has no probabilities and no state.
     """
     k = range(N_STATES)
     log_dens = [
@@ -198,17 +208,38 @@ def filter_given(scaled: DataFrame, model: GivenModel) -> DataFrame:
     rows = scaled.withColumns({f"_d{j}": log_dens[j] for j in k}).withColumn("_m", F.greatest(*[f"_d{j}" for j in k]))
     rows = rows.select("symbol", F.struct("date", *[F.exp(F.col(f"_d{j}") - F.col("_m")).alias(f"b{j}") for j in k]).alias("o"))
     path = rows.groupBy("symbol").agg(F.sort_array(F.collect_list("o")).alias("path"))
-    fresh = F.struct(*[F.lit(model.start[j]).alias(f"p{j}") for j in k], F.lit(True).alias("first"), F.array().cast("array<int>").alias("out"))
+    item = F.struct(*[F.lit(None).cast("double").alias(f"p{j}") for j in k], F.lit(None).cast("int").alias("state"))
+    fresh = F.struct(*[F.lit(model.start[j]).alias(f"p{j}") for j in k], F.lit(True).alias("first"), F.array(item).alias("out"))
 
     def step(s: Column, o: Column) -> Column:
+        known = o["b0"].isNotNull()
         prior = [F.when(s["first"], s[f"p{j}"]).otherwise(sum((s[f"p{i}"] * model.trans[i][j] for i in k), F.lit(0.0))) for j in k]
         joint = [prior[j] * o[f"b{j}"] for j in k]
         total = sum(joint, F.lit(0.0))
-        best = F.when((joint[0] >= joint[1]) & (joint[0] >= joint[2]), 0).when(joint[1] >= joint[2], 1).otherwise(2)
-        return F.struct(*[(joint[j] / total).alias(f"p{j}") for j in k], F.lit(False).alias("first"), F.concat(s["out"], F.array(best)).alias("out"))
+        best = F.when(~known, None).when((joint[0] >= joint[1]) & (joint[0] >= joint[2]), 0).when(joint[1] >= joint[2], 1).otherwise(2)
+        out = F.struct(*[(joint[j] / total).alias(f"p{j}") for j in k], best.cast("int").alias("state"))
+        p = [F.when(known, joint[j] / total).otherwise(s[f"p{j}"]).alias(f"p{j}") for j in k]
+        return F.struct(*p, (s["first"] & ~known).alias("first"), F.concat(s["out"], F.array(out)).alias("out"))
+
+    states = path.withColumn("out", F.aggregate("path", fresh, step, lambda s: F.slice(s["out"], F.lit(2), F.size("path"))))
+    z = states.select("symbol", F.explode(F.arrays_zip(F.col("path.date").alias("date"), "out")).alias("z"))
+    return z.select("symbol", "z.date", "z.out.*")
 
-    states = path.withColumn("states", F.aggregate("path", fresh, step, lambda s: s["out"]))
-    return states.select("symbol", F.explode(F.arrays_zip(F.col("path.date").alias("date"), F.col("states").alias("state"))).alias("z")).select("symbol", "z.date", "z.state")
+
+def filter_given(scaled: DataFrame, model: GivenModel) -> DataFrame:
+    """(symbol, date, state): the most likely state of each row given the rows up to it, for known parameters."""
+    return filter_probabilities(scaled, model).select("symbol", "date", "state")
+
+
+def filter_step(x: np.ndarray, p: np.ndarray | None, model: GivenModel) -> tuple[np.ndarray, np.ndarray | None]:
+    """One symbol's next rows, in order: their state probabilities (rows with an unknown input: NaN), and the last known ones."""
+    out = np.full((len(x), N_STATES), np.nan)
+    mean, var, trans = np.array(model.mean), np.array(model.var), np.array(model.trans)
+    dens = (-0.5 * ((x[:, None] - mean) ** 2 / var + np.log(2 * np.pi * var))).sum(2)
+    for t in np.flatnonzero(~np.isnan(dens).any(axis=1)):
+        joint = (np.array(model.start) if p is None else p @ trans) * np.exp(dens[t] - dens[t].max())
+        out[t] = p = joint / joint.sum()
+    return out, p
 
 
 # --- labels and statistics: plain aggregations -------------------------------

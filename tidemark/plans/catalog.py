@@ -2,6 +2,7 @@
 
 from tidemark.plans import (  # noqa: F401
     queries_features,
+    queries_live,
     queries_meta,
     queries_models,
     queries_quality,

@@ -118,7 +118,7 @@ def regime_inputs(spark, sf):
 
 
 cte("regime_scaled", "SELECT r.symbol, date, " + ", ".join(
-    f"({c} - mu_{c}) / sd_{c} AS {c}" for c in rg.INPUTS) + " FROM regime_in r JOIN (SELECT symbol, " + ", ".join(
+    f"({c} - mu_{c}) / sd_{c} AS {c}" for c in rg.INPUTS) + " FROM regime_in r LEFT JOIN (SELECT symbol, " + ", ".join(
     f"avg({c}) AS mu_{c}, stddev_pop({c}) AS sd_{c}" for c in rg.INPUTS) + f" FROM regime_in WHERE date <= DATE '{src.TRAIN_END}' GROUP BY symbol) s USING (symbol)")
 
 
@@ -150,7 +150,7 @@ UNION ALL SELECT symbol, t, q0 / (q0 + q1 + q2), q1 / (q0 + q1 + q2), q2 / (q0 +
 
 
 @register("regime_filter_given", "symbol date state:i", """
-SELECT symbol, date, CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS state FROM given_filter JOIN given_dens USING (symbol, t)""")
+SELECT symbol, date, CASE WHEN p0 IS NULL THEN NULL WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS state FROM given_filter JOIN given_dens USING (symbol, t)""")
 def regime_filter_given(spark, sf):
     return rg.filter_given(_scaled(spark, sf), GIVEN)
 

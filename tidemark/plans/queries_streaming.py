@@ -28,10 +28,15 @@ def stream_bars(spark, sf):
     return sink.latest(spark, f"{out}/table", ["symbol", "start"]).withColumn("hour", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
 
+def _places(rows):
+    """The place of every date among the rows' dates: a window over the calendar, not over the rows."""
+    return rows.select("date").distinct().withColumn("_nth", F.row_number().over(Window.orderBy("date")))
+
+
 def _scored(spark, sf):
     out = scratch_dir(spark, "stream-score")
     rows = src.run_rows(spark, sf).select(*sc.INPUT)
-    rows = write_once(rows.withColumn("_nth", F.dense_rank().over(Window.orderBy("date"))), "run-rows")  # bounded by the calendar's dates and the symbols
+    rows = write_once(rows.join(_places(rows), "date"), "run-rows")
     last = rows.agg(F.max("_nth")).first()[0] or 0
     for part in range(3):
         now = F.floor((F.col("_nth") - 1) * 3 / max(1, last)) == part

@@ -7,8 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import scratch_dir
-
 WEIGHT_AUDIT = T.StructType(
     [
         T.StructField("symbol", T.StringType()),
@@ -20,6 +18,8 @@ WEIGHT_AUDIT = T.StructType(
         T.StructField("run_id", T.StringType()),
     ]
 )
+#: A row as it is stored: with the append or micro-batch it came in.
+SLICE = T.StructType([*WEIGHT_AUDIT.fields, T.StructField("slice", T.LongType())])
 WEIGHT_COLS = {"w_return": "return_w", "w_vol": "vol_w", "w_regime": "regime_w", "w_drawdown": "drawdown_w"}
 
 
@@ -66,8 +66,9 @@ class FeatureStore:
     def describe(self, name: str, version: int) -> DataFrame:
         """Side-car row: shape, columns and date span, from the written files."""
         df = self.spark.read.parquet(self.path(name, version))
+        day = F.col("date") if "date" in df.columns else F.lit(None).cast("date")  # tables of statistics have no dates
         return df.agg(
-            F.count(F.lit(1)).alias("n_rows"), F.min("date").alias("index_start"), F.max("date").alias("index_end")
+            F.count(F.lit(1)).alias("n_rows"), F.min(day).alias("index_start"), F.max(day).alias("index_end")
         ).select(
             F.lit(name).alias("name"),
             F.lit(version).alias("version"),
@@ -127,50 +128,106 @@ def metric_rows(df: DataFrame, metrics: list[str], run_id: str, model: str, keys
 
 
 class WeightAudit:
-    """Audit log of model weights; every run owns the folder ``run_id=...``.
+    """Audit log of model weights: ``{path}/run_id=R/slice={first}-{last}`` folders, one per append or micro-batch.
 
-    Overwriting that folder makes a retried or repeated run leave the same rows
-    once, and clearing a run touches nobody else's.
+    An append writes its own rows and nothing else; rows of one (symbol, date) are told apart by their slice, the latest
+    counts. ``FAN`` neighbouring slices of one width are merged into one, so a run has few folders and a row is rewritten
+    as often as the logarithm of the number of appends. A merged slice replaces the ones it spans as soon as its
+    success mark is there: readers skip spanned slices, so the merge may be interrupted at any point. A micro-batch that is
+    delivered again overwrites its own slice. One writer per run at a time, as a stream has.
     """
 
+    FAN = 8
+
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _folder(self, run_id: str, first: int, last: int) -> str:
+        return f"{self.path}/run_id={run_id}/slice={first}-{last}"
+
+    def slices(self, run_id: str) -> list[tuple[int, int]]:
+        """(first, last) of the slices that count, in order."""
+        found = []
+        for name in _listing(self.spark, f"{self.path}/run_id={run_id}"):
+            first, _, last = name.removeprefix("slice=").partition("-")
+            if first.isdigit() and last.isdigit() and "_SUCCESS" in _listing(self.spark, f"{self.path}/run_id={run_id}/{name}"):
+                found.append((int(first), int(last)))
+        out: list[tuple[int, int]] = []
+        for first, last in sorted(found, key=lambda x: (x[0], -x[1])):
+            if not out or last > out[-1][1]:
+                out.append((first, last))
+        return out
+
+    def runs(self) -> list[str]:
+        return sorted(n.removeprefix("run_id=") for n in _listing(self.spark, self.path) if n.startswith("run_id="))
+
+    def _write(self, rows: DataFrame, run_id: str, first: int, last: int) -> None:
+        rows.select(*SLICE.fieldNames()).write.mode("overwrite").parquet(self._folder(run_id, first, last))
+
+    def append(self, weights: DataFrame, run_id: str, batch: int | None = None) -> None:
+        """Adds a run's rows; a row that was there before is replaced. ``batch`` numbers a stream's micro-batches: one
+        that is delivered again leaves its rows once."""
+        held = self.slices(run_id)
+        if batch is None:
+            batch = held[-1][1] + 1 if held else 0
+        if any(first <= batch <= last and first < last for first, last in held):
+            return  # merged since: it was complete then
+        rows = weights.withColumnsRenamed({k: v for k, v in WEIGHT_COLS.items() if k in weights.columns})
+        self._write(rows.withColumns({"run_id": F.lit(run_id), "slice": F.lit(batch).cast("long")}), run_id, batch, batch)
+        self._merge(run_id, before=batch)
+
+    def _merge(self, run_id: str, before: int) -> None:
+        """Merges the last ``FAN`` slices of one width that end before the newest one, for as long as there are that many."""
+        while True:
+            done = [x for x in self.slices(run_id) if x[1] < before]
+            group = done[-self.FAN :]
+            if len(group) < self.FAN or len({self._rank(x) for x in group}) > 1:
+                return
+            self._write(self._latest(self._read(run_id, group)), run_id, group[0][0], group[-1][1])
+            for first, last in group:
+                self._delete(self._folder(run_id, first, last))
+
+    def _rank(self, span: tuple[int, int]) -> int:
+        """Number of merges behind a slice, by its width."""
+        rank, width = 0, span[1] - span[0] + 1
+        while width >= self.FAN:
+            rank, width = rank + 1, width // self.FAN
+        return rank
+
+    def _delete(self, folder: str) -> None:
+        jvm_path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        jvm_path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+    def _read(self, run_id: str, spans: list[tuple[int, int]]) -> DataFrame:
+        if not spans:
+            return self.spark.createDataFrame([], SLICE)
+        return self.spark.read.schema(SLICE).parquet(*[self._folder(run_id, *x) for x in spans])
 
     @staticmethod
-    def _rows(weights: DataFrame, run_id: str) -> DataFrame:
-        out = weights.withColumnsRenamed({k: v for k, v in WEIGHT_COLS.items() if k in weights.columns})
-        return out.withColumn("run_id", F.lit(run_id)).select(*WEIGHT_AUDIT.fieldNames())
-
-    def _write(self, df: DataFrame, mode: str) -> None:
-        writer = df.write.mode(mode).partitionBy("run_id")
-        if mode == "overwrite":
-            writer = writer.option("partitionOverwriteMode", "dynamic")
-        writer.parquet(self.path)
-
-    def append(self, weights: DataFrame, run_id: str) -> None:
-        """Adds a run's rows by (symbol, date): a repeated append, as after a retry, leaves them once.
-
-        The run's folder is written anew from its other rows and the given ones; a run is one backtest, not a history.
-        """
-        new = self._rows(weights, run_id)
-        try:
-            old = self.load(run_id)
-        except AnalysisException:  # nothing written yet
-            old = self.spark.createDataFrame([], WEIGHT_AUDIT)
-        merged = old.join(new, ["symbol", "date"], "left_anti").unionByName(new)
-        path = scratch_dir(self.spark, "audit-merge")
-        merged.write.parquet(path)
-        self._write(self.spark.read.schema(merged.schema).parquet(path), "overwrite")
+    def _latest(rows: DataFrame) -> DataFrame:
+        values = [c for c in SLICE.fieldNames() if c not in ("run_id", "symbol", "date")]
+        last = rows.groupBy("run_id", "symbol", "date").agg(F.max_by(F.struct(*values), "slice").alias("_v"))
+        return last.select("run_id", "symbol", "date", "_v.*")
 
     def replace(self, weights: DataFrame, run_id: str) -> None:
-        """Batch write of a whole run, replacing what that run wrote before."""
-        self._write(self._rows(weights, run_id), "overwrite")
+        """Batch write of a whole run, replacing what that run wrote before: the old slices stay until the new one is there."""
+        held = self.slices(run_id)
+        rows = weights.withColumnsRenamed({k: v for k, v in WEIGHT_COLS.items() if k in weights.columns})
+        at = held[-1][1] + 1 if held else 0
+        self._write(rows.withColumns({"run_id": F.lit(run_id), "slice": F.lit(at).cast("long")}), run_id, 0, at)
+        for first, last in held:
+            if (first, last) != (0, at):
+                self._delete(self._folder(run_id, first, last))
 
     def clear(self, run_id: str) -> None:
         """Empty one run's folder and keep the log readable."""
-        empty = self.spark.createDataFrame([], T.StructType(WEIGHT_AUDIT.fields[:-1]))
-        empty.write.mode("overwrite").parquet(f"{self.path}/run_id={run_id}")
+        self.replace(self.spark.createDataFrame([], T.StructType(WEIGHT_AUDIT.fields[:-1])), run_id)
 
     def load(self, run_id: str | None = None) -> DataFrame:
-        df = self.spark.read.schema(WEIGHT_AUDIT).parquet(self.path)
-        return df.where(F.col("run_id") == run_id) if run_id else df
+        """The rows of one run, or of all."""
+        out = None
+        for run in [run_id] if run_id is not None else self.runs():
+            rows = self._read(run, self.slices(run))
+            out = rows if out is None else out.unionByName(rows)
+        out = self.spark.createDataFrame([], SLICE) if out is None else out
+        return self._latest(out).select(*WEIGHT_AUDIT.fieldNames())

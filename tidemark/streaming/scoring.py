@@ -23,7 +23,7 @@ INPUT = ("symbol", "date", "return_pred", "vol_pred", "regime_pred", "drawdown_r
 OUTPUT = (
     "symbol string, date date, signal double, "
     + ", ".join(f"w_{m} double" for m in MODELS)
-    + ", fallback boolean, seen long, buffered int, late long, "
+    + ", fallback boolean, failed boolean, seen long, buffered int, late long, "
     + ", ".join(f"{c} double" for c in META_FEATURES)
 )
 ARRAYS = ("rets", "pnl_ret", "pnl_reg", "dis", "x_ret", "y_ret", "x_vol", "y_vol", "weights")
@@ -67,6 +67,20 @@ def _weights(meta: np.ndarray, model: WeightModel) -> np.ndarray:
     return (1 - len(MODELS) * model.floor) * e / e.sum(axis=1, keepdims=True) + model.floor
 
 
+def _learned(meta: np.ndarray, model: WeightModel) -> np.ndarray:
+    """Four weights and a flag for every row: unknown before the track record is complete, equal and flagged where no
+    finite weights come of it (a model without a coefficient it needs, or one that overflows)."""
+    complete = ~np.isnan(meta).any(axis=1)
+    try:
+        with np.errstate(all="ignore"):
+            w = _weights(np.where(complete[:, None], meta, 0.0), model)
+    except (KeyError, ValueError):
+        w = np.full((len(meta), len(MODELS)), np.nan)
+    failed = ~np.isfinite(w).all(axis=1)
+    w = np.column_stack((np.where(failed[:, None], 1 / len(MODELS), w), failed))
+    return np.where(complete[:, None], w, np.nan)
+
+
 def score_block(rows: pd.DataFrame, s: dict, model: WeightModel, n: int = WINDOW) -> tuple[pd.DataFrame, dict]:
     """Score date-ordered rows of one symbol and return the state after them."""
     pred, vol, dis, ret = (rows[c].to_numpy(dtype=float) for c in ("return_pred", "vol_pred", "disagreement", "ret_bwd"))
@@ -91,13 +105,12 @@ def score_block(rows: pd.DataFrame, s: dict, model: WeightModel, n: int = WINDOW
     meta["rolling_ic_vol"], x_vol, y_vol = _rolling_ic(vol, past_vol, s["x_vol"], s["y_vol"], n)
 
     m = np.stack([meta[c] for c in META_FEATURES], axis=1)
-    complete = ~np.isnan(m).any(axis=1)
-    fitted = pd.DataFrame(np.where(complete[:, None], _weights(np.nan_to_num(m), model), np.nan))
-    first = pd.DataFrame([s["weights"] or [np.nan] * len(MODELS)])
-    in_force = pd.concat([first, fitted], ignore_index=True).ffill()
+    first = pd.DataFrame([s["weights"] or [np.nan] * (len(MODELS) + 1)])
+    in_force = pd.concat([first, pd.DataFrame(_learned(m, model))], ignore_index=True).ffill()
     used = in_force.iloc[:-1].to_numpy(dtype=float)
     fallback = np.isnan(used).any(axis=1)
-    used = np.where(fallback[:, None], 1 / len(MODELS), used)
+    failed = used[:, -1] == 1
+    used = np.where(fallback[:, None], 1 / len(MODELS), used[:, :-1])
     d = np.stack(
         [pred, *[np.nan_to_num(-rows[c].to_numpy(dtype=float)) for c in ("vol_pred", "regime_pred", "drawdown_risk_prob")]], axis=1
     )
@@ -109,6 +122,7 @@ def score_block(rows: pd.DataFrame, s: dict, model: WeightModel, n: int = WINDOW
             "signal": (used * d).sum(axis=1),
             **{f"w_{k}": used[:, i] for i, k in enumerate(MODELS)},
             "fallback": fallback,
+            "failed": failed,
             "seen": seen,
             "buffered": np.minimum(len(s["x_ret"]) + np.cumsum(known), n),
             "late": s["late"],
@@ -143,7 +157,7 @@ def stream_score(rows: DataFrame, model: WeightModel) -> DataFrame:
     Rows of a micro-batch arrive unordered and are sorted by date here (of several with one date the one with the
     largest values counts); a row not newer than the symbol's last one is dropped, and ``late`` counts those so far.
     ``buffered`` is the number of prediction pairs that the state holds. Until a complete track record exists the
-    equal-weight fallback is used and flagged.
+    equal-weight fallback is used and flagged; equal weights after a failed score are flagged as ``failed``.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
