@@ -23,6 +23,7 @@ Null texts are empty, a null language is ``und``; repeated rows count again; an
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -154,14 +155,14 @@ def _common(rows: DataFrame, least: int, bits: int) -> np.ndarray:
         used = np.flatnonzero(counters.reshape(-1, size).any(1))
         for i in range(0, len(used), 16):
             part = used[i : i + 16]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([counters[c * size : (c + 1) * size].tobytes() for c in part], pa.binary())], names=["chunk", "counters"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([zlib.compress(counters[c * size : (c + 1) * size].tobytes(), 1) for c in part], pa.binary())], names=["chunk", "counters"])
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for chunk, data in zip(b.column("chunk").to_pylist(), b.column("counters").to_pylist()):
                 held = total.setdefault(chunk, np.zeros(size, np.uint16))
-                np.minimum(held + np.frombuffer(data, np.uint8), 255, out=held)
+                np.minimum(held + np.frombuffer(zlib.decompress(data), np.uint8), 255, out=held)
         bits = [np.packbits(x >= min(least, 255), bitorder="little").tobytes() for x in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array(bits, pa.binary())], names=["chunk", "bits"])
 
