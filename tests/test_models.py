@@ -159,3 +159,22 @@ def test_symbol_without_train_rows_keeps_its_rows(spark):
     assert scaled.count() == len(rows) and scaled.where("symbol = 'new' AND vix IS NULL").count() == 29
     for states in (rg.filter_given(scaled, GIVEN), rg.decode(scaled, rg.hmm_fit(scaled, end))):
         assert states.where("symbol = 'new' AND state IS NULL").count() == 29 and states.where("symbol = 'old'").count() == 60
+
+
+def test_garch_horizons_stay_in_the_jvm_and_equal_the_array_form(spark):
+    rng = np.random.default_rng(3)
+    days = pd.bdate_range("2019-01-01", periods=130).date
+    rows = [(s, d, float(x)) for s in ("A", "B") for d, x in zip(days, rng.normal(0, 0.01, 130))]
+    rows += [("short", d, 0.01 * (i % 3)) for i, d in enumerate(days[-40:])] + [("flat", d, 0.0) for d in days] + [("A", days[0].replace(year=2018), None)]
+    df = spark.createDataFrame(rows, "symbol string, date date, ret_bwd double")
+    end = str(days[90])
+    got = vo.garch_horizons(df, end)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    wide = got.groupBy("symbol", "date", "fitted").pivot("h", [1, 2, 3, 4, 5]).agg(F.first("vol")).toPandas().set_index(["symbol", "date"]).sort_index()
+    one = vo.garch_walk(df, end).toPandas().set_index(["symbol", "date"]).sort_index()
+    np.testing.assert_allclose(wide["1"], one.garch_vol_1d_ann, rtol=1e-9)
+    assert (wide.fitted == one.fitted).all() and not wide.loc["short"].fitted.any() and not wide.loc["flat"].fitted.any() and wide.loc["A"].fitted.all()
+    steps = wide.loc["A"][["1", "2", "3", "4", "5"]].to_numpy() ** 2
+    moves = np.diff(steps, axis=1)  # variances close in on one level: steps of one sign that shrink
+    assert ((np.sign(moves) == np.sign(moves[:, :1])) | (np.abs(moves) < 1e-12)).all() and (np.abs(moves[:, 1:]) <= np.abs(moves[:, :-1]) + 1e-12).all()

@@ -112,3 +112,32 @@ def test_empty_scan_is_an_error(spark, bars):
     assert require_rows(bars, "all symbols") is bars
     with pytest.raises(ValueError, match="no rows for ZZZ"):
         require_rows(bars.where("symbol = 'ZZZ'"), "ZZZ")
+
+
+def test_trading_days_count_holidays(spark):
+    days = [date(2020, 1, d) for d in (2, 3, 6, 8, 9)]  # the 7th is a holiday
+    dates = spark.createDataFrame([(d,) for d in [*days, days[0]]] + [(None,)], "date date")
+    ask = spark.createDataFrame([(date(2020, 1, d), "x") for d in range(1, 12)] + [(None, "x")], "date date, nth string")
+    rows = cal.shift_trading_days(ask, dates, 2).collect()
+    got = {r.date and r.date.day: r.shifted and r.shifted.day for r in rows}
+    assert got == {1: None, 2: 6, 3: 8, 4: 8, 5: 8, 6: 9, 7: 9, 8: None, 9: None, 10: None, 11: None, None: None}
+    back = {r.date.day: r.shifted and r.shifted.day for r in cal.shift_trading_days(ask.na.drop(), dates, -1).collect()}
+    assert back[9] == 8 and back[8] == 6 and back[7] == 3 and back[2] is None
+    assert cal.shift_trading_days(ask, dates.limit(0), 1).where("shifted IS NOT NULL").count() == 0
+    bounds = sp.trading_bounds(dates, "2020-01-05", "2020-01-07").first()
+    assert [d.day for d in bounds] == [2, 3, 6, 6, 8, 9]
+
+
+def test_bucketed_bars_need_no_exchange_and_no_sort(spark, bars):
+    from tidemark.operators import price_features as pf
+
+    with store.sorted_buckets(spark):
+        table = store.write_buckets(bars, "bars_test_buckets", scratch_dir(spark, "buckets"), 4)
+        features = pf.price_features(table)
+        plan, plain = (x._jdf.queryExecution().executedPlan().toString() for x in (features, pf.price_features(table, rsi=False)))
+        got = features.toPandas()
+    assert "Exchange" not in plan and "Exchange" not in plain and "Sort " not in plain  # the RSI sorts its moves by block
+    want = pf.price_features(bars).toPandas()
+    key = ["symbol", "date"]
+    pd.testing.assert_frame_equal(got.sort_values(key).reset_index(drop=True), want.sort_values(key).reset_index(drop=True))
+    spark.sql("DROP TABLE bars_test_buckets")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import is_weekday
@@ -129,3 +129,26 @@ def in_any_crisis(crises: list[tuple[str, str, str]]):
     for _, a, b in crises:
         cond = cond | F.col("date").between(F.lit(a).cast("date"), F.lit(b).cast("date"))
     return cond
+
+
+def trading_ordinals(dates: DataFrame) -> DataFrame:
+    """(day, date, nth): for every calendar day of a trading calendar's span the last trading date up to it and its place.
+
+    The window runs over the calendar's distinct dates, whose number grows with years, not with rows. A day table turns the
+    range look-up of a holiday or weekend into an equality join.
+    """
+    w = Window.orderBy("date")
+    days = dates.select("date").where("date IS NOT NULL").distinct()
+    days = days.select("date", F.row_number().over(w).alias("nth"), F.coalesce(F.date_sub(F.lead("date").over(w), 1), "date").alias("_to"))
+    return days.select(F.explode(F.sequence("date", "_to")).alias("day"), "date", "nth")
+
+
+def shift_trading_days(df: DataFrame, dates: DataFrame, n: int, col: str = "date", out: str = "shifted") -> DataFrame:
+    """Adds ``out``: the date ``n`` trading days after (before, if negative) the last trading date up to ``col``.
+
+    Unknown where the calendar doesn't reach: holidays count because they aren't in the calendar, not by a rule.
+    """
+    ordinals = trading_ordinals(dates)
+    at = broadcast_calendar(ordinals.select(F.col("day").alias(col), F.col("nth").alias("_nth")))
+    to = broadcast_calendar(ordinals.where("day = date").select((F.col("nth") - n).alias("_nth"), F.col("date").alias(out)))
+    return df.join(at, col, "left").join(to, "_nth", "left").select(*df.columns, out)

@@ -46,6 +46,16 @@ def split_bounds(df: DataFrame, train_end: str, val_end: str) -> DataFrame:
     )
 
 
+def trading_bounds(dates: DataFrame, train_end: str, val_end: str) -> DataFrame:
+    """``split_bounds`` on a trading calendar: every boundary is a date on which there was trading."""
+    d = F.col("date")
+    last, first = (lambda c: F.max(F.when(c, d))), (lambda c: F.min(F.when(c, d)))
+    return dates.agg(
+        F.min(d).alias("train_start"), last(d <= _d(train_end)).alias("train_end"), first(d > _d(train_end)).alias("val_start"),
+        last(d <= _d(val_end)).alias("val_end"), first(d > _d(val_end)).alias("test_start"), F.max(d).alias("test_end"),
+    )
+
+
 def fold_ranges(first: date, val_end: str, window_months: int = 12, step_months: int = 1) -> list[tuple]:
     """Expanding-window fold boundaries from the first data date up to ``val_end``."""
     end = as_date(val_end)

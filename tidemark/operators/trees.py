@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -90,14 +90,18 @@ def drawdown_fit(rows: DataFrame, cols: list[str], label: str = "event") -> Pipe
     Training rows without any event leave nothing to learn and are refused. No class
     weights: they would bias the probabilities.
     """
-    train = rows.where("split = 'train'")
-    if train.where(F.col(label) == 1).isEmpty():
-        raise ValueError("the train rows hold no drawdown event")
+    assembler = VectorAssembler(inputCols=cols, outputCol="features")
+    train = assembler.transform(rows.where("split = 'train'")).select("features", label).coalesce(_parts(rows)).cache()
     gbt = GBTClassifier(
         featuresCol="features", labelCol=label, maxIter=DRAWDOWN_TREES, maxDepth=DRAWDOWN_DEPTH, stepSize=DRAWDOWN_RATE,
         subsamplingRate=ROW_SHARE, featureSubsetStrategy=COLUMN_SHARE, minInstancesPerNode=DRAWDOWN_LEAF, seed=SEED,
     )
-    return Pipeline(stages=[VectorAssembler(inputCols=cols, outputCol="features"), gbt]).fit(train)
+    try:
+        if train.where(F.col(label) == 1).isEmpty():
+            raise ValueError("the train rows hold no drawdown event")
+        return PipelineModel([assembler, gbt.fit(train)])
+    finally:
+        train.unpersist()
 
 
 def with_event(rows: DataFrame, target: str = "tgt_mdd_21d", threshold: float = DRAWDOWN_EVENT) -> DataFrame:

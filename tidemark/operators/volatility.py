@@ -6,7 +6,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import next_bday
@@ -96,6 +96,59 @@ def garch_walk(returns: DataFrame, train_end: str, ret: str = "ret_bwd") -> Data
     return out.withColumn("garch_vol_1d_ann", F.when(~F.isnan("garch_vol_1d_ann"), F.col("garch_vol_1d_ann")))
 
 
+HORIZONS = (1, 2, 3, 4, 5)
+
+
+def garch_horizons(returns: DataFrame, train_end: str, ret: str = "ret_bwd", horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
+    """(symbol, date, h, vol, fitted): the walk-forward forecast of each date for the h-th day ahead of its information, annualised.
+
+    One ordered array of returns per symbol (bounded by the calendar) is folded in the JVM; the state holds the variance and the
+    running likelihood of every grid point. A variance returns to its long-run level by its persistence per day. Without a
+    fit the realised volatility of ``garch_walk`` stands in for all horizons.
+    """
+    w = ordered("symbol")
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    rows = returns.where(F.col(ret).isNotNull()).select("symbol", "date", F.col(ret).alias("_r"), (F.col(ret) * SCALE).alias("_e"))
+    short = F.stddev_samp("_r").over(past)
+    recent = F.when(F.count("_r").over(w.rowsBetween(-21, -1)) == 21, F.stddev_samp("_r").over(w.rowsBetween(-21, -1)))
+    rows = rows.withColumns({"_t": F.row_number().over(w) - 1, "_plain": F.coalesce(recent, short) * F.sqrt(F.lit(float(ANNUAL_DAYS)))})
+    seen = rows.groupBy("symbol").agg(
+        F.sort_array(F.collect_list(F.struct("date", "_e", "_plain"))).alias("path"), F.var_pop(F.when(F.col("_t") < MIN_OBS, F.col("_e"))).alias("anchor")
+    )
+    usable = (F.size("path") > MIN_OBS) & (F.col("anchor") > 0)
+    params = grid()
+    omega, alpha, beta = (F.array(*[F.lit(float(x)) for x in params[:, i]]) for i in range(3))
+    found = F.struct(F.lit(None).cast("double").alias("v"), F.lit(None).cast("int").alias("at"))
+    fresh = F.struct(
+        F.lit(0).alias("t"), F.lit(0.0).alias("total"), F.transform(omega, lambda _: F.col("anchor")).alias("v"), F.transform(omega, lambda _: F.lit(0.0)).alias("ll"), F.array(found).alias("out")
+    )
+
+    def step(s: Column, o: Column) -> Column:
+        shock = F.pow(o["_e"] - F.when(s["t"] > 0, s["total"] / s["t"]).otherwise(0.0), 2)
+        best = F.array_position(s["ll"], F.array_max(s["ll"])).cast("int")
+
+        def move(q: Column) -> Column:
+            ll = F.zip_with(s["ll"], s["v"], lambda a, b: a - 0.5 * (F.log(b) + q["shock"] / b))
+            v = F.transform(s["v"], lambda x, i: F.get(omega, i) * F.col("anchor") + F.get(alpha, i) * q["shock"] + F.get(beta, i) * x)
+            known = F.when(s["t"] >= MIN_OBS, F.struct(F.get(s["v"], q["best"] - 1).alias("v"), q["best"].alias("at"))).otherwise(found)
+            return F.struct((s["t"] + 1).alias("t"), (s["total"] + o["_e"]).alias("total"), v.alias("v"), ll.alias("ll"), F.concat(s["out"], F.array(known)).alias("out"))
+
+        return F.get(F.transform(F.array(F.struct(shock.alias("shock"), best.alias("best"))), move), 0)
+
+    folded = F.aggregate("path", fresh, step, lambda s: F.slice(s["out"], F.lit(2), F.size("path")))
+    blank = F.transform("path", lambda _: found)
+    days = seen.withColumn("out", F.when(usable, folded).otherwise(blank))
+    days = days.select("symbol", "anchor", F.explode(F.arrays_zip("path", "out")).alias("z")).select("symbol", "anchor", "z.path.*", "z.out.*")
+    days = days.where(F.col("date") >= F.lit(str(next_bday(train_end))).cast("date"))
+    at = F.col("at") - 1
+    persistence = F.get(alpha, at) + F.get(beta, at)
+    level = F.get(omega, at) * F.col("anchor") / (1 - persistence)
+    ahead = days.withColumn("h", F.explode(F.array(*[F.lit(h) for h in horizons])))
+    var = level + F.pow(persistence, F.col("h") - 1) * (F.col("v") - level)
+    vol = F.sqrt(var) / SCALE * F.sqrt(F.lit(float(ANNUAL_DAYS)))
+    return ahead.select("symbol", "date", "h", F.coalesce(vol, "_plain").alias("vol"), F.col("v").isNotNull().alias("fitted"))
+
+
 def vol_rmse(forecasts: DataFrame, targets: DataFrame, models: list[str]) -> DataFrame:
     """Root mean squared error of each model against the annualised forward volatility, and the winner."""
     y = F.col("tgt_vol_5d") * F.sqrt(F.lit(float(ANNUAL_DAYS)))

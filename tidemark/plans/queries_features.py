@@ -16,6 +16,7 @@ from tidemark.operators import trees as tr
 from tidemark.plans import inputs as src
 from tidemark.plans import oracle_base as ob
 from tidemark.plans.registry import register
+from tidemark.plans.stage import write_once
 from tidemark.sources import tables
 
 BAR_COLS = "symbol date open:9 high:9 low:9 close:9 volume:3"
@@ -369,6 +370,38 @@ def bday_shift(spark, sf):
     )
 
 
+# A calendar with holidays: the shared dates without the first trading date of every month.
+_TRADING = "SELECT date FROM (SELECT date, row_number() OVER (PARTITION BY date_trunc('month', date) ORDER BY date) AS k FROM shared_dates) WHERE k > 1"
+
+
+def _trading_dates(spark, sf):
+    month = ordered("_m")
+    dated = src.stored_dates(spark, sf).withColumn("_m", F.trunc("date", "month"))
+    return dated.withColumn("_k", F.row_number().over(month)).where("_k > 1").select("date")
+
+
+@register("trading_day_shift", "date plus_1 plus_5 minus_3", f"""
+WITH t AS (SELECT date, row_number() OVER (ORDER BY date) AS nth FROM ({_TRADING}))
+SELECT s.date, a.date AS plus_1, b.date AS plus_5, c.date AS minus_3
+FROM (SELECT date, (SELECT max(nth) FROM t WHERE t.date <= s.date) AS nth FROM (SELECT DISTINCT date FROM bars) s) s
+LEFT JOIN t a ON a.nth = s.nth + 1 LEFT JOIN t b ON b.nth = s.nth + 5 LEFT JOIN t c ON c.nth = s.nth - 3
+WHERE s.date <= (SELECT max(date) FROM t)""")
+def trading_day_shift(spark, sf):
+    """Shifts by ordinals of a calendar with holidays, from any day, trading or not."""
+    dates = write_once(_trading_dates(spark, sf), "trading-dates")
+    out = cal.observed_dates(src.bars(spark, sf)).select("date").distinct()
+    for n, name in ((1, "plus_1"), (5, "plus_5"), (-3, "minus_3")):
+        out = cal.shift_trading_days(out, dates, n, out=name)
+    return out.join(dates.agg(F.max("date").alias("_last")), F.col("date") <= F.col("_last"))
+
+
+@register("trading_bounds", "train_start train_end val_start val_end test_start test_end", f"""
+SELECT min(date) AS train_start, max(date) FILTER (date <= DATE '{src.TRAIN_END}') AS train_end, min(date) FILTER (date > DATE '{src.TRAIN_END}') AS val_start,
+  max(date) FILTER (date <= DATE '{src.VAL_END}') AS val_end, min(date) FILTER (date > DATE '{src.VAL_END}') AS test_start, max(date) AS test_end FROM ({_TRADING})""")
+def trading_bounds(spark, sf):
+    return sp.trading_bounds(_trading_dates(spark, sf), src.TRAIN_END, src.VAL_END)
+
+
 @register("date_filter", "symbol date close:9", "SELECT * FROM panel WHERE date BETWEEN DATE '1998-01-01' AND DATE '1998-12-31'")
 def date_filter(spark, sf):
     return src.panel(spark, sf).where(F.col("date").between("1998-01-01", "1998-12-31"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.sql import functions as F
@@ -19,7 +17,7 @@ from tidemark.plans import oracle_meta as om
 from tidemark.plans import queries_models as qm
 from tidemark.plans import queries_streaming as qs
 from tidemark.plans.oracle_base import W
-from tidemark.plans.registry import CTES, cte, register
+from tidemark.plans.registry import cte, register, twin
 from tidemark.plans.stage import stage, write_once
 from tidemark.session import scratch_dir
 from tidemark.sources import store
@@ -31,25 +29,14 @@ RUN = "live-1"
 GIVEN_RETURN = "0.4 * logret + 0.1 * mom_21d"
 GIVEN_DRAWDOWN = "1 / (1 + exp(mom_21d - 2 * bb_width))"
 
-cte("given_states", "SELECT symbol, date, CASE WHEN p0 IS NULL THEN NULL WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS state FROM given_filter JOIN given_dens USING (symbol, t)")
-cte("given_labels", re.sub(r"\bstates\b", "given_states", CTES["state_labels"]))
 cte("live_preds", f"""
 SELECT p.symbol, p.date, close, r AS ret_bwd, {GIVEN_RETURN} AS return_pred, vol_21d AS vol_pred, label AS regime_label, {GIVEN_DRAWDOWN} AS drawdown_risk_prob
 FROM panel_ret p JOIN feat USING (symbol, date) LEFT JOIN given_states s ON s.symbol = p.symbol AND s.date = p.date
 LEFT JOIN given_labels l ON l.symbol = s.symbol AND l.state = s.state""")
 
 
-def _twin(prefix: str, names: list[str]) -> None:
-    """The named steps of the batch oracle over ``{prefix}preds``."""
-    for name in names:
-        sql = CTES[name]
-        for n in ("preds", *names):
-            sql = re.sub(rf"\b{n}\b", prefix + n, sql)
-        cte(prefix + name, sql)
-
-
 _IC = ["ic_live_in", "ic_live_pairs", "ic_live_rank", "ic_live_long", "ic_live"]
-_twin("live_", ["preds_risk", "norm", "preds_z", "dis_fit", "preds_d", "run_rows", "run_past", *_IC, "track_live", "meta_live", "weights_live", "bt_weights", "bt"])
+twin("live_", "preds", ["preds_risk", "norm", "preds_z", "dis_fit", "preds_d", "run_rows", "run_past", *_IC, "track_live", "meta_live", "weights_live", "bt_weights", "bt"])
 
 
 def _pipeline(inputs: list[str], name: str, rule: str) -> PipelineModel:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -27,9 +28,10 @@ from tidemark.plans import oracle_base as ob
 from tidemark.plans import oracle_meta as om
 from tidemark.plans import oracle_ridge  # noqa: F401  (defines its building blocks)
 from tidemark.plans.oracle_base import W, guarded
-from tidemark.plans.registry import cte, register
+from tidemark.plans.registry import CTES, cte, register, twin
 from tidemark.plans.stage import write_once
 from tidemark.session import scratch_dir
+from tidemark.sources import store
 
 TREE_COLS = ["logret", "vol_21d", "vol_63d", "mom_21d", "mom_63d", "bb_width"]
 # The fixture's prices swing far more than a daily index: its drawdown event sits near the median.
@@ -74,6 +76,17 @@ def garch_walk(spark, sf):
     return vo.garch_walk(src.returns(spark, sf), src.TRAIN_END)
 
 
+cte("garch_best", f"""
+SELECT symbol, t, arg_max(v, ll ORDER BY gp) AS v, arg_max(om, ll ORDER BY gp) AS om, arg_max(al + be, ll ORDER BY gp) AS p FROM garch_state WHERE t >= {vo.MIN_OBS} GROUP BY symbol, t""")
+
+
+@register("garch_horizons", "symbol date h:b vol:9 fitted", f"""
+SELECT r.symbol, r.date, h, v IS NOT NULL AS fitted, coalesce(sqrt(om / (1 - p) + power(p, h - 1) * (v - om / (1 - p))) / {vo.SCALE!r}, plain) * sqrt(252) AS vol
+FROM garch_rows r LEFT JOIN garch_best b ON r.symbol = b.symbol AND r.t = b.t, range(1, 6) AS ahead(h) WHERE r.date >= DATE '{src.VAL_START}'""")
+def garch_horizons(spark, sf):
+    return vo.garch_horizons(src.returns(spark, sf), src.TRAIN_END)
+
+
 @register("vol_rmse", "symbol rmse_21:9 rmse_63:9 winner", f"""
 SELECT symbol, a AS rmse_21, b AS rmse_63, CASE WHEN a <= b THEN 'rmse_21' ELSE 'rmse_63' END AS winner FROM (
   SELECT symbol, sqrt(avg(power(tgt_vol_5d * sqrt(252) - realized_vol_21d, 2))) AS a, sqrt(avg(power(tgt_vol_5d * sqrt(252) - rv63, 2))) AS b
@@ -210,6 +223,23 @@ SELECT symbol, state, median_vix, CASE place WHEN 1 THEN 0 WHEN 3 THEN 1 ELSE pl
     SELECT symbol, state, median(VIXCLS) FILTER (date <= DATE '""" + src.TRAIN_END + """') AS median_vix FROM states JOIN macro_wide USING (date) GROUP BY symbol, state))""")
 
 
+cte("given_states", """
+SELECT symbol, date, CASE WHEN p0 IS NULL THEN NULL WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS state FROM given_filter JOIN given_dens USING (symbol, t)""")
+cte("given_labels", re.sub(r"\bstates\b", "given_states", CTES["state_labels"]))
+
+
+def _given_labels(spark, sf):
+    """Filtered states of the given model and their labels by the train rows' median VIX."""
+    states = write_once(rg.filter_given(_scaled(spark, sf), GIVEN), "given-states")
+    vix = cal.macro_wide(src.macro_long(spark, sf)).select("date", F.col("VIXCLS").alias("vix"))
+    return states, rg.label_map(states.where("state IS NOT NULL"), vix, train_end=src.TRAIN_END)
+
+
+@register("regime_filtered_labels", "symbol date state:i label:i", "SELECT symbol, date, state, label FROM given_states LEFT JOIN given_labels USING (symbol, state)")
+def regime_filtered_labels(spark, sf):
+    return rg.apply_labels(*_given_labels(spark, sf))
+
+
 def _labels(spark, sf):
     states = _stand_in_states(spark, sf)
     vix = cal.macro_wide(src.macro_long(spark, sf)).select("date", F.col("VIXCLS").alias("vix"))
@@ -301,6 +331,12 @@ def _joined_rows(spark, sf, rows):
     return cal.merge_features(rows, macro).na.drop(subset=JOINED_COLS)
 
 
+def _filled_rows(spark, sf, features):
+    """The joined matrix for scoring: left join with every column carried forward, complete rows."""
+    macro = mf.macro_features(src.macro_long(spark, sf)).withColumn("vix_code", scalars.vix_ordinal(F.col("vix_regime")))
+    return cal.join_left_ffill(features, macro).na.drop(subset=JOINED_COLS)
+
+
 def _fit_report(scored, label, pred, rounds, loss):
     """Checkable facts of a fit per split: rows, more than one round, better than the best constant on its own train rows."""
     own = loss(F.col(label), F.col(pred))
@@ -340,40 +376,54 @@ def drawdown_fit(spark, sf):
     return _fit_report(tr.score_drawdown(model, rows), "event", "drawdown_risk_prob", tr.rounds_kept(model), _log_loss)
 
 
-@register("predict_all", "symbol date has_return has_vol has_regime drawdown_ok", f"""
-SELECT t.symbol, t.date, true AS has_return, g.garch_vol_1d_ann IS NOT NULL AS has_vol, l.label IS NOT NULL AS has_regime, j.ok AS drawdown_ok
-FROM (SELECT symbol, date {_TREE_ROWS}) t LEFT JOIN garch g USING (symbol, date)
-LEFT JOIN (SELECT symbol, date, label FROM states JOIN state_labels USING (symbol, state)) l USING (symbol, date)
-LEFT JOIN (SELECT symbol, date, true AS ok {_JOINED_ROWS}) j USING (symbol, date)""")
+_ALL_KNOWN = " AND ".join(f"last_value({c} IGNORE NULLS) OVER g IS NOT NULL" for c in [*TREE_COLS, *MACRO_COLS, "vix_regime"])
+cte("all_filled", f"""
+SELECT symbol, date FROM (SELECT symbol, date, {_ALL_KNOWN} AS known FROM feat LEFT JOIN macro_feat USING (date)
+  WINDOW g AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE known""")
+cte("all_preds", f"""
+SELECT symbol, date, r.close, NULL AS ret_bwd, r.symbol IS NOT NULL AS has_return, j.ok IS NOT NULL AS drawdown_ok, CAST(NULL AS DOUBLE) AS return_pred, garch_vol_1d_ann AS vol_pred,
+  label AS regime_label, CAST(NULL AS DOUBLE) AS drawdown_risk_prob
+FROM (SELECT symbol, date, 1.0 AS close FROM feat WHERE {" AND ".join(f"{c} IS NOT NULL" for c in TREE_COLS)}) r FULL JOIN (SELECT *, true AS ok FROM all_filled) j USING (symbol, date)
+LEFT JOIN garch USING (symbol, date) LEFT JOIN given_states USING (symbol, date) LEFT JOIN given_labels USING (symbol, state)""")
+twin("all_", "preds", ["preds_risk", "norm", "preds_z"])
+
+
+@register("predict_all", "symbol date vol_pred:9 regime_label:i regime_pred:9 has_return drawdown_ok", """
+SELECT symbol, date, z.vol_pred, z.regime_label, z.regime_pred, has_return, drawdown_ok FROM all_preds_z z JOIN all_preds p USING (symbol, date)""")
 def predict_all(spark, sf):
-    """Both tree models, the walk-forward volatility and the labelled regimes on the rows of the price matrix."""
+    """Both tree models, the walk-forward volatility and filtered regimes on every row that a model can score, normalised.
+
+    The models learn on rows with known targets; they score all rows, the drawdown model on the joined matrix (left
+    join, carried forward) as it was trained.
+    """
     rows = write_once(_tree_rows(spark, sf), "tree-rows")
-    joined = write_once(_joined_rows(spark, sf, rows), "joined-rows")
+    features = write_once(pf.price_features(src.panel(spark, sf), rsi=False), "all-features")
+    joined = write_once(_filled_rows(spark, sf, features), "filled-rows")
     rm = tr.return_fit(rows, TREE_COLS, "tgt_ret_1d", QUERY_TREES, QUERY_RATE)
-    dm = tr.drawdown_fit(joined.where("event is not null"), JOINED_COLS)
+    events = joined.join(rows.select("symbol", "date", "split", "event"), ["symbol", "date"]).where("event is not null")
+    dm = tr.drawdown_fit(events, JOINED_COLS)
     vol = vo.garch_walk(src.returns(spark, sf), src.TRAIN_END).withColumnRenamed("garch_vol_1d_ann", "vol_pred")
-    regime = rg.apply_labels(*_labels(spark, sf)).withColumnRenamed("label", "regime_label")
-    raw = write_once(tr.predict_all(rows, joined, rm, dm, vol, regime), "raw-predictions")
+    regime = rg.apply_labels(*_given_labels(spark, sf)).withColumnRenamed("label", "regime_label")
+    raw = write_once(tr.predict_all(features, joined, rm, dm, vol, regime), "raw-predictions")
     out = en.normalize(raw, en.fit_normalizer(raw, src.TRAIN_END))
     out = out.join(raw.select("symbol", "date", F.col("drawdown_risk_prob").alias("p")), ["symbol", "date"])
-    return out.select(
-        "symbol", "date", F.col("return_pred").isNotNull().alias("has_return"), F.col("vol_pred").isNotNull().alias("has_vol"),
-        F.col("regime_pred").isNotNull().alias("has_regime"), F.col("p").between(0, 1).alias("drawdown_ok"),
-    )
+    return out.withColumns({"has_return": F.col("return_pred").isNotNull(), "drawdown_ok": F.coalesce(F.col("p").between(0, 1), F.lit(False))})
 
 
-@register("model_io", "model n:b identical", f"SELECT unnest(['drawdown', 'return']) AS model, count(*) AS n, true AS identical {_TREE_ROWS}")
+@register("model_io", "model n:b identical", f"""
+SELECT 'return' AS model, count(*) AS n, true AS identical {_TREE_ROWS} UNION ALL SELECT 'drawdown', count(*), true {_JOINED_ROWS}""")
 def model_io(spark, sf):
     rows = write_once(_tree_rows(spark, sf), "tree-rows")
+    joined = write_once(_joined_rows(spark, sf, rows), "joined-rows")
     fits = {
-        "return": (tr.return_fit(rows, TREE_COLS, "tgt_ret_1d", QUERY_TREES, QUERY_RATE), tr.score_returns, "return_pred"),
-        "drawdown": (tr.drawdown_fit(rows.where("event is not null"), TREE_COLS), tr.score_drawdown, "drawdown_risk_prob"),
+        "return": (rows, tr.return_fit(rows, TREE_COLS, "tgt_ret_1d", QUERY_TREES, QUERY_RATE), tr.score_returns, "return_pred"),
+        "drawdown": (joined, tr.drawdown_fit(joined.where("event is not null"), JOINED_COLS), tr.score_drawdown, "drawdown_risk_prob"),
     }
     out = []
-    for name, (model, score, pred) in fits.items():
+    for name, (matrix, model, score, pred) in fits.items():
         path = scratch_dir(spark, "model")
         tr.save_model(model, path)
-        a, b = (score(m, rows).select("symbol", "date", F.col(pred).alias(c)) for m, c in ((model, "_a"), (tr.load_model(path), "_b")))
+        a, b = (score(m, matrix).select("symbol", "date", F.col(pred).alias(c)) for m, c in ((model, "_a"), (tr.load_model(path), "_b")))
         same = F.bool_and(F.col("_a") == F.col("_b")).alias("identical")
         out.append(a.join(b, ["symbol", "date"]).agg(F.lit(name).alias("model"), F.count("*").alias("n"), same))
     return out[0].unionByName(out[1])
@@ -383,11 +433,14 @@ def _rank(x: str, part: str) -> str:
     return f"rank() OVER (PARTITION BY {part} ORDER BY {x}) + (count(*) OVER (PARTITION BY {part}, {x}) - 1) / 2.0"
 
 
-@register("return_eval", "symbol split ic:9 rmse:9 hit_rate:9 n:b", f"""
+RETURN_EVAL = f"""
 SELECT symbol, split, corr(ry, rp) AS ic, sqrt(avg(power(tgt_ret_1d - return_pred, 2))) AS rmse,
   avg(CAST(sign(tgt_ret_1d) = sign(return_pred) AS INTEGER)) AS hit_rate, count(*) AS n
 FROM (SELECT *, {_rank('tgt_ret_1d', 'symbol, split')} AS ry, {_rank('return_pred', 'symbol, split')} AS rp FROM evald WHERE return_pred IS NOT NULL AND tgt_ret_1d IS NOT NULL)
-GROUP BY symbol, split""")
+GROUP BY symbol, split"""
+
+
+@register("return_eval", "symbol split ic:9 rmse:9 hit_rate:9 n:b", RETURN_EVAL)
 def return_eval(spark, sf):
     return tr.return_eval(_evald(spark, sf), "tgt_ret_1d", "return_pred", ["symbol", "split"])
 
@@ -406,15 +459,33 @@ JOIN (SELECT {keys}, sum(event * prec) / nullif(sum(event), 0) AS aucpr FROM (
 SCORED = "SELECT * FROM evald WHERE event IS NOT NULL AND drawdown_risk_prob IS NOT NULL"
 
 
-@register("drawdown_eval", "symbol split auc_roc:9 aucpr:9 precision:9 recall:9 log_loss:9 base_rate:9 n:b", f"""
+DRAWDOWN_EVAL = f"""
 SELECT * FROM ({_ranking_sql('symbol, split', SCORED)}) JOIN (
   SELECT symbol, split, CASE WHEN sum(call) > 0 THEN sum(call * event) / sum(call) ELSE 0 END AS precision, CASE WHEN sum(event) > 0 THEN sum(call * event) / sum(event) ELSE 0 END AS recall,
     -avg(event * ln(drawdown_risk_prob) + (1 - event) * ln(1 - drawdown_risk_prob)) AS log_loss, avg(event) AS base_rate, count(*) AS n
-  FROM (SELECT *, CAST(drawdown_risk_prob >= 0.5 AS INTEGER) AS call FROM ({SCORED})) GROUP BY symbol, split) USING (symbol, split)""")
+  FROM (SELECT *, CAST(drawdown_risk_prob >= 0.5 AS INTEGER) AS call FROM ({SCORED})) GROUP BY symbol, split) USING (symbol, split)"""
+
+
+@register("drawdown_eval", "symbol split auc_roc:9 aucpr:9 precision:9 recall:9 log_loss:9 base_rate:9 n:b", DRAWDOWN_EVAL)
 def drawdown_eval(spark, sf):
     return tr.drawdown_eval(_evald(spark, sf), ["symbol", "split"])
 
 
+_METRICS = {"return": (RETURN_EVAL, ["ic", "rmse", "hit_rate"]), "drawdown": (DRAWDOWN_EVAL, ["auc_roc", "aucpr", "precision", "recall", "log_loss", "base_rate"])}
+
+
+@register("metrics_models", "run_id model symbol split metric value:9", " UNION ALL ".join(
+    f"SELECT 'run-1' AS run_id, '{m}' AS model, * FROM (UNPIVOT (SELECT symbol, split, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in names)} FROM ({sql})) ON {', '.join(names)} INTO NAME metric VALUE value)"
+    for m, (sql, names) in _METRICS.items()))
+def metrics_models(spark, sf):
+    """The metrics of both tree models per symbol and split, as JSON under one run; unknown ones (one class only) aren't written."""
+    path = scratch_dir(spark, "model-metrics")
+    rows = write_once(_evald(spark, sf), "evaluated")
+    for name, table in (("return", tr.return_eval(rows, "tgt_ret_1d", "return_pred", ["symbol", "split"])), ("drawdown", tr.drawdown_eval(rows, ["symbol", "split"]))):
+        store.write_json(store.metric_rows(table, _METRICS[name][1], "run-1", name, ["symbol", "split"]).where("value IS NOT NULL"), path, "append")
+    return spark.read.json(path)
+
+
 @register("drawdown_eval_pooled", "pool auc_roc:9 aucpr:9", _ranking_sql("pool", f"SELECT *, 'all' AS pool FROM ({SCORED})"))
 def drawdown_eval_pooled(spark, sf):
     return tr.pooled_ranking_metrics(tr.score_counts(_evald(spark, sf), ["symbol"]))

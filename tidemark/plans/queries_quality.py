@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import ordered
@@ -46,6 +48,15 @@ def bars_write_bucketed(spark, sf):
     return spark.read.parquet(path)
 
 
+@register("bars_buckets", "symbol date " + " ".join(f"{c}:9" for c in FEATS), "SELECT * FROM supplier_feat")
+def bars_buckets(spark, sf):
+    """Price features over bucketed, sorted bars: no exchange and no sort after the table is written."""
+    name = f"bars_{uuid.uuid4().hex[:12]}"
+    with store.sorted_buckets(spark):
+        table = store.write_buckets(src.supplier_bars(spark, sf), name, scratch_dir(spark, "bars-buckets"), 8)
+        return pf.price_features(table, rsi=False)
+
+
 @register("macro_csv_scan", "series_id obs_date value:9", "SELECT * FROM macro_obs WHERE series_id IN ('DFF', 'GS10') AND obs_date >= DATE '1997-01-01'")
 def macro_csv_scan(spark, sf):
     path = scratch_dir(spark, "macro")

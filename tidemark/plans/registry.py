@@ -71,6 +71,15 @@ def cte(name: str, sql: str) -> None:
     CTES[name] = sql.strip()
 
 
+def twin(prefix: str, start: str, names: list[str]) -> None:
+    """The named building blocks once more, over ``{prefix}{start}`` instead of ``start``."""
+    for name in names:
+        sql = CTES[name]
+        for n in (start, *names):
+            sql = re.sub(rf"\b{n}\b", prefix + n, sql)
+        cte(prefix + name, sql)
+
+
 def _needed(sql: str, seen: list[str], path: tuple[str, ...] = ()) -> list[str]:
     """Names of the CTEs a query uses, dependencies first; a recursive CTE may name itself."""
     for word in re.findall(r"\b[a-z_0-9]+\b", sql):

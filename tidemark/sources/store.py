@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -109,6 +111,29 @@ def write_panel(df: DataFrame, path: str, mode: str = "overwrite", buckets: int
     df.repartition(key, F.year("date")).sortWithinPartitions(key, "symbol", "date").write.mode(mode).partitionBy(key).parquet(path)
 
 
+@contextmanager
+def sorted_buckets(spark: SparkSession):
+    """Plans made inside trust the order inside a bucket's one file, so that windows by symbol need no sort."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def write_buckets(df: DataFrame, table: str, path: str, buckets: int, sort: str = "date") -> DataFrame:
+    """A catalog table of one file per bucket of symbols, sorted by (symbol, date): every later window or join by symbol reads
+    it without an exchange, and, inside ``sorted_buckets``, without a sort.
+
+    A bucket holds whole symbols, each no longer than the calendar; choose the buckets so that one fits a task.
+    """
+    rows = df.repartition(buckets, "symbol")
+    rows.write.mode("overwrite").bucketBy(buckets, "symbol").sortBy("symbol", sort).option("path", path).format("parquet").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Predictions, meta-features and similar results, sorted inside files only."""
     keys = [c for c in ("symbol", "date") if c in df.columns]
