@@ -73,3 +73,9 @@ def test_odd_rows(spark):
     none = langid.fit(df.where("lang = 'xx'"))
     assert {(r.lang_pred, r.score, r.rejected) for r in langid.predict(df, none).collect()} == {("und", 0.0, True)}
     assert langid.predict(df.limit(0), model).count() == 0
+
+
+def test_numbers_are_no_letters():
+    for text in ("½ ²", "①", "Ⅷ", "٣ 12 _", "", None):
+        assert not langid.ngram_counts(text).any(), text
+    assert langid.ngram_counts("ª é 語").any()

@@ -37,7 +37,8 @@ QUANTILE, MEMBERS, FEW, SLACK, BANDS = 0.005, 100, 50, 0.5, 24
 #: Learning rows are those whose crc32 of the id, modulo FOLDS, is not HELD_OUT.
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
-_GAP = re.compile(r"[\W\d_]+")
+#: Whatever is no letter: the word characters that are numbers (as ½, ², ①) too.
+_GAP = re.compile(r"[\W\d_" + "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -142,11 +143,12 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     for bucket, n in counts:
         seen[bucket] = n
     idf = np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1
-    # Rows are thinned by their hash to little more than the sample before those of a language meet in one window.
+    # Rows are thinned by their hash, in the tasks, to little more than the sample before those of a language meet in one
+    # window; the shares, a row for each language like the model itself, are broadcast.
     placed = rows.select("doc_id", "lang", hash_place(F.col("doc_id")).alias("h"))
     share = placed.groupBy("lang").agg((F.lit(1.5 * SAMPLE_PER_LANGUAGE) / F.count(F.lit(1))).alias("share")).withColumnRenamed("lang", "__lang")
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    picked = placed.join(share, F.col("lang") == F.col("__lang")).where(F.col("h") < F.col("share")).withColumn("nth", F.row_number().over(order))
+    picked = placed.join(F.broadcast(share), F.col("lang") == F.col("__lang")).where(F.col("h") < F.col("share")).withColumn("nth", F.row_number().over(order))
     picked = picked.where(F.col("nth") <= SAMPLE_PER_LANGUAGE).select("doc_id", "h").distinct()
     # At most SAMPLE_PER_LANGUAGE ids for each language.
     sample = rows.join(F.broadcast(picked), "doc_id").select("text", "lang", "h")
