@@ -357,13 +357,16 @@ def page_records(pages: DataFrame, page_id: str = "page_id", url: str = "url", h
 def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) as read back from the archives.
 
-    Size and digest of responses are those of the payload read; revisits have their headers' only.
+    Responses are read with their payloads, which give size and digest. Revisits, whose block is an HTTP header, are read by
+    a pushed record type that passes over the responses undecoded.
     """
     path = scratch_dir(pages.sparkSession, "warc")
     write_archives(page_records(pages, page_id, url, html), path)
     kind = pages.schema[page_id].dataType
     page = lambda c: F.nullif(F.regexp_replace(F.col(c), "^urn:page:", ""), F.lit("")).cast(kind)
-    read = read_archives(pages.sparkSession, path)
+    responses = read_archives(pages.sparkSession, path, "response").where("record_type = 'response'")
+    revisits = read_archives(pages.sparkSession, path, "revisit").where("record_type = 'revisit'")
+    read = responses.unionByName(revisits)
     return read.select(
         page("record_id").alias("page_id"),
         F.coalesce(F.length("payload").cast("long"), F.col("payload_length")).alias("payload_bytes"),
