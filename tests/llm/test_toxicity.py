@@ -60,3 +60,18 @@ def test_odd_rows(spark):
     one = tox.fit(df, labels.where("toxic = 0"))
     assert {r.score for r in tox.score(df, one).collect()} == {0.0}
     assert tox.score(df.limit(0), model).count() == 0
+
+
+def test_a_stem_goes_whose_exceptions_do_not_fit(spark, monkeypatch):
+    rows = [(f"vlork{c} today", 1) for c in "abcdef" for _ in range(4)] + [(f"grimp{c} today", 1) for c in "abcdef" for _ in range(4)]
+    rows += [(f"vlork{c * 3} day", 0) for c in "mnopqrst" for _ in range(9)] + [("grimpzz day", 0)] * 9
+    df = spark.createDataFrame(rows, "text string, toxic int")
+    full = tox._learn_patterns(df, 48, 81)
+    stems = [p for p in full if p.endswith("*") and full[p] > 0]
+    monkeypatch.setattr(tox, "PATTERNS", 12)
+    less = tox._learn_patterns(df, 48, 81)
+    kept = [p for p in less if p.endswith("*") and less[p] >= tox.LEAST_WEIGHT]
+    assert stems and set(kept) <= set(stems)
+    for p, w in full.items():  # all exceptions below a stem that stays are there
+        if w < tox.LEAST_WEIGHT and any(p != s and p.startswith(s[:-1]) for s in kept):
+            assert p in less

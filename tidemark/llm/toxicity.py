@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import crc_fold, hash_place, least_placed, map_batches
+from tidemark.llm.common import crc_fold, hash_place, least_placed, map_batches, staged
 
 SAMPLE_PER_CLASS = 10_000
 #: Rows whose crc32 of the id is 0 modulo FOLDS are held out.
@@ -174,7 +174,7 @@ def _learn_patterns(rows: DataFrame, n_toxic: int, n_clean: int) -> dict[str, fl
     """Log odds of the patterns that mark toxic texts, and of those inside them that don't."""
     counts = map_batches(rows, _pattern_counts, "pattern string, toxic long, clean long").groupBy("pattern").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     weight = F.log((F.col("toxic") + 0.3) / (n_toxic + 1)) - F.log((F.col("clean") + 0.3) / (n_clean + 1))
-    counts = counts.where(F.col("toxic") + F.col("clean") >= LEAST_TEXTS).withColumn("weight", weight)
+    counts = staged(counts.where(F.col("toxic") + F.col("clean") >= LEAST_TEXTS).withColumn("weight", weight), "toxic-patterns")
     marks = counts.where((F.col("toxic") >= LEAST_TEXTS) & (F.col("weight") >= LEAST_WEIGHT)).orderBy(F.desc(F.col("weight") * F.sqrt("toxic")), "pattern").limit(PATTERNS)
     kept = {r.pattern: r.weight for r in marks.select("pattern", "weight").collect()}
     stems = sorted({p for p in kept if p.endswith("*")})
@@ -183,8 +183,14 @@ def _learn_patterns(rows: DataFrame, n_toxic: int, n_clean: int) -> dict[str, fl
     stem = counts.sparkSession.createDataFrame([(p,) for p in stems], "stem string")
     inner = [F.concat(F.substring("pattern", 1, k), F.lit("*")) for k in STEMS]
     rest = counts.where(F.col("weight") < LEAST_WEIGHT).select("pattern", "weight", F.explode(F.array_distinct(F.array(*inner))).alias("stem")).join(F.broadcast(stem), "stem", "left_semi")
-    rest = rest.groupBy("pattern").agg(F.first("weight").alias("weight")).orderBy("weight", "pattern").limit(PATTERNS)
-    return kept | {r.pattern: r.weight for r in rest.collect()}
+    # All exceptions of a kept stem stay; stems whose exceptions don't fit go, those with the most first.
+    sizes = sorted((r["count"], r["stem"]) for r in rest.groupBy("stem").count().collect())
+    fit = np.cumsum([n for n, _ in sizes]) <= PATTERNS
+    for ok, (_, name) in zip(fit, sizes):
+        if not ok:
+            del kept[name]
+    rest = rest.where(F.col("stem").isin([name for ok, (_, name) in zip(fit, sizes) if ok]))
+    return kept | {r.pattern: r.weight for r in rest.select("pattern", "weight").distinct().collect()}
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0) -> np.ndarray:
