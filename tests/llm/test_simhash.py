@@ -80,3 +80,41 @@ def test_gray_index_finds_all_pairs(runs, bits):
     found = {(int(i), int(j)) for a, b in gray_index.close_pairs(codes, sizes, bits) for i, j in zip(a, b)}
     want = {(i, j) for j in range(len(codes)) for i in range(j) if run[i] == run[j] and (int(codes[i]) ^ int(codes[j])).bit_count() <= bits}
     assert found == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 4095), max_size=90, unique=True), st.lists(st.integers(0, 4095), max_size=300, unique=True), st.integers(0, 3))
+def test_gray_index_finds_all_pairs_between_bins(a, b, bits):
+    a, b = (np.array(x, np.uint64) * np.uint64(0x100200400801) for x in (a, b))
+    a, b = (x[np.argsort(gray_index.gray_rank(x))] for x in (a, b))
+    found = [(int(i), int(j)) for p, q in gray_index.close_between(a, b, bits) for i, j in zip(p, q)]
+    want = {(i, j) for i in range(len(a)) for j in range(len(b)) if (int(a[i]) ^ int(b[j])).bit_count() <= bits}
+    assert len(found) == len(want) and set(found) == want
+
+
+def test_hierarchy_prunes_whole_groups():
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 1 << 63, 1 << 15).astype(np.uint64) * np.uint64(2)
+    codes = codes[np.argsort(gray_index.gray_rank(codes))]
+    tree = gray_index.Tree(codes)
+    seen = [0] * (tree.height + 1)
+    list(gray_index.tree_pairs(tree, tree, 2, seen))
+    every = [len(x) * (len(x) + 1) // 2 for x, _ in tree.levels]
+    assert seen[0] < every[0] / 1000 and sum(seen) < every[0] / 50
+
+
+def test_links_over_many_bins_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BIN_CODES", 40)
+    rng = random.Random(8)
+    centers = [rng.getrandbits(64) for _ in range(150)]
+    codes = sorted({c ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(4))) for c in centers for _ in range(5)} | {0, 1, (1 << 64) - 1})
+    codes = [c & ((1 << 64) - 1) for c in codes]
+    roots = {r.node & ((1 << 64) - 1): r.root & ((1 << 64) - 1) for r in components(simhash.code_links(spark.createDataFrame([(c - (1 << 64) if c >> 63 else c,) for c in codes], "code long"))).collect()}
+    label = {c: c for c in codes}
+    for x in codes:
+        for y in codes:
+            if (x ^ y).bit_count() <= 2 and label[x] != label[y]:
+                old, new = label[x], label[y]
+                label = {c: new if v == old else v for c, v in label.items()}
+    same = lambda f: {frozenset(c for c in codes if f(c) == r) for r in {f(c) for c in codes}}
+    assert same(lambda c: roots.get(c, c)) == same(label.get)

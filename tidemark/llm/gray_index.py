@@ -1,12 +1,20 @@
-"""Hierarchical index over 64-bit codes in Gray order, for all pairs within a few differing bits."""
+"""Hierarchical index over 64-bit codes in Gray order, for all pairs within a few differing bits.
+
+Codes that follow each other in Gray order agree in their leading bits. A node of the index stands for ``FANOUT`` consecutive nodes
+of the level below, leaves for as many codes; what all codes of a node share is factored into it as a mask and a pattern. Two
+nodes differ at least in the shared bits in which their patterns differ; the count adds up on the way down, and a
+pair of nodes is dropped with all its codes once it exceeds the bound.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
-#: Codes of a leaf and leaves of an upper node.
-FANOUT = 16
-#: Candidate rows held at once; a larger search goes on in slices of queries.
+#: Codes of a leaf and children of an upper node.
+FANOUT = 2
+#: Pairs of nodes or codes held at once; a larger search goes on in slices.
 FRONTIER = 1 << 20
 
 
@@ -18,63 +26,72 @@ def gray_rank(code: np.ndarray) -> np.ndarray:
     return x
 
 
-def _spread(first: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row i all integers of [first_i, stop_i): (row, integer)."""
-    n = np.maximum(stop - first, 0)
-    row = np.repeat(np.arange(len(n)), n)
-    return row, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[row]
-
+class Tree:
+    """Levels from the codes (0) up to one root: bits set in all codes of a node, and bits that all of them share."""
 
-class _Level:
-    """Groups of consecutive items of one node: what all codes below share, as mask and pattern."""
+    def __init__(self, ands: np.ndarray, ors: np.ndarray | None = None, height: int = 0):
+        ors = ands if ors is None else ors
+        self.levels = [(ands, ~(ands ^ ors))]
+        while len(ands) > 1 or len(self.levels) <= height:
+            starts = np.arange(0, len(ands), FANOUT)
+            ands, ors = np.bitwise_and.reduceat(ands, starts), np.bitwise_or.reduceat(ors, starts)
+            self.levels.append((ands, ~(ands ^ ors)))
 
-    def __init__(self, starts: np.ndarray, all_and: np.ndarray, all_or: np.ndarray):
-        self.starts = starts
-        self.ands = np.bitwise_and.reduceat(all_and, starts) if len(starts) else all_and[:0]
-        self.ors = np.bitwise_or.reduceat(all_or, starts) if len(starts) else all_or[:0]
-        self.mask = ~(self.ands ^ self.ors)
+    @property
+    def height(self) -> int:
+        return len(self.levels) - 1
 
 
-def _cuts(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of the groups of FANOUT items within each run of the given sizes, and groups per run."""
-    groups = -(-sizes // FANOUT)
-    run, nth = _spread(np.zeros(len(sizes), np.int64), groups)
-    return (np.cumsum(sizes) - sizes)[run] + nth * FANOUT, groups
+def _children(a: np.ndarray, b: np.ndarray, n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of children of pairs of nodes, of which there are ``n`` and ``m`` on their level."""
+    step = np.arange(FANOUT)
+    left = (a[:, None] * FANOUT + step).repeat(FANOUT, axis=1).reshape(-1)
+    right = np.tile(b[:, None] * FANOUT + step, (1, FANOUT)).reshape(-1)
+    there = (left < n) & (right < m)
+    return left[there], right[there]
 
 
-def close_pairs(codes: np.ndarray, run_sizes: np.ndarray, bits: int):
-    """Yields (i, j) index arrays, i < j, of all pairs in one run that differ in at most ``bits`` bits.
+def tree_pairs(one: Tree, other: Tree, bits: int, seen: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Yields (i, j) arrays of all pairs of level 0 within ``bits`` bits; of a tree with itself those with i <= j.
 
-    Codes come run by run, each run in Gray order. Bits that all codes of a group share are factored into its node;
-    a search adds up the differences to the shared bits on the way down and drops the whole group beyond ``bits``.
+    The trees have one height. ``seen`` adds up how many pairs each level looked at.
     """
-    leaf_starts, leaves = _cuts(run_sizes)
-    leaf = _Level(leaf_starts, codes, codes)
-    upper_starts, uppers = _cuts(leaves)
-    upper = _Level(upper_starts, leaf.ands, leaf.ors)
-    leaf_stop = np.append(leaf.starts[1:], len(codes))
-    upper_stop = np.append(upper.starts[1:], len(leaf.starts))
-    last_upper = np.cumsum(uppers)
-    run_of = np.repeat(np.arange(len(run_sizes)), run_sizes)
-    leaf_of = np.repeat(np.arange(len(leaf.starts)), leaf_stop - leaf.starts)
-    upper_of = np.repeat(np.arange(len(upper.starts)), upper_stop - upper.starts)[leaf_of]
-    work = np.cumsum((last_upper[run_of] - upper_of) * FANOUT)
+    same, top = one is other, one.height
+
+    def down(level: int, a: np.ndarray, b: np.ndarray):
+        (x, shared_x), (y, shared_y) = one.levels[level], other.levels[level]
+        if same:
+            a, b = a[a <= b], b[a <= b]
+        if seen is not None:
+            seen[level] += len(a)
+        near = np.bitwise_count((x[a] ^ y[b]) & shared_x[a] & shared_y[b]) <= bits
+        a, b = a[near], b[near]
+        if level == 0:
+            if len(a):
+                yield a, b
+            return
+        slice_ = FRONTIER // FANOUT**2
+        for at in range(0, len(a), slice_):
+            yield from down(level - 1, *_children(a[at : at + slice_], b[at : at + slice_], len(one.levels[level - 1][0]), len(other.levels[level - 1][0])))
+
+    if len(one.levels[0][0]) and len(other.levels[0][0]):
+        yield from down(top, np.zeros(1, np.int64), np.zeros(1, np.int64))
+
+
+def close_pairs(codes: np.ndarray, run_sizes: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Yields (i, j) index arrays, i < j, of all pairs in one run that differ in at most ``bits`` bits; runs are in Gray order."""
     at = 0
-    while at < len(codes):
-        to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + FRONTIER, "right")))
-        q, u = _spread(upper_of[at:to], last_upper[run_of[at:to]])
-        q += at
-        far = np.bitwise_count((codes[q] ^ upper.ands[u]) & upper.mask[u])
-        q, u, far = q[far <= bits], u[far <= bits], far[far <= bits]
-        row, lf = _spread(np.maximum(upper.starts[u], leaf_of[q]), upper_stop[u])
-        q, u, far = q[row], u[row], far[row]
-        far = far + np.bitwise_count((codes[q] ^ leaf.ands[lf]) & leaf.mask[lf] & ~upper.mask[u])
-        q, lf, far = q[far <= bits], lf[far <= bits], far[far <= bits]
-        row, j = _spread(np.maximum(leaf.starts[lf], q + 1), leaf_stop[lf])
-        q, lf, far = q[row], lf[row], far[row]
-        near = far + np.bitwise_count((codes[q] ^ codes[j]) & ~leaf.mask[lf]) <= bits
-        yield q[near], j[near]
-        at = to
+    for n in run_sizes.tolist():
+        tree = Tree(codes[at : at + n])
+        for i, j in tree_pairs(tree, tree, bits):
+            yield i[i < j] + at, j[i < j] + at
+        at += n
+
+
+def close_between(a: np.ndarray, b: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Yields (i, j) of all pairs of a code of ``a`` and one of ``b``, each in Gray order, within ``bits`` bits."""
+    height = max(Tree(a).height, Tree(b).height) if len(a) and len(b) else 0
+    yield from tree_pairs(Tree(a, height=height), Tree(b, height=height), bits)
 
 
 def least_labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:

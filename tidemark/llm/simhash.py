@@ -1,11 +1,14 @@
 """Near-duplicates by SimHash fingerprints and a Gray-order hierarchical index.
 
-A document's fingerprint sums the bits of the hashes of its word shingles. Distinct fingerprints are laid out under
-masked bit patterns: the 64 bits are cut into six segments, and every choice of two free segments makes one upper
-level whose node is the pattern of the other four. Two fingerprints within two differing bits agree in at least four
-segments, so they meet under one of the 15 masks; a node spans at most 22 free bits, so it holds at most 2^22 codes
-whatever the corpus looks like. Inside a node the codes stand in Gray order and ``gray_index`` factors shared bits
-further and prunes groups. Copies share a fingerprint, so groups of copies cost one code.
+A document's fingerprint sums the bits of the hashes of its word shingles. Copies share a fingerprint, so groups of copies
+cost one code. The distinct codes form one index in Gray order (``gray_index``), cut into bins of about ``BIN_CODES`` consecutive
+codes, which are its nodes at that level: for each the bits that all its codes share are factored out. The upper levels,
+over the bins, are searched first: pairs of bins whose shared patterns differ in too many bits are dropped with all their
+codes. Each pair that is left goes to a task, which builds the lower levels over its two bins and prunes on.
+
+In Gray order n bins share about log2 n leading bits, and a bin meets those within two of these: about half the squared
+logarithm of n of them, whatever the corpus looks like. The upper levels (three numbers a bin) are held by the
+driver and the list of pairs is broadcast: some hundred bytes for every ``BIN_CODES`` codes.
 
 Nulls, empty texts and texts without words have fingerprint 0 and are linked like any other; rows that repeat an id
 are separate rows with that id; an empty table gives an empty result; further columns are ignored by ``fingerprints``
@@ -15,9 +18,6 @@ when no row has one.
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import combinations
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,13 +27,13 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import map_batches, staged, utf8
 from tidemark.llm.components import components
-from tidemark.llm.gray_index import close_pairs, least_labels
+from tidemark.llm.gray_index import Tree, close_between, close_pairs, least_labels, tree_pairs
 
 SHINGLE = 3
 MAX_BITS = 2
 SEED = 42
-#: Widths of the segments, most significant first.
-SEGMENTS = (11, 11, 11, 11, 10, 10)
+#: Codes of a bin; pairs of bins whose codes a task holds.
+BIN_CODES = 1 << 15
 NULL_ID = (1 << 63) - 1
 
 
@@ -79,15 +79,6 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return _with_fingerprints(rows, "code", "text").drop("text")
 
 
-def _masks() -> list[int]:
-    spans, low = [], 64
-    for width in SEGMENTS:
-        low -= width
-        spans.append(((1 << width) - 1) << low)
-    full = (1 << 64) - 1
-    return [full & ~reduce(int.__or__, free) for free in combinations(spans, MAX_BITS)]
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -99,61 +90,74 @@ def _gray_rank(code: Column) -> Column:
     return x.bitwiseXOR(F.lit(_signed(1 << 63)))  # unsigned order
 
 
-def _node_links(batches):
-    """Stars over the links found in the nodes of one task; nodes are whole in a task, and held one batch at a time."""
+def _stars(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+    """The links within a bin, or between two, as stars; codes are in Gray order."""
+    codes = a if b is None else np.concatenate((a, b))
+    label = np.arange(len(codes))
+    pairs = close_pairs(a, np.array([len(a)]), MAX_BITS) if b is None else close_between(a, b, MAX_BITS)
+    for i, j in pairs:
+        j = j if b is None else j + len(a)
+        label = least_labels(len(codes), np.concatenate((np.arange(len(label)), i)), np.concatenate((label, j)))
+    moved = label != np.arange(len(label))
+    signed = codes.view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(signed[moved]), pa.array(signed[label[moved]])], names=["a", "b"])
+
 
-    def links(node, pattern, code):
-        cut = np.flatnonzero((node[1:] != node[:-1]) | (pattern[1:] != pattern[:-1])) + 1
-        sizes = np.diff(np.concatenate(([0], cut, [len(code)])))
-        alone = np.repeat(sizes == 1, sizes)
-        code, sizes = code[~alone], sizes[sizes > 1]
-        if not len(code):
-            return None
-        distinct, at = np.unique(code, return_inverse=True)
-        label = np.arange(len(distinct))
-        for i, j in close_pairs(code.view(np.uint64), sizes, MAX_BITS):
-            label = least_labels(len(distinct), np.concatenate((np.arange(len(label)), at[i])), np.concatenate((label, at[j])))
-        moved = label != np.arange(len(label))
-        return pa.RecordBatch.from_arrays([pa.array(distinct[moved]), pa.array(distinct[label[moved]])], names=["a", "b"])
+def _pair_links(batches):
+    """Stars over the links of the pairs of bins of one task; a pair is whole in a task."""
+
+    def of(held):
+        t = pa.Table.from_batches(held)
+        side, code = t.column("side").to_numpy(), t.column("code").to_numpy().view(np.uint64)
+        right = code[side == 1]
+        return _stars(code[side == 0], right if len(right) else None)
 
     held: list[pa.RecordBatch] = []
     for b in batches:
-        if not b.num_rows:
-            continue
-        node, pattern = b.column("node").to_numpy(), b.column("pattern").to_numpy()
-        if held and sum(x.num_rows for x in held) >= 1 << 16:
-            new = np.flatnonzero((node != held[-1].column("node")[-1].as_py()) | (pattern != held[-1].column("pattern")[-1].as_py()))
-            cut = int(new[0]) if len(new) else b.num_rows
-            held.append(b.slice(0, cut))
-            if not len(new):
+        pair = b.column("pair").to_numpy()
+        cut = np.flatnonzero(pair[1:] != pair[:-1]) + 1
+        for lo, hi in zip([0, *cut], [*cut, len(pair)]):
+            if lo == hi:
                 continue
-            out = _of(held, links)
-            if out is not None:
-                yield out
-            held = [b.slice(cut)]
-        else:
-            held.append(b)
-    if held and (out := _of(held, links)) is not None:
-        yield out
+            if held and held[0].column("pair")[0].as_py() != pair[lo]:
+                yield of(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield of(held)
 
 
-def _of(held, fn):
-    t = pa.Table.from_batches(held)
-    return fn(*(t.column(c).to_numpy() for c in ("node", "pattern", "code")))
+def bin_pairs(ands: np.ndarray, ors: np.ndarray, seen: list[int] | None = None) -> list[tuple[int, int]]:
+    """The pairs of bins, each with itself too, whose shared bits differ in no more than MAX_BITS places."""
+    tree = Tree(ands, ors)
+    return [x for i, j in tree_pairs(tree, tree, MAX_BITS, seen) for x in zip(i.tolist(), j.tolist())]
 
 
 def code_links(codes: DataFrame) -> DataFrame:
     """(a, b): links between distinct codes within MAX_BITS bits, enough to connect every such pair.
 
-    ``codes`` has one row per distinct ``code``. Each task turns the links of its nodes into stars, so a cube of
+    ``codes`` has one row per distinct ``code``. Each task turns the links of its bins into stars, so a cube of
     near copies yields one row per code and task instead of all its pairs.
     """
-    nodes = F.explode(
-        F.array(*[F.struct(F.lit(n).alias("node"), F.col("code").bitwiseAND(F.lit(_signed(m))).alias("pattern")) for n, m in enumerate(_masks())])
-    )
-    laid = codes.select("code", nodes.alias("at")).select("at.node", "at.pattern", "code")
-    laid = laid.repartition("node", "pattern").sortWithinPartitions("node", "pattern", _gray_rank(F.col("code")))
-    return laid.mapInArrow(_node_links, "a long, b long")
+    ranked = codes.select("code", _gray_rank(F.col("code")).alias("rank"))
+    bins = -(-ranked.count() // BIN_CODES)
+    cuts = [F.lit(i / bins) for i in range(1, bins)]
+    edges = ranked.agg(F.percentile_approx("rank", F.array(*cuts), F.lit(20 * bins)).alias("e")).first()["e"] if cuts else []
+    shared = codes.sparkSession.sparkContext.broadcast(np.array(edges or [], np.int64))
+
+    def place(batches):
+        for b in batches:
+            at = np.searchsorted(shared.value, b.column("rank").to_numpy(), "left")
+            yield pa.RecordBatch.from_arrays([b.column("code"), b.column("rank"), pa.array(at, pa.int64())], names=["code", "rank", "bin"])
+
+    binned = staged(ranked.mapInArrow(place, "code long, rank long, bin long"), "code-bins")
+    found = sorted(binned.groupBy("bin").agg(F.bit_and("code"), F.bit_or("code")).collect())
+    number = [r[0] for r in found]
+    pairs = bin_pairs(*(np.array([r[k] for r in found], np.int64).view(np.uint64) for k in (1, 2)))
+    sides = [(number[i], n, 0) for n, (i, j) in enumerate(pairs)] + [(number[j], n, 1) for n, (i, j) in enumerate(pairs) if i != j]
+    sides = codes.sparkSession.createDataFrame(sides, "bin long, pair long, side int")
+    laid = binned.join(F.broadcast(sides), "bin").select("pair", "side", "rank", "code")
+    return laid.repartition("pair").sortWithinPartitions("pair", "side", "rank").mapInArrow(_pair_links, "a long, b long")
 
 
 def components_of(prints: DataFrame) -> DataFrame:
