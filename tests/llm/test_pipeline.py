@@ -46,3 +46,20 @@ def test_stages_against_brute_force(spark):
     for r in ids.collect():
         assert (r.n_tokens, r.ids) == (len(r.ids), expected(texts[r.doc_id])[0])
     assert Counter(r.doc_id for r in pipeline.run(spark, SF).collect()) == Counter(r.doc_id for r in ids.collect())
+
+
+def test_odd_rows_and_empty_tables(spark):
+    first = table(spark, SF, "documents")
+    text = first.where("lang = 'en'").orderBy("doc_id").first().text
+    odd = [(None, text, None, None, None), (1, None, "en", "a", 0), (2, "", None, None, None), (3, " \n", "xx", "b", 1), (4, "12 34", "en", "b", 2), (5, text * 30, "en", None, 3)]
+    odd += [(6, text, "en", "b", 4), (6, text, "en", "b", 4), (7, text, "de", "c", 5)]
+    docs = spark.createDataFrame(odd, first.schema)
+    seen = []
+    for rows_in in (docs, docs.limit(0)):
+        for name, stage in pipeline.STAGES:
+            rows_in = staged(stage(spark, rows_in, SF), name)
+            seen.append(sorted({str(r.doc_id) for r in rows_in.collect()}))
+    kept = seen[: len(pipeline.STAGES)]
+    assert kept[0] == kept[1] == ["5", "6", "7", "None"]  # what has no letters is rejected
+    assert kept[2] == ["5", "6"] or kept[2] == ["6"]  # of equal texts the smallest id, null last
+    assert set(kept[4]) == set(kept[3]) <= set(kept[2]) and not any(seen[len(kept) :])

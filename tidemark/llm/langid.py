@@ -16,12 +16,12 @@ table gives an empty result; further columns are ignored by ``predict`` and kept
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,8 +37,8 @@ QUANTILE, MEMBERS, FEW, SLACK, BANDS = 0.005, 100, 50, 0.5, 24
 #: Learning rows are those whose crc32 of the id, modulo FOLDS, is not HELD_OUT.
 FOLDS, HELD_OUT = 3, 1
 UNKNOWN = "und"
-#: Whatever is no letter: the word characters that are numbers (as ½, ², ①) too.
-_GAP = re.compile(r"[\W\d_" + "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal()) + "]+")
+#: Whatever is no letter: numbers such as ½, ² and ① too, which are word characters.
+_GAP = regex.compile(r"\P{L}+")
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
