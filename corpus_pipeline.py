@@ -4,6 +4,10 @@ Language ID drops what it rejects, toxicity drops what scores one half or more,
 group, mixing leaves documents out or repeats them to meet the sources' targets, and BPE turns the mix into ids. Models
 are learned from the whole tables of ``sf_dir``, so a stage decides alike whatever stood before it; the stages
 themselves work on all rows of their predecessor.
+
+Texts that are null, empty or without letters are rejected by language ID. Equal texts, repeated rows too, become one document: the one with
+the smallest id, a null id counting as the largest. Null sources are a source of their own. An empty table stays empty in
+every stage; columns beside doc_id, text and source are carried along up to the last stage.
 """
 
 from __future__ import annotations

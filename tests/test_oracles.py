@@ -13,7 +13,8 @@ KEYS = [
     "bars_resample", "bars_by_supplier", "price_features", "features_by_supplier", "features_intraday", "macro_features", "asof_ffill",
     "join_left_ffill", "targets_all", "walk_forward", "fold_range_join", "embargo_cv", "store_save", "dq_report", "dq_monotonic",
     "leak_first_valid", "tgt_alignment", "fit_normalizer", "disagreement", "meta_features", "weights_clear", "backtest", "perf_summary",
-    "strategy_table", "corr_matrix", "regime_labels", "regime_runs", "drawdown_eval", "stream_bars",
+    "strategy_table", "corr_matrix", "regime_labels", "regime_runs", "drawdown_eval", "stream_bars", "garch_walk", "garch_horizons", "trading_day_shift", "trading_bounds",
+    "regime_filter_given", "regime_filtered_labels", "split_overlap", "dq_macro_coverage", "disagreement_frozen", "bars_buckets", "metrics_models",
 ]
 
 
