@@ -10,7 +10,7 @@ from tidemark.operators import calendar as cal
 from tidemark.operators import ensemble, splits, targets
 from tidemark.operators.meta import WeightModel, meta_prepare, with_meta_features
 from tidemark.operators.price_features import log_return
-from tidemark.plans.stage import stage
+from tidemark.plans.stage import stage, written
 from tidemark.sources import tables
 
 # Split boundaries and crisis windows of the fixtures.
@@ -40,7 +40,9 @@ def flagged_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def panel_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cal.shared_calendar(cal.weekday_bars(bars(spark, sf_dir)))
+    """The shared calendar: of the bars where the query has them, else of the ticks' dates alone."""
+    dated = bars(spark, sf_dir) if written(bars, sf_dir) else tables.lineitem_dates(spark, sf_dir)
+    return cal.shared_calendar(cal.weekday_bars(dated))
 
 
 @stage
@@ -82,8 +84,9 @@ def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def preds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed-form predictions standing in for the fitted base models."""
     w = ordered("symbol")
+    r = returns(spark, sf_dir).select("symbol", "date", "close", "ret_bwd")
     vix = macro_long(spark, sf_dir).where("series_id = 'VIXCLS'").select("date", F.col("value").alias("vix"))
-    df = cal.merge_features(returns(spark, sf_dir).select("symbol", "date", "close", "ret_bwd"), vix)
+    df = cal.merge_features(r, vix)
     df = df.withColumns({"_rs": F.lag("ret_bwd").over(w), "vlag": F.lag("vix").over(w)})
     v = F.col("vlag")
     return df.select(

@@ -35,3 +35,8 @@ def stage(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
         return _written[key]
 
     return read
+
+
+def written(fn: Callable[[SparkSession, str], DataFrame], sf_dir: str) -> bool:
+    """Whether this run has the stage already."""
+    return (fn.__name__, sf_dir) in _written

@@ -139,6 +139,11 @@ def lineitem_bars(spark: SparkSession, sf_dir: str, symbol: str = "l_returnflag"
     return resample_bars(lineitem_ticks(spark, sf_dir, symbol), ["seq"])
 
 
+def lineitem_dates(spark: SparkSession, sf_dir: str, symbol: str = "l_returnflag") -> DataFrame:
+    """(symbol, date) of the bars, from two columns of the ticks."""
+    return lineitem_ticks(spark, sf_dir, symbol).select("symbol", "date").distinct()
+
+
 def order_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Macro observations (series_id, obs_date, value) from ``orders``."""
     series = F.create_map(*[F.lit(x) for kv in PRIORITY_SERIES.items() for x in kv])
