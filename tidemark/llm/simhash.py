@@ -32,8 +32,8 @@ from tidemark.llm.gray_index import Tree, close_between, close_pairs, least_labe
 SHINGLE = 3
 MAX_BITS = 2
 SEED = 42
-#: Codes of a bin; pairs of bins whose codes a task holds.
-BIN_CODES = 1 << 15
+#: Codes of a bin, and the least number of bins of no fewer than FEW_CODES codes: their pairs are the tasks.
+BIN_CODES, LEAST_BINS, FEW_CODES = 1 << 15, 16, 1 << 10
 NULL_ID = (1 << 63) - 1
 
 
@@ -140,7 +140,8 @@ def code_links(codes: DataFrame) -> DataFrame:
     near copies yields one row per code and task instead of all its pairs.
     """
     ranked = codes.select("code", _gray_rank(F.col("code")).alias("rank"))
-    bins = -(-ranked.count() // BIN_CODES)
+    count = ranked.count()
+    bins = max(-(-count // BIN_CODES), min(LEAST_BINS, -(-count // FEW_CODES)))
     cuts = [F.lit(i / bins) for i in range(1, bins)]
     edges = ranked.agg(F.percentile_approx("rank", F.array(*cuts), F.lit(20 * bins)).alias("e")).first()["e"] if cuts else []
     shared = codes.sparkSession.sparkContext.broadcast(np.array(edges or [], np.int64))
