@@ -289,9 +289,10 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     def run(batches):
         encoder = Encoder(Vocabulary(file.value))
         for b, texts in numbered(batches, encoder):
-            lengths = np.array([encoder.lengths[at].sum() for at in texts], np.int64)
+            made = [encoder.ids_of(at).astype(np.int32) for at in texts]
+            lengths = np.fromiter(map(len, made), np.int64, len(made))
             offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
-            ids = pa.ListArray.from_arrays(offsets, pa.array(encoder.ids_of(np.concatenate(texts)).astype(np.int32)))
+            ids = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(made)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lengths, pa.int64()), ids], names=["doc_id", "n_tokens", "ids"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
