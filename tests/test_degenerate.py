@@ -8,6 +8,7 @@ import pytest
 from check_oracles import compare, connect
 
 import __spark_entry__ as entry
+from tidemark.operators import diagnostics as dg
 
 SF01 = "/root/testdata/sf0.01"
 
@@ -37,3 +38,11 @@ def both(spark, sf, name):
 def test_regime_labels_of_states_without_rows(spark, calm):
     got, note = both(spark, calm, "regime_labels")
     assert note is None and len(got) == 9 and got["median_vix"].isna().sum() == 3
+
+
+def test_corr_matrix_without_spread(spark, calm):
+    got, note = both(spark, calm, "corr_matrix")
+    assert note is None and len(got) == 45
+    assert got[(got["a"] == "rolling_pnl_return") & (got["b"] == "rolling_disagreement")]["corr"].notna().all()
+    flat = spark.createDataFrame([("A", 1.0, 0.5), ("A", 2.0, 0.5), ("A", 4.0, 0.5)], "symbol string, p double, q double")
+    assert dg.corr_matrix(flat, ["p", "q"]).first()["corr"] is None

@@ -159,11 +159,13 @@ def distribution_profile(df: DataFrame, col: str) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pairwise-complete correlations: all pairs of columns in one aggregation pass."""
+    """Pairwise-complete correlations: all pairs of columns in one aggregation pass; NULL where one has no spread."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
 
     def both(a: str, b: str) -> Column:
-        return F.corr(F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b)))
+        x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
+        spread = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+        return F.when(spread, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
     wide = df.groupBy("symbol").agg(*[both(a, b).alias(f"{a}|{b}") for a, b in pairs])
     long = wide.unpivot(["symbol"], [f"`{a}|{b}`" for a, b in pairs], "pair", "corr")
