@@ -46,3 +46,10 @@ def test_corr_matrix_without_spread(spark, calm):
     assert got[(got["a"] == "rolling_pnl_return") & (got["b"] == "rolling_disagreement")]["corr"].notna().all()
     flat = spark.createDataFrame([("A", 1.0, 0.5), ("A", 2.0, 0.5), ("A", 4.0, 0.5)], "symbol string, p double, q double")
     assert dg.corr_matrix(flat, ["p", "q"]).first()["corr"] is None
+
+
+def test_persistence_gate_of_a_label_that_never_stays(spark, calm):
+    got, note = both(spark, calm, "persistence_gate")
+    assert note is None
+    once = got[got["label"] == 0]
+    assert len(once) == 3 and (once["p_stay"] == 0).all() and (once["stay_verdict"] == "FAIL").all()

@@ -111,8 +111,12 @@ def crisis_labels(df: DataFrame, crises: list[tuple[str, str, str]], label: str
 
 
 def persistence_gate(runs: DataFrame, transitions: DataFrame, label: str = "label") -> DataFrame:
-    """Average run length and stay probability of each label against their thresholds."""
-    stay = transitions.where(F.col("src") == F.col("dst")).select("symbol", F.col("src").alias(label), F.col("p").alias("p_stay"))
+    """Average run length and stay probability of each label against their thresholds.
+
+    A label that is always left stays with probability 0; one without a row after it has no probability and no verdict.
+    """
+    stayed = F.max(F.when(F.col("src") == F.col("dst"), F.col("p")))
+    stay = transitions.groupBy("symbol", F.col("src").alias(label)).agg(F.coalesce(stayed, F.lit(0.0)).alias("p_stay"))
     df = runs.join(stay, ["symbol", label], "left")
     run, p = F.col("avg_run"), F.col("p_stay")
     return df.withColumns({"run_verdict": graded(run, run < 5, run < 30), "stay_verdict": graded(p, p < 0.70, p < 0.85)})
