@@ -53,3 +53,9 @@ def test_persistence_gate_of_a_label_that_never_stays(spark, calm):
     assert note is None
     once = got[got["label"] == 0]
     assert len(once) == 3 and (once["p_stay"] == 0).all() and (once["stay_verdict"] == "FAIL").all()
+
+
+def test_warmup_of_a_feature_that_is_never_known(spark, calm):
+    got, note = both(spark, calm, "warmup_nulls")
+    assert note is None and len(got) == 18
+    assert got[got["feature"] == "rolling_regime_accuracy"]["first_pos"].isna().all()
