@@ -59,3 +59,10 @@ def test_warmup_of_a_feature_that_is_never_known(spark, calm):
     got, note = both(spark, calm, "warmup_nulls")
     assert note is None and len(got) == 18
     assert got[got["feature"] == "rolling_regime_accuracy"]["first_pos"].isna().all()
+
+
+def test_variation_of_a_feature_of_zeros(spark, calm):
+    got, note = both(spark, calm, "feature_variation")
+    assert note is None and len(got) == 15
+    zeros = got[got["feature"] == "rolling_pnl_regime"]
+    assert zeros["zero_variance"].all() and zeros["cv"].isna().all() and zeros["low_signal"].isna().all()
