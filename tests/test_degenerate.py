@@ -66,3 +66,9 @@ def test_variation_of_a_feature_of_zeros(spark, calm):
     assert note is None and len(got) == 15
     zeros = got[got["feature"] == "rolling_pnl_regime"]
     assert zeros["zero_variance"].all() and zeros["cv"].isna().all() and zeros["low_signal"].isna().all()
+
+
+@pytest.mark.parametrize("name", ["ridge_cv", "ridge_io", "saturation_report"])
+def test_ridge_with_a_feature_without_spread(spark, calm, name):
+    got, note = both(spark, calm, name)
+    assert note is None and len(got) == 12 and got["alpha"].notna().all()
