@@ -72,3 +72,9 @@ def test_variation_of_a_feature_of_zeros(spark, calm):
 def test_ridge_with_a_feature_without_spread(spark, calm, name):
     got, note = both(spark, calm, name)
     assert note is None and len(got) == 12 and got["alpha"].notna().all()
+
+
+@pytest.mark.parametrize("name", ["learned_weights", "learned_lift"])
+def test_learned_weights_with_a_feature_without_spread(spark, calm, name):
+    got, note = both(spark, calm, name)
+    assert note is None and len(got) and got.notna().all(axis=None)
