@@ -78,3 +78,8 @@ def test_ridge_with_a_feature_without_spread(spark, calm, name):
 def test_learned_weights_with_a_feature_without_spread(spark, calm, name):
     got, note = both(spark, calm, name)
     assert note is None and len(got) and got.notna().all(axis=None)
+
+
+def test_perf_summary_whose_first_day_loses(spark):
+    """The log's drawdown starts at its first known day: on sf0.1 one symbol never regains it."""
+    assert both(spark, "/root/testdata/sf0.1", "perf_summary")[1] is None
