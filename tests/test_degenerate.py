@@ -83,3 +83,10 @@ def test_learned_weights_with_a_feature_without_spread(spark, calm, name):
 def test_perf_summary_whose_first_day_loses(spark):
     """The log's drawdown starts at its first known day: on sf0.1 one symbol never regains it."""
     assert both(spark, "/root/testdata/sf0.1", "perf_summary")[1] is None
+
+
+def test_regime_stats_of_a_label_with_one_return(spark, calm):
+    got, note = both(spark, calm, "regime_stats")
+    assert note is None
+    once = got[got["label"] == 0]
+    assert (once["n"] == 1).all() and once[["mean_daily", "std_daily", "sharpe_ann"]].isna().all(axis=None)
