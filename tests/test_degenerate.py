@@ -9,6 +9,7 @@ from check_oracles import compare, connect
 
 import __spark_entry__ as entry
 from tidemark.operators import diagnostics as dg
+from tidemark.sources import tables
 
 SF01 = "/root/testdata/sf0.01"
 
@@ -90,3 +91,17 @@ def test_regime_stats_of_a_label_with_one_return(spark, calm):
     assert note is None
     once = got[got["label"] == 0]
     assert (once["n"] == 1).all() and once[["mean_daily", "std_daily", "sharpe_ann"]].isna().all(axis=None)
+
+
+def test_macro_means_in_any_order(spark, tmp_path):
+    """What ``determinism`` reads: the same prices in another order give the same bits, which a sum of doubles doesn't."""
+    prices = [100000.1 + 0.37 * i for i in range(200)]
+    means = {False: set(), True: set()}
+    for k in range(6):
+        order = [prices[(j * (2 * k + 1) * 3 + k) % 200] for j in range(200)] if k % 2 else prices[k * 17 :] + prices[: k * 17]
+        order = order if sorted(order) == prices else prices[::-1]
+        rows = pd.DataFrame({"o_orderpriority": "5-LOW", "o_orderdate": pd.Timestamp("1997-06-10"), "o_totalprice": order})
+        spark.createDataFrame(rows).coalesce(1).write.parquet(f"{tmp_path}/{k}/orders.parquet")
+        for exact, seen in means.items():
+            seen.add(tables.order_macro(spark, f"{tmp_path}/{k}", exact).first()["value"])
+    assert len(means[False]) > 1 and len(means[True]) == 1
