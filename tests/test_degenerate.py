@@ -3,12 +3,14 @@
 import shutil
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 import pytest
 from check_oracles import compare, connect
 
 import __spark_entry__ as entry
 from tidemark.operators import diagnostics as dg
+from tidemark.operators import trees as tr
 from tidemark.sources import tables
 
 SF01 = "/root/testdata/sf0.01"
@@ -105,3 +107,36 @@ def test_macro_means_in_any_order(spark, tmp_path):
         for exact, seen in means.items():
             seen.add(tables.order_macro(spark, f"{tmp_path}/{k}", exact).first()["value"])
     assert len(means[False]) > 1 and len(means[True]) == 1
+
+
+@pytest.fixture(scope="session")
+def turned(tmp_path_factory):
+    """One price a day: a return follows the one of two days before, from the validation year on with the other sign."""
+    out = tmp_path_factory.mktemp("turned")
+    for f in Path(SF01).iterdir():
+        if f.name != "lineitem.parquet":
+            shutil.copy(f, out / f.name)
+    items = pd.read_parquet(f"{SF01}/lineitem.parquet")
+    days, rng, parts = pd.bdate_range("1995-01-02", "2001-10-31"), np.random.default_rng(5), []
+    for symbol in "ANR":
+        r = rng.normal(0, 0.01, len(days))
+        for t in range(2, len(days)):
+            r[t] += (0.6 if days[t] < pd.Timestamp("2000-01-01") else -0.6) * r[t - 2]
+        parts.append(items.iloc[[0] * len(days)].assign(l_returnflag=symbol, l_shipdate=days.astype(items["l_shipdate"].dtype), l_quantity=1.0, l_extendedprice=1000 * np.exp(np.cumsum(r))))
+    pd.concat(parts).to_parquet(out / "lineitem.parquet", index=False, coerce_timestamps="us")
+    return str(out)
+
+
+def test_return_fit_that_validates_best_after_one_round(spark, turned, monkeypatch):
+    kept, count = [], tr.rounds_kept
+    monkeypatch.setattr(tr, "rounds_kept", lambda model: kept.append(count(model)) or kept[-1])
+    got, note = both(spark, turned, "return_fit")
+    assert kept == [1] and note is None and len(got) == 3
+
+
+def test_best_round_report_sees_a_wrong_round():
+    from tidemark.plans.queries_models import QUERY_TREES, _best_kept
+
+    errors = [3.0, 2.0, 2.5, 2.0] + [2.5] * (QUERY_TREES - 4)
+    assert _best_kept(errors, 2, 2.0) and _best_kept([1.0] + errors[1:], 1, 1.0) and _best_kept([], QUERY_TREES, None)
+    assert not any([_best_kept(errors, 1, 3.0), _best_kept(errors, 4, 2.0), _best_kept(errors, 2, 2.1), _best_kept([], 1, None)])

@@ -147,6 +147,18 @@ def test_no_event_is_refused(spark):
         tr.drawdown_fit(df, ["x"])
 
 
+def test_regression_is_the_same_from_any_files(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 2))
+    table = pd.DataFrame({"split": np.where(np.arange(600) % 4, "train", "val"), "a": x[:, 0], "b": x[:, 1], "y": x[:, 0] + rng.normal(size=600)})
+    monkeypatch.setattr(tr, "TASK_ROWS", 200, raising=False)  # three tasks
+    trees = []
+    for seed, parts in ((0, 1), (1, 3), (2, 7)):
+        rows = spark.createDataFrame(table.sample(frac=1, random_state=seed)).repartition(parts)
+        trees.append(tr.return_fit(rows, ["a", "b"], "y", 5, 0.1).stages[-1].toDebugString.split("\n", 1)[1])
+    assert len(set(trees)) == 1
+
+
 def test_symbol_without_train_rows_keeps_its_rows(spark):
     from tidemark.plans.queries_models import GIVEN
 

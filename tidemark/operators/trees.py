@@ -23,6 +23,8 @@ DRAWDOWN_TREES, DRAWDOWN_DEPTH, DRAWDOWN_RATE = 30, 3, 0.05
 ROW_SHARE, COLUMN_SHARE, PATIENCE = 0.8, "0.8", 50
 RETURN_LEAF, DRAWDOWN_LEAF = 10, 10
 SEED = 42
+# Rows of a task of the regression, each of whose trees starts several jobs.
+TASK_ROWS = 50_000
 
 
 def training_rows(features: DataFrame, targets: DataFrame, target: str, cols: list[str]) -> DataFrame:
@@ -49,13 +51,20 @@ def best_round(errors: list[float], patience: int = PATIENCE) -> int:
 
 
 def return_fit(rows: DataFrame, cols: list[str], label: str, trees: int = RETURN_TREES, step: float = RETURN_RATE, patience: int = PATIENCE) -> PipelineModel:
-    """Regressor trained on split = train, with the number of rounds that split = val likes best.
+    """Regressor trained on split = train, with the number of rounds that split = val likes best, which may be one."""
+    return return_rounds(rows, cols, label, trees, step, patience)[0]
+
+
+def return_rounds(
+    rows: DataFrame, cols: list[str], label: str, trees: int = RETURN_TREES, step: float = RETURN_RATE, patience: int = PATIENCE
+) -> tuple[PipelineModel, list[float]]:
+    """The fit of ``return_fit`` and the validation error of every round tried (none without validation rows).
 
     All rounds are fitted once, the validation error of each is read off, and the ensemble is fitted again up to the
     round chosen with ``patience``: the same seed grows the same first trees.
     """
     assembler = VectorAssembler(inputCols=cols, outputCol="features")
-    train, val = (assembler.transform(rows.where(F.col("split") == s)).select("features", label).coalesce(_parts(rows)).cache() for s in ("train", "val"))
+    train, val = (assembler.transform(_laid_out(rows.where(F.col("split") == s).select(*cols, label))).select("features", label).cache() for s in ("train", "val"))
 
     def boosted(n: int) -> GBTRegressor:
         return GBTRegressor(
@@ -63,16 +72,24 @@ def return_fit(rows: DataFrame, cols: list[str], label: str, trees: int = RETURN
             subsamplingRate=ROW_SHARE, featureSubsetStrategy=COLUMN_SHARE, minInstancesPerNode=RETURN_LEAF, seed=SEED,
         )
 
+    errors: list[float] = []
     try:
         model = boosted(trees).fit(train)
         if not val.isEmpty():
-            kept = best_round(model.evaluateEachIteration(val, "squared"), patience)
+            errors = list(model.evaluateEachIteration(val, "squared"))
+            kept = best_round(errors, patience)
             if kept < trees:
                 model = boosted(kept).fit(train)
     finally:
         train.unpersist()
         val.unpersist()
-    return PipelineModel([assembler, model])
+    return PipelineModel([assembler, model]), errors
+
+
+def _laid_out(rows: DataFrame) -> DataFrame:
+    """Rows placed and sorted by their values: a seeded sample goes by a row's place, and so depends on the rows alone,
+    not on the files and cores they came from."""
+    return rows.repartition(1 + rows.count() // TASK_ROWS, *rows.columns).sortWithinPartitions(*rows.columns)
 
 
 def _parts(rows: DataFrame) -> int:
